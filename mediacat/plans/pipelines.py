@@ -1,0 +1,49 @@
+"""End-to-end jobs: scan a folder, rebuild exact groups, rebuild similar groups."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from mediacat.operators.exact import exact_groups, verify_video_groups
+from mediacat.operators.ingest import apply_scan, diff_listing, fill_missing_phash, new_media
+from mediacat.operators.keeper import pick_keeper
+from mediacat.operators.similar import similar_groups
+from mediacat.runtime import materialize
+from mediacat.schema import Catalog
+from mediacat.sources.tables import rebuild_groups
+
+
+def scan_folder(catalog: Catalog, folder_id, listing: DataFrame, extract, scan_id: str, force: bool = False):
+    """(catalog, diff) after scanning one folder.
+
+    ``extract`` maps (path, length, mtime) to what was read from the files, keyed by path.
+    """
+    mine = catalog.media.filter(F.col("folder_id") == F.lit(folder_id))
+    diff = materialize(diff_listing(listing, mine, force), "diff")
+    todo = diff.filter(F.col("status").isin("new", "changed")).select("path", "length", "mtime")
+    rows = materialize(new_media(diff, extract(todo), scan_id, folder_id), "rows")
+    return apply_scan(catalog, diff, rows), diff
+
+
+def exact_report(media: DataFrame, sampled: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, groups) of the exact reason from scratch."""
+    found = exact_groups(media)
+    if sampled is not None:
+        found = verify_video_groups(found, sampled)
+    members = materialize(found.select("group_id", "photo_id"), "exact")
+    groups = pick_keeper(members, media).withColumn("reason", F.lit("exact"))
+    return members, groups.select("group_id", "reason", "keeper_id")
+
+
+def rebuild_exact(media: DataFrame, base: str, sampled: DataFrame | None = None) -> None:
+    members, groups = exact_report(media, sampled)
+    rebuild_groups(members, groups, base, "exact")
+
+
+def rebuild_similar(media: DataFrame, base: str, fingerprints: DataFrame | None = None, mode: str = "complete") -> None:
+    """Fill missing fingerprints, if given as (path, perceptual_hash), then regroup."""
+    if fingerprints is not None:
+        media = materialize(fill_missing_phash(media, fingerprints), "media")
+    members, groups = similar_groups(media, mode=mode)
+    rebuild_groups(members, groups, base, "similar")
