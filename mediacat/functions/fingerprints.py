@@ -6,7 +6,6 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,29 +39,35 @@ def low_frequencies(grids: np.ndarray) -> np.ndarray:
     return np.matmul(np.matmul(c, grids), c.T).reshape(len(grids), LOW * LOW)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def dct_low(values: pd.Series) -> pd.Series:
-    """Low-frequency coefficients of square grids given as row-major arrays."""
-    out = [None] * len(values)
-    sizes = values.map(lambda v: -1 if v is None else len(v)).to_numpy()
+def median_bits(coefficients: np.ndarray) -> list[str]:
+    """One bit per coefficient: above the upper median of its row or not."""
+    cut = np.sort(coefficients, axis=1)[:, LOW * LOW // 2][:, None]
+    return ["".join(row) for row in np.where(coefficients > cut, "1", "0")]
+
+
+def _by_grid_size(values: pd.Series, fill, finish) -> pd.Series:
+    """Apply a kernel to square grids given as row-major arrays, one size at a time."""
+    out = pd.Series([fill] * len(values), dtype="object")
+    sizes = values.map(lambda v: 0 if v is None else len(v)).to_numpy()
     for size in np.unique(sizes[sizes > 0]):
         n = int(round(size**0.5))
         rows = np.flatnonzero(sizes == size)
         grids = np.stack([np.asarray(values.iloc[i], dtype="float64") for i in rows]).reshape(-1, n, n)
-        for i, coefficients in zip(rows, low_frequencies(grids)):
-            out[i] = coefficients
-    return pd.Series(out)
+        for i, result in zip(rows, finish(low_frequencies(grids))):
+            out.iat[i] = result
+    return out
 
 
-def median_bits(coefficients: Column) -> Column:
-    """One bit per coefficient: above the upper median or not."""
-    median = F.element_at(F.sort_array(coefficients), LOW * LOW // 2 + 1)
-    return F.concat_ws("", F.transform(coefficients, lambda x: F.when(x > median, "1").otherwise("0")))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def dct_low(values: pd.Series) -> pd.Series:
+    """Low-frequency coefficients of square grey grids."""
+    return _by_grid_size(values, None, list)
 
 
-def phash_from_pixels(values: Column) -> Column:
-    """Fingerprint of a square grey grid given as a row-major array."""
-    return F.coalesce(median_bits(dct_low(values)), F.lit(ZERO_FINGERPRINT))
+@F.pandas_udf(T.StringType())
+def phash_from_pixels(values: pd.Series) -> pd.Series:
+    """Fingerprint of square grey grids; a missing grid counts as undecodable."""
+    return _by_grid_size(values, ZERO_FINGERPRINT, median_bits)
 
 
 def shrink_to_grey(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -85,9 +90,7 @@ def phash_batches(batches):
                 ok.append(False)
         bits = iter(())
         if grids:
-            c = low_frequencies(np.stack(grids))
-            cut = np.sort(c, axis=1)[:, LOW * LOW // 2][:, None]
-            bits = iter("".join("1" if b else "0" for b in row) for row in c > cut)
+            bits = iter(median_bits(low_frequencies(np.stack(grids))))
         yield pd.DataFrame(
             {
                 "path": pdf["path"],

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mediacat.operators.filters import active
 from mediacat.operators.keeper import pick_keeper
-from mediacat.runtime import hot_keys, join_lookup
+from mediacat.runtime import hot_keys, join_lookup, materialize
 
 
 def duplicate_key() -> Column:
@@ -98,6 +98,7 @@ def exact_groups_incremental(
     found = exact_groups(touched_media(media, hashes, frame_hashes))
     if sampled is not None:
         found = verify_video_groups(found, sampled)
+    found = materialize(found, "touched")
     known = members.select("photo_id", F.col("group_id").alias("__known"))
     placed = found.join(known.groupBy("photo_id").agg(F.min("__known").alias("__known")), "photo_id", "left")
     home = placed.groupBy("group_id").agg(

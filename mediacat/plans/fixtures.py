@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacat.operators import exact, keeper
+from mediacat.runtime import materialize
 from mediacat.schema import Catalog
 
 
@@ -59,20 +60,20 @@ def members(spark: SparkSession, sf: str) -> DataFrame:
     rows = media(spark, sf)
     found = exact.exact_groups(rows).select("group_id", "photo_id")
     similar = rows.filter("id % 10 in (0, 3)").selectExpr("concat('similar:', id div 50) as group_id", "id as photo_id")
-    return found.unionByName(similar)
+    return materialize(found.unionByName(similar), "members")
 
 
 def groups(spark: SparkSession, sf: str) -> DataFrame:
     rows = media(spark, sf)
-    found = keeper.pick_keeper(exact.exact_groups(rows).select("group_id", "photo_id"), rows)
+    exact_members = materialize(exact.exact_groups(rows).select("group_id", "photo_id"), "members")
+    found = keeper.pick_keeper(exact_members, rows)
     similar = (
         rows.filter("id % 10 in (0, 3)")
         .groupBy(F.expr("concat('similar:', id div 50)").alias("group_id"))
         .agg(F.min("id").alias("keeper_id"))
     )
-    return found.withColumn("reason", F.lit("exact")).unionByName(
-        similar.withColumn("reason", F.lit("similar"))
-    ).select("group_id", "reason", "keeper_id")
+    both = found.withColumn("reason", F.lit("exact")).unionByName(similar.withColumn("reason", F.lit("similar")))
+    return materialize(both.select("group_id", "reason", "keeper_id"), "groups")
 
 
 def folders(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,16 +7,19 @@ caller's choice, and returns a DataStreamWriter to start with a checkpoint and t
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from mediacat.operators.exact import duplicate_key, exact_groups_incremental
-from mediacat.operators.ingest import diff_listing, insert_ignore, new_media
-from mediacat.operators.maintain import purge
+from mediacat.operators.ingest import diff_listing, new_media
+from mediacat.operators.keeper import repick_keeper
+from mediacat.operators.maintain import prune_groups, purge
 from mediacat.runtime import materialize
 from mediacat.schema import Catalog, utc
+from mediacat.sources.tables import versions
 
 
 def latest_listing(batch: DataFrame) -> DataFrame:
@@ -28,9 +31,18 @@ def latest_listing(batch: DataFrame) -> DataFrame:
     )
 
 
-def ingest_batch(
+class Changes(NamedTuple):
+    """What one increment adds and removes; its size follows the increment, not the catalogue."""
+
+    rows: DataFrame  # new and re-read media rows
+    leaving: DataFrame  # photo_id of rows that are replaced and lose vector and membership
+    members: DataFrame  # group_id, photo_id joined to a group
+    groups: DataFrame  # group_id, reason, keeper_id opened
+
+
+def ingest_changes(
     catalog: Catalog, batch: DataFrame, extract: Callable[[DataFrame], DataFrame], scan_id: str
-) -> Catalog:
+) -> Changes:
     """One increment of a scan: new and changed files of ``batch`` enter the catalogue and
     the exact groups; deletions need a full listing and stay with the batch scan.
 
@@ -40,39 +52,97 @@ def ingest_batch(
     known = catalog.media.join(seen.select("path"), "path", "left_semi")
     todo = materialize(diff_listing(seen, known).filter(F.col("status").isin("new", "changed")), "diff")
     rows = materialize(new_media(todo, extract(todo.select("path", "length", "mtime")), scan_id), "rows")
-    changed = todo.filter(F.col("status") == "changed").join(rows.select("id"), "id", "left_semi")
-    left, _ = purge(catalog, changed.select("id"))
-    media = insert_ignore(left.media, rows)
+    leaving = todo.filter(F.col("status") == "changed").join(rows.select("id"), "id", "left_semi").select("id")
+    left = catalog if leaving.isEmpty() else purge(catalog, leaving)[0]
+    media = left.media.unionByName(rows.select(*[c for c in rows.columns if c in left.media.columns]), allowMissingColumns=True)
     exact = left.groups.filter(F.col("reason") == "exact").select("group_id")
-    added, opened = exact_groups_incremental(
+    members, groups = exact_groups_incremental(
         media,
         rows.filter(F.col("file_hash").isNotNull()).select("file_hash"),
         rows.filter(F.col("frame_hash").isNotNull()).select("frame_hash"),
         left.members.join(exact, "group_id", "left_semi"),
     )
-    return left._replace(
-        media=media, groups=left.groups.unionByName(opened), members=left.members.unionByName(added)
+    return Changes(rows, leaving.withColumnRenamed("id", "photo_id"), members, groups)
+
+
+def write_changes(changes: Changes, path: str, batch_id: int) -> None:
+    """Append an increment to the change log; a replayed batch overwrites itself.
+
+    ``rows`` is written last: its marker commits the batch.
+    """
+    for name in ("leaving", "members", "groups", "rows"):
+        getattr(changes, name).write.mode("overwrite").parquet(f"{path}/{name}/v{batch_id + 1:08d}")
+
+
+def committed_batch(spark: SparkSession, path: str) -> int:
+    """Number of the last complete batch in a change log, -1 if none."""
+    done = versions(spark, f"{path}/rows")
+    return done[-1] - 1 if done else -1
+
+
+def read_changes(spark: SparkSession, path: str, media_schema, id_type: str = "string") -> Catalog:
+    """The catalogue a change log describes.
+
+    A row or membership counts unless its file left in a later batch; groups that fell to
+    one member vanish, and groups that lost a member get their keeper picked anew.
+    """
+    last = committed_batch(spark, path)
+    schemas = {
+        "rows": media_schema,
+        "leaving": f"photo_id {id_type}",
+        "members": f"group_id string, photo_id {id_type}",
+        "groups": f"group_id string, reason string, keeper_id {id_type}",
+    }
+
+    def log(name: str) -> DataFrame:
+        parts = [f"{path}/{name}/v{n + 1:08d}" for n in range(last + 1)]
+        if not parts:
+            return spark.createDataFrame([], schemas[name]).withColumn("__batch", F.lit(0))
+        number = F.regexp_extract(F.input_file_name(), r"/v(\d{8})/[^/]*$", 1).cast("int")
+        return spark.read.schema(schemas[name]).parquet(*parts).withColumn("__batch", number)
+
+    gone = log("leaving").groupBy("photo_id").agg(F.max("__batch").alias("__gone"))
+
+    def current(df: DataFrame, key: str) -> DataFrame:
+        joined = df.join(gone.withColumnRenamed("photo_id", key), key, "left")
+        return joined.withColumn("__alive", F.col("__gone").isNull() | (F.col("__batch") >= F.col("__gone")))
+
+    media = current(log("rows"), "id").filter("__alive").drop("__batch", "__gone", "__alive")
+    all_members = current(log("members"), "photo_id")
+    members = all_members.filter("__alive").select("group_id", "photo_id").distinct()
+    touched = all_members.filter("not __alive").select("group_id").distinct()
+    groups = (
+        log("groups").groupBy("group_id", "reason").agg(F.max_by("keeper_id", "__batch").alias("keeper_id"))
+    )
+    groups, members, _ = prune_groups(groups, members)
+    members = materialize(members, "members")
+    best = repick_keeper(members.join(touched, "group_id", "left_semi"), media).withColumnRenamed("keeper_id", "__best")
+    groups = groups.join(best, "group_id", "left").select(
+        "group_id", "reason", F.coalesce("__best", "keeper_id").alias("keeper_id")
     )
+    groups = materialize(groups, "groups")
+    vectors = spark.createDataFrame([], f"photo_id {id_type}, embedding array<float>, model string")
+    return Catalog(media, groups, members, vectors)
 
 
 def stream_ingest(
     listing: DataFrame,
     load: Callable[[], Catalog],
-    save: Callable[[Catalog, int], None],
+    save: Callable[[Changes, int], None],
     extract: Callable[[DataFrame], DataFrame],
     done: Callable[[], int],
 ) -> DataStreamWriter:
     """Incremental scan over an append-only listing log.
 
-    ``load`` returns the last committed catalogue, ``save`` commits one under the batch
-    number and ``done`` returns the last committed number (-1 at first). A batch that was
-    committed before a crash is skipped when replayed, so each takes effect once.
+    ``load`` returns the catalogue as last committed, ``save`` commits the changes of a
+    batch (a merge into a table format, or ``write_changes``) and ``done`` returns the last
+    committed batch number, -1 at first. A batch that was committed before a crash is
+    skipped when replayed, so each takes effect once.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= done():
-            return
-        save(ingest_batch(load(), batch, extract, f"stream-{batch_id}"), batch_id)
+        if batch_id > done():
+            save(ingest_changes(load(), batch, extract, f"stream-{batch_id}"), batch_id)
 
     return listing.writeStream.foreachBatch(apply)
 
