@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediacat.operators.filters import MediaFilter, active, filter_media, in_bounds, list_columns, trashed
 from mediacat.functions.geo import grid_precision
-from mediacat.runtime import page
+from mediacat.runtime import Order, order_by, page
 from mediacat.schema import UNKNOWN_MONTH, instant, utc
 
 
-def newest_first(column: str = "taken_at") -> list[Column]:
-    return [F.col(column).desc_nulls_last(), F.col("id").asc()]
+def newest_first(column: str = "taken_at") -> Order:
+    return [(column, "desc"), ("id", "asc")]
 
 
 def timeline(media: DataFrame, f: MediaFilter | None = None, unit: str = "month") -> DataFrame:
@@ -82,11 +82,11 @@ def keyset_page(media: DataFrame, after_id=None, limit: int = 5000) -> DataFrame
     rows = active(media).filter(F.col("perceptual_hash").isNotNull())
     if after_id is not None:
         rows = rows.filter(F.col("id") > F.lit(after_id))
-    return page(rows.select("id", "perceptual_hash", "file_size"), [F.col("id").asc()], limit, 0)
+    return page(rows.select("id", "perceptual_hash", "file_size"), [("id", "asc")], limit, 0)
 
 
 def trash_list(media: DataFrame) -> DataFrame:
-    return list_columns(trashed(media)).orderBy(*newest_first("deleted_at"))
+    return list_columns(trashed(media)).orderBy(*order_by(newest_first("deleted_at")))
 
 
 def folder_list(folders: DataFrame, id=None, path: str | None = None) -> DataFrame:
@@ -95,7 +95,7 @@ def folder_list(folders: DataFrame, id=None, path: str | None = None) -> DataFra
         folders = folders.filter(F.col("id") == F.lit(id))
     if path is not None:
         folders = folders.filter(F.col("path") == F.lit(path))
-    return folders.orderBy(*newest_first("added_at"))
+    return folders.orderBy(*order_by(newest_first("added_at")))
 
 
 def cluster_drawer(media: DataFrame, lat: float, lon: float, zoom: int, representative=None) -> DataFrame:

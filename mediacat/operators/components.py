@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.runtime import hot_keys, join_lookup, materialize
+from mediacat.runtime import hot_keys, join_lookup, materialize, release
 
 
 def _relabel(rows: DataFrame, column: str, table: DataFrame, hot: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .distinct(),
         "edges",
     )
-    maps: list[tuple[DataFrame, DataFrame]] = []
+    maps: list[DataFrame] = []
     while not current.isEmpty():
         n = len(maps)
         both = current.unionByName(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -56,12 +56,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         hot = hot_keys(reps, ["node"], "degree", min_rows)
         moved = _relabel(_relabel(current, "src", reps, hot), "dst", reps, hot)
         maps.append(reps.select("node", "rep"))
-        current = materialize(
+        previous, current = current, materialize(
             moved.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
             .filter(F.col("src") != F.col("dst"))
             .distinct(),
             "edges",
         )
+        release(previous)
     if not maps:
         return current.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     labels = maps[-1]

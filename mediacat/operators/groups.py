@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediacat.operators.filters import active
 from mediacat.operators.keeper import group_media
-from mediacat.runtime import hot_keys, join_lookup, page
+from mediacat.runtime import hot_keys, join_lookup, order_by, page
 from mediacat.schema import with_utc
 
 # Member columns of a group listing.
@@ -67,8 +67,7 @@ def _summaries(groups: DataFrame, members: DataFrame, media: DataFrame) -> tuple
     return heads, rows.select("group_id", *[c for c in MEMBER_COLUMNS if c in rows.columns])
 
 
-def _group_order():
-    return [F.col("size").desc(), F.col("latest").desc_nulls_last(), F.col("group_id")]
+GROUP_ORDER = [("size", "desc"), ("latest", "desc"), ("group_id", "asc")]
 
 
 def _expand(heads: DataFrame, rows: DataFrame) -> DataFrame:
@@ -80,8 +79,7 @@ def _expand(heads: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _listed(df: DataFrame) -> DataFrame:
-    order = [*_group_order(), F.col("taken_at").desc_nulls_last(), F.col("photo_id")]
-    return df.orderBy(*order)
+    return df.orderBy(*order_by([*GROUP_ORDER, ("taken_at", "desc"), ("photo_id", "asc")]))
 
 
 def group_listing(groups: DataFrame, members: DataFrame, media: DataFrame, reason: str | None = None) -> DataFrame:
@@ -107,7 +105,7 @@ def group_page(
         groups = groups.filter(F.col("reason") == reason)
     heads, rows = _summaries(groups, members, media)
     total = groups.agg(F.count("*")).scalar()
-    return _listed(_expand(page(heads, _group_order(), limit, offset), rows)).withColumn("total", total)
+    return _listed(_expand(page(heads, GROUP_ORDER, limit, offset), rows)).withColumn("total", total)
 
 
 def apply_keep(groups: DataFrame, members: DataFrame, keep: DataFrame) -> DataFrame:

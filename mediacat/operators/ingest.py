@@ -11,7 +11,7 @@ from mediacat.functions.hashing import is_legacy_hash
 from mediacat.functions.paths import basename, media_type, normalize_folder
 from mediacat.operators.filters import active
 from mediacat.operators.maintain import purge
-from mediacat.runtime import materialize
+from mediacat.runtime import materialize, release, without_taken
 from mediacat.schema import Catalog, with_utc
 
 
@@ -81,8 +81,7 @@ def insert_ignore(media: DataFrame, new: DataFrame, order: str | None = None) ->
     """
     rank = F.col(order) if order else F.struct("path", "id")
     open_rows = (
-        new.join(media.select("id"), "id", "left_anti")
-        .join(media.select("path"), "path", "left_anti")
+        without_taken(without_taken(new, media, "id"), media, "path")
         .withColumn("__rank", F.struct(rank.alias("r"), F.col("path").alias("p"), F.col("id").alias("i")))
     )
     open_rows = materialize(open_rows.dropDuplicates(["id", "path"]) if order is None else open_rows, "batch")
@@ -98,10 +97,11 @@ def insert_ignore(media: DataFrame, new: DataFrame, order: str | None = None) ->
             "settled",
         )
         won.append(settled)
-        open_rows = materialize(
+        previous, open_rows = open_rows, materialize(
             open_rows.join(settled.select("id"), "id", "left_anti").join(settled.select("path"), "path", "left_anti"),
             "open",
         )
+        release(previous)
     if not won:
         return media
     added = reduce(DataFrame.unionByName, won).dropDuplicates(["id"]).drop("__rank")
@@ -185,13 +185,14 @@ def upsert_embeddings(embeddings: DataFrame, batch: DataFrame) -> DataFrame:
     def pick(name):
         return F.when(F.col("__new").isNotNull(), F.col(f"__new.{name}")).otherwise(F.col(name)).alias(name)
 
-    return embeddings.join(latest, "photo_id", "full_outer").select(
-        "photo_id",
-        pick("embedding"),
-        pick("model"),
-        F.coalesce("created_at", "__first").alias("created_at"),
-        pick("updated_at"),
+    # a small batch is sent to the vectors; they are not shuffled for it
+    kept = embeddings.join(latest, "photo_id", "left").select(
+        "photo_id", pick("embedding"), pick("model"), "created_at", pick("updated_at")
     )
+    added = without_taken(latest, embeddings, "photo_id").select(
+        "photo_id", "__new.embedding", "__new.model", F.col("__first").alias("created_at"), "__new.updated_at"
+    )
+    return kept.unionByName(added)
 
 
 def folder_overlap(folders: DataFrame, candidates: DataFrame, trash_dir: str = ".media-trash") -> DataFrame:

@@ -77,7 +77,7 @@ def restore_paths(entries: DataFrame, taken: DataFrame) -> DataFrame:
     number = F.regexp_extract(split_extension(F.col("path"))[0], r" \(([1-9][0-9]{0,8})\)$", 1)
     used = (
         occupied.filter(number != "")
-        .select(F.concat(numbered, split_extension(F.col("path"))[1]).alias("target"), number.cast("bigint").alias("n"))
+        .select(F.concat(numbered, split_extension(F.col("path"))[1]).alias("target"), number.try_cast("bigint").alias("n"))
         .join(wanted, "target", "left_semi")
     )
     target_taken = wanted.join(taken.select(F.col("path").alias("target")).distinct(), "target", "left_semi")

@@ -12,13 +12,19 @@ from mediacat.operators.filters import in_bounds
 SINGLE_ZOOM = 16
 
 
+# A view with at most this many grid cells may broadcast one row per cell.
+BROADCAST_CELLS = 500_000
+
+
 def map_clusters(
     media: DataFrame, south: float, west: float, north: float, east: float, zoom: int
 ) -> DataFrame:
     """cluster_lat, cluster_lon, count, representative_id, path, filename per grid cell.
 
-    Grouping is on the whole-number cell index; the representative's columns travel in
-    the aggregate, so there is no join back and hot cells combine map-side.
+    Grouping is on the whole-number cell index and combines map-side, so hot cells cost
+    nothing extra. The box and the zoom bound the number of cells: a view of few cells
+    aggregates ids only and looks the representatives up by broadcast; a finer one
+    carries their columns in the aggregate, which needs no second pass.
     """
     rows = in_bounds(media, south, west, north, east)
     if zoom >= SINGLE_ZOOM:
@@ -31,17 +37,31 @@ def map_clusters(
             "filename",
         )
     p = grid_precision(zoom)
-    cells = rows.groupBy(
+    cell = [
         F.round(F.col("latitude") / p).cast("bigint").alias("__y"),
         F.round(F.col("longitude") / p).cast("bigint").alias("__x"),
-    ).agg(F.count("*").alias("count"), F.min(F.struct("id", "path", "filename")).alias("__rep"))
-    return cells.select(
+    ]
+    height, width = min(north, 90) - max(south, -90), min(east, 180) - max(west, -180)
+    if (height / p + 2) * (width / p + 2) <= BROADCAST_CELLS:
+        cells = rows.groupBy(*cell).agg(F.count("*").alias("count"), F.min("id").alias("id"))
+        found = (
+            rows.select("id", "path", "filename")
+            .join(F.broadcast(cells), "id")
+            .groupBy("__y", "__x", "count", "id")
+            .agg(F.min("path").alias("path"), F.min("filename").alias("filename"))
+        )
+    else:
+        cells = rows.groupBy(*cell).agg(
+            F.count("*").alias("count"), F.min(F.struct("id", "path", "filename")).alias("__rep")
+        )
+        found = cells.select("__y", "__x", "count", "__rep.id", "__rep.path", "__rep.filename")
+    return found.select(
         (F.col("__y") * p).alias("cluster_lat"),
         (F.col("__x") * p).alias("cluster_lon"),
         "count",
-        F.col("__rep.id").alias("representative_id"),
-        "__rep.path",
-        "__rep.filename",
+        F.col("id").alias("representative_id"),
+        "path",
+        "filename",
     )
 
 

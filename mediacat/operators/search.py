@@ -185,18 +185,16 @@ def search(
 ) -> DataFrame:
     """Best files per query: query_id, rank, photo_id, similarity, and the file's columns.
 
-    Only vectors of active files take part; the wide media columns are joined to the few
-    winners alone.
+    With ``media`` only active files take part. That test runs on the hits, which are few
+    and narrow, never on the vectors, which would have to be shuffled for it.
     """
     limit = max(1, min(limit, MAX_LIMIT))
     if model is not None:
         embeddings = embeddings.filter(F.col("model") == model)
-    if media is not None:
-        alive = active(media).select(F.col("id").alias("photo_id"))
-        embeddings = embeddings.join(alive, "photo_id", "left_semi")
-    best = top_k(score_all(plans, embeddings, limit), limit)
     if media is None:
-        return best
+        return top_k(score_all(plans, embeddings, limit), limit)
+    alive = active(media).select(F.col("id").alias("photo_id"))
+    best = top_k(score_all(plans, embeddings).join(alive, "photo_id", "left_semi"), limit)
     return best.join(active(media).withColumnRenamed("id", "photo_id"), "photo_id")
 
 

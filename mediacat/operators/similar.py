@@ -101,7 +101,7 @@ def similar_pairs(
         & (distance < threshold)
     )
     return (
-        left.join(right, ["band", "value"])
+        left.join(right.hint("merge"), ["band", "value"])
         .filter(near)
         .select("id_a", "id_b", distance.alias("distance"))
         .distinct()
@@ -182,6 +182,20 @@ def _near(a: str, b: str, threshold: int, size_ratio: int) -> Column:
     return sizes & (hamming_bits(F.col(f"bits_{a}"), F.col(f"bits_{b}")) < threshold)
 
 
+# Candidate rows per task of a self-join.
+ROWS_PER_TASK = 500_000
+
+
+def _spread(keyed: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Partition by key once, for both sides of a self-join (the exchange is reused).
+
+    The number of partitions follows the exploded row count: the optimizer sizes a
+    generated table like its input, so it would broadcast or coalesce far too much.
+    """
+    configured = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(max(configured, -(-rows // ROWS_PER_TASK)), *keys)
+
+
 def _side(rows: DataFrame, side: str, keys: list[str]) -> DataFrame:
     return rows.select(*[F.col(c) if c in keys else F.col(c).alias(f"{c}_{side}") for c in rows.columns])
 
@@ -215,17 +229,15 @@ def similar_links(
     )
     # one row per crowded bucket; their number is nodes * choices / hot_bucket at most
     crowded = materialize(
-        keyed.groupBy(*keys)
-        .agg(F.count("*").alias("n"), F.min_by(F.struct("node", "bits", "lo", "hi"), "node").alias("pivot"))
-        .filter(F.col("n") > hot_bucket),
-        "crowded",
+        keyed.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > hot_bucket), "crowded"
     )
     no_crowd = crowded.isEmpty()
     calm = keyed if no_crowd else keyed.join(crowded, keys, "left_anti")
     first = _intact_before(F.col("bits_a").bitwiseXOR(F.col("bits_b")), block_masks, lasts[F.col("choice")]) == pick
+    calm = _spread(calm, keys, total * len(choices))
     links = (
         _side(calm, "a", keys)
-        .join(_side(calm, "b", keys), keys)
+        .join(_side(calm, "b", keys).hint("merge"), keys)
         .filter((F.col("node_a") < F.col("node_b")) & _near("a", "b", threshold, size_ratio) & first)
         .select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"))
     )
@@ -235,6 +247,8 @@ def similar_links(
     # Crowded buckets, pass 1: a star around the pivot of each.
     hot = hot_keys(crowded, keys, "n")
     in_crowd = join_lookup(keyed, crowded.drop("n"), keys, hot)
+    pivots = in_crowd.groupBy(*keys).agg(F.min_by(F.struct("node", "bits", "lo", "hi"), "node").alias("pivot"))
+    in_crowd = join_lookup(in_crowd, pivots, keys, hot)
     pivot = [F.col(f"pivot.{c}").alias(f"{c}_a") for c in ("node", "bits", "lo", "hi")]
     stars = _side(in_crowd, "b", keys + ["pivot"]).select("*", *pivot)
     stars = (
@@ -288,12 +302,18 @@ def _crowded_links(labelled, crowded, cuts, choices, masks, threshold, size_rati
     lead = sizes.groupBy(*keys).agg(
         F.max_by("label", F.struct("n", "label")).alias("lead"), F.count("*").alias("labels"), F.sum("n").alias("n")
     )
-    mixed = materialize(lead.filter(F.col("labels") > 1).drop("labels"), "mixed")
+    # a finer bucket that is still large is split: its rows get a salt, the minor ones meet all salts
+    splits = F.ceil(F.col("n") / CROWD).cast("int").alias("splits")
+    mixed = materialize(lead.filter(F.col("labels") > 1).select(*keys, "lead", "n", splits), "mixed")
     rows = join_lookup(fine, mixed.drop("n"), keys, hot_keys(mixed, keys, "n"))
-    minor = _side(rows.filter(F.col("label") != F.col("lead")).drop("lead"), "a", keys)
-    whole = _side(rows.drop("lead"), "b", keys)
+    salt = F.pmod(F.xxhash64("node"), F.col("splits")).cast("int")
+    whole = _side(rows.withColumn("salt", salt).drop("lead", "splits"), "b", [*keys, "salt"])
+    minor = rows.filter(F.col("label") != F.col("lead")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))
+    )
+    minor = _side(minor.drop("lead", "splits"), "a", [*keys, "salt"])
     return (
-        minor.join(whole, keys)
+        minor.join(whole.hint("merge"), [*keys, "salt"])
         .filter((F.col("label_a") != F.col("label_b")) & _near("a", "b", threshold, size_ratio))
         .groupBy("label_a", "label_b")
         .agg(F.min(F.struct(F.col("node_a").alias("src"), F.col("node_b").alias("dst"))).alias("link"))

@@ -139,6 +139,8 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
                substr(ph, i * 8 + 1, 8))))"""
         ),
     )
+    flipped = materialize(flipped, "fingerprints")
+    base = flipped.drop("flip")
     return (
         base.unionByName(flipped.selectExpr("1000000 + id as id", "file_size * (1 + id % 3) as file_size", "flip as ph"))
         .unionByName(

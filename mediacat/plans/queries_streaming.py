@@ -37,7 +37,8 @@ def s3_stream_timeline(spark, sf):
     folder = _folder(spark, "timeline")
     shots = fx.shots(spark, sf).select("id", F.col("taken_at").cast("timestamp").alias("taken_at"))
     shots.repartitionByRange(3, "taken_at").sortWithinPartitions("taken_at").write.parquet(f"{folder}/in")
-    days = jobs.stream_timeline(_stream(spark, f"{folder}/in", 1))
+    # the three files may arrive in any order: allow for a whole month
+    days = jobs.stream_timeline(_stream(spark, f"{folder}/in", 1), lateness="40 days")
     sink = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
     _finish(days.writeStream.outputMode("update").foreachBatch(sink), folder)
     done = spark.read.parquet(f"{folder}/out")

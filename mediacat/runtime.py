@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,10 +59,10 @@ def scratch_root(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``. Only a local session without that
     setting gets a temporary folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    sc = spark.sparkContext
     existing = sc.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
@@ -71,16 +72,48 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def _scratch_folder(spark: SparkSession) -> str:
+    """This application's part of the scratch root, removed when the driver exits."""
+    sc = spark.sparkContext
+    folder = f"{scratch_root(spark)}/mediacat/{sc.applicationId}"
+    if getattr(sc, "_mediacat_scratch", None) != folder:
+        sc._mediacat_scratch = folder
+        where = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return folder
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut the lineage: write the rows once to the shared folder and read them back.
 
-    Unlike a cached or locally checkpointed frame the result survives lost executors,
-    and unlike an RDD checkpoint it is computed once and stays columnar.
+    Unlike a cached frame the result survives lost executors, and unlike an RDD
+    checkpoint it is computed once, stays columnar and has a known size.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/mediacat/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._mediacat_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a materialized step that nothing reads any more."""
+    path = df.__dict__.get("_mediacat_path")
+    if path:
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def without_taken(few: DataFrame, many: DataFrame, key: str) -> DataFrame:
+    """Rows of ``few`` whose key does not occur in ``many``.
+
+    The large side is first cut to the keys of the small one, so a small batch is sent to
+    the large table instead of the large table being shuffled.
+    """
+    taken = many.select(key).join(few.select(key), key, "left_semi").distinct()
+    return few.join(taken, key, "left_anti")
 
 
 def hot_keys(counts: DataFrame, keys: list[str], count: str, min_rows: int | None = None) -> DataFrame:
@@ -145,13 +178,65 @@ def with_group_position(
     return placed.withColumn(name, F.col(name) - F.col("__start")).drop("__start")
 
 
-def page(df: DataFrame, order: list[Column], limit: int | None, offset: int | None) -> DataFrame:
-    """Rows [offset, offset + limit) of the ordered table; unset or 0 means no bound."""
+Order = list[tuple[str, str]]  # (column, 'asc' or 'desc'), nulls last; ends in a unique column
+
+
+def order_by(order: Order) -> list[Column]:
+    return [F.col(c).desc_nulls_last() if way == "desc" else F.col(c).asc_nulls_last() for c, way in order]
+
+
+def _narrow_by_day(df: DataFrame, order: Order, limit: int, offset: int) -> tuple[DataFrame | None, int]:
+    """Cut a page's search to the days it falls into: (rows, offset within them).
+
+    One count per day of the leading instant is all the driver-side decision needs.
+    """
+    lead = order[0][0]
+    day = F.col(lead).cast("date")
+    days = df.groupBy(day.alias("day")).agg(F.count("*").alias("n"))
+    before = F.coalesce(
+        F.sum("n").over(W.orderBy(*order_by([("day", order[0][1])])).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+    )
+    touched = days.withColumn("before", before).filter(
+        (F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)
+    )
+    hit = touched.agg(
+        F.min("day").alias("lo"), F.max("day").alias("hi"), F.min("before").alias("before"),
+        F.count_if(F.col("day").isNull()).alias("undated"),
+    ).first()
+    if hit["before"] is None:
+        return None, 0
+    dated = F.lit(False)
+    if hit["lo"] is not None:
+        low, high = F.lit(hit["lo"]).cast("timestamp_ntz"), F.date_add(F.lit(hit["hi"]), 1).cast("timestamp_ntz")
+        dated = F.col(lead).cast("timestamp_ntz").between(low, high) & day.between(F.lit(hit["lo"]), F.lit(hit["hi"]))
+    keep = dated | F.col(lead).isNull() if hit["undated"] else dated
+    return df.filter(keep), offset - hit["before"]
+
+
+def page(df: DataFrame, order: Order, limit: int | None, offset: int | None) -> DataFrame:
+    """Rows [offset, offset + limit) of the ordered table; unset or 0 means no bound.
+
+    A page near the top is a plain top-n. A deeper one first finds the days it falls into,
+    ranks only the order columns of those days, and fetches the other columns for the page
+    alone.
+    """
     limit, offset = limit or 0, offset or 0
     if limit and limit + offset <= DEEP_PAGE:
-        return df.orderBy(*order).offset(offset).limit(limit)
+        return df.orderBy(*order_by(order)).offset(offset).limit(limit)
     if not limit and not offset:
-        return df.orderBy(*order)
-    upper = F.lit(True) if not limit else F.col("__pos") < offset + limit
-    cut = with_position(df, order, "__pos").filter((F.col("__pos") >= offset) & upper)
-    return cut.orderBy("__pos").drop("__pos")
+        return df.orderBy(*order_by(order))
+    keys = [c for c, _ in order]
+    narrow: DataFrame | None = df.select(*keys)
+    if limit and df.schema[keys[0]].dataType.simpleString().startswith("timestamp"):
+        narrow, offset = _narrow_by_day(narrow, order, limit, offset)
+        if narrow is None:
+            return df.limit(0)
+    if limit and limit + offset <= DEEP_PAGE:
+        cut = narrow.orderBy(*order_by(order)).offset(offset).limit(limit)
+    else:
+        cut = with_position(narrow, order_by(order), "__pos").filter(F.col("__pos") >= offset)
+        if limit:
+            cut = cut.filter(F.col("__pos") < offset + limit)
+    cut = cut.select(*[F.col(c).alias(f"__{c}") for c in keys])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys])
+    return df.join(cut, same).drop(*cut.columns).orderBy(*order_by(order))

@@ -95,11 +95,11 @@ def read_changes(spark: SparkSession, path: str, media_schema, id_type: str = "s
     }
 
     def log(name: str) -> DataFrame:
-        parts = [f"{path}/{name}/v{n + 1:08d}" for n in range(last + 1)]
-        if not parts:
+        if last < 0:
             return spark.createDataFrame([], schemas[name]).withColumn("__batch", F.lit(0))
         number = F.regexp_extract(F.input_file_name(), r"/v(\d{8})/[^/]*$", 1).cast("int")
-        return spark.read.schema(schemas[name]).parquet(*parts).withColumn("__batch", number)
+        entries = spark.read.schema(schemas[name]).option("recursiveFileLookup", True).parquet(f"{path}/{name}")
+        return entries.withColumn("__batch", number - 1).filter(F.col("__batch") <= last)
 
     gone = log("leaving").groupBy("photo_id").agg(F.max("__batch").alias("__gone"))
 
