@@ -10,9 +10,12 @@ The complete mode never lists all pairs of a crowd:
 
 * equal fingerprints collapse to one node per run of comparable sizes, so a burst or a
   picture that makes up a third of the catalogue is one node;
-* a bucket beyond ``hot_bucket`` nodes only links each node to the bucket's pivot;
-  components of the links so far are contracted, and what is left to compare in such a
-  bucket is the nodes outside its leading component against the rest, on a finer key.
+* first, each node is only linked to the pivot of some of its buckets, and the components
+  of these links are contracted; a dense crowd becomes one component at linear cost;
+* then nodes of different components are compared, one link per pair of components is
+  kept, and only the contracted graph is solved;
+* in a bucket beyond ``CROWD`` nodes that comparison runs on a finer, salted key, between
+  the nodes outside its leading component and the rest.
 
 Every step drops only comparisons whose outcome cannot change a component.
 """
@@ -38,10 +41,12 @@ MAX_BUCKET = 1500
 SIZE_RATIO = 2
 
 BITS = 64
-# A bucket is crowded beyond this many nodes, or beyond this multiple of what random
-# fingerprints would put into it.
+# A bucket with more nodes than this is crowded.
 CROWD = 2_000
-CROWD_FACTOR = 16
+# Choices of intact blocks whose buckets get pivot links.
+STAR_CHOICES = 12
+# Candidate rows per task of a self-join.
+ROWS_PER_TASK = 500_000
 
 
 def fingerprints(media: DataFrame) -> DataFrame:
@@ -77,7 +82,7 @@ def similar_pairs(
     """(id_a, id_b, distance) of pairs that share a non-zero band.
 
     A band value held by more than ``max_bucket`` files is skipped, as the banded method
-    does by definition; ``similar_links`` is the mode that loses nothing. The limit also
+    does by definition; ``near_components`` is the mode that loses nothing. The limit also
     bounds the work per bucket, and there are at most bands * 255 buckets.
     """
     width = BITS // bands
@@ -111,19 +116,18 @@ def similar_pairs(
 # --- complete mode -------------------------------------------------------------------
 
 
-def blocks_for(nodes: int, threshold: int = THRESHOLD) -> tuple[int, int]:
-    """(blocks, pick): finer keys for larger catalogues.
+def blocks_for(nodes: int, threshold: int = THRESHOLD) -> int:
+    """Number of blocks: finer keys for larger catalogues.
 
-    ``threshold - 1`` differing bits spoil at most as many blocks, so ``blocks`` =
-    ``threshold - 1 + pick`` leaves ``pick`` intact.
+    ``threshold - 1`` differing bits spoil at most as many blocks, so ``threshold - 1 +
+    pick`` blocks leave ``pick`` intact. The smallest ``pick`` is taken that keeps buckets
+    of random fingerprints well below a crowd.
     """
-    pick = 2 if nodes < 5_000_000 else 3 if nodes < 200_000_000 else 4
-    return threshold - 1 + pick, pick
-
-
-def crowd_limit(nodes: int, blocks: int, pick: int) -> int:
-    expected = nodes / 2 ** (BITS * pick / blocks)
-    return max(CROWD, int(CROWD_FACTOR * expected))
+    for pick in (2, 3, 4, 5):
+        blocks = threshold - 1 + pick
+        if nodes / 2 ** (BITS * pick / blocks) <= CROWD / 2:
+            break
+    return blocks
 
 
 def _cut(positions: list[int], parts: int) -> list[list[int]]:
@@ -182,10 +186,6 @@ def _near(a: str, b: str, threshold: int, size_ratio: int) -> Column:
     return sizes & (hamming_bits(F.col(f"bits_{a}"), F.col(f"bits_{b}")) < threshold)
 
 
-# Candidate rows per task of a self-join.
-ROWS_PER_TASK = 500_000
-
-
 def _spread(keyed: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """Partition by key once, for both sides of a self-join (the exchange is reused).
 
@@ -200,76 +200,83 @@ def _side(rows: DataFrame, side: str, keys: list[str]) -> DataFrame:
     return rows.select(*[F.col(c) if c in keys else F.col(c).alias(f"{c}_{side}") for c in rows.columns])
 
 
-def similar_links(
+def _star_links(in_buckets: DataFrame, keys: list[str], near: Column, hot: DataFrame) -> DataFrame:
+    """Links from the least node of each bucket to the others it is near to."""
+    pivot = in_buckets.groupBy(*keys).agg(
+        F.min("nid").alias("nid_a"), *[F.min_by(c, "nid").alias(f"{c}_a") for c in ("bits", "lo", "hi")]
+    )
+    rows = join_lookup(_side(in_buckets, "b", keys), pivot, keys, hot)
+    return rows.filter((F.col("nid_a") != F.col("nid_b")) & near).select(
+        F.col("nid_a").alias("src"), F.col("nid_b").alias("dst")
+    )
+
+
+def near_components(
     nodes: DataFrame,
     threshold: int = THRESHOLD,
     size_ratio: int = SIZE_RATIO,
     blocks: int | None = None,
-    hot_bucket: int | None = None,
+    crowd: int = CROWD,
 ) -> DataFrame:
-    """(src, dst) between nodes: every link is a similar pair, and together they have
-    exactly the components of all similar pairs."""
+    """(nid, label): the components of all similar pairs of ``nodes`` (nid, bits, lo, hi)."""
     total = nodes.count()
-    if blocks is None:
-        blocks = blocks_for(total, threshold)[0]
+    blocks = blocks or blocks_for(total, threshold)
     pick = blocks - (threshold - 1)
-    if hot_bucket is None:
-        hot_bucket = crowd_limit(total, blocks, pick)
     cuts = _cut(list(range(BITS)), blocks)
-    block_masks = [_mask(c) for c in cuts]
     choices = list(combinations(range(blocks), pick))
-    masks = F.array(*[F.lit(_signed(_mask(p for b in c for p in cuts[b]))) for c in choices])
-    lasts = F.array(*[F.lit(max(c)) for c in choices])
-
+    masks = [_signed(_mask(p for b in c for p in cuts[b])) for c in choices]
     keys = ["choice", "key"]
-    keyed = (
-        nodes.select("node", "bits", "lo", "hi", F.posexplode(masks).alias("choice", "mask"))
-        .withColumn("key", F.col("bits").bitwiseAND(F.col("mask")))
-        .drop("mask")
-    )
-    # one row per crowded bucket; their number is nodes * choices / hot_bucket at most
-    crowded = materialize(
-        keyed.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > hot_bucket), "crowded"
-    )
+
+    def keyed(rows: DataFrame, step: int = 1) -> DataFrame:
+        picked = [F.struct(F.lit(i).alias("choice"), F.lit(masks[i]).alias("mask")) for i in range(0, len(masks), step)]
+        return rows.select("*", F.explode(F.array(*picked)).alias("c")).select(
+            *rows.columns, "c.choice", F.col("bits").bitwiseAND(F.col("c.mask")).alias("key")
+        )
+
+    # one row per crowded bucket: at most nodes * choices / crowd
+    sizes = keyed(nodes).groupBy(*keys).agg(F.count("*").alias("n"))
+    crowded = materialize(sizes.filter(F.col("n") > crowd), "crowded")
     no_crowd = crowded.isEmpty()
-    calm = keyed if no_crowd else keyed.join(crowded, keys, "left_anti")
-    first = _intact_before(F.col("bits_a").bitwiseXOR(F.col("bits_b")), block_masks, lasts[F.col("choice")]) == pick
+    hot = hot_keys(crowded, keys, "n")
+    near = _near("a", "b", threshold, size_ratio)
+
+    # Pass 1: stars, in evenly spread choices and in all crowded buckets.
+    stars = _star_links(keyed(nodes, -(-len(choices) // STAR_CHOICES)), keys, near, hot)
+    if not no_crowd:
+        in_crowd = join_lookup(keyed(nodes), crowded.drop("n"), keys, hot)
+        stars = stars.unionByName(_star_links(in_crowd, keys, near, hot))
+    parts = connected_components(stars).select(F.col("node").alias("nid"), F.col("component").alias("label"))
+    labelled = materialize(nodes.join(parts, "nid", "left").withColumn("label", F.coalesce("label", "nid")), "labelled")
+
+    # Pass 2: compare across components; a pair counts at the first choice it agrees on.
+    lasts = F.array(*[F.lit(max(c)) for c in choices])[F.col("choice")]
+    differing = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
+    first = _intact_before(differing, [_mask(c) for c in cuts], lasts) == pick
+    calm = keyed(labelled) if no_crowd else keyed(labelled).join(crowded, keys, "left_anti")
     calm = _spread(calm, keys, total * len(choices))
-    links = (
+    across = (
         _side(calm, "a", keys)
         .join(_side(calm, "b", keys).hint("merge"), keys)
-        .filter((F.col("node_a") < F.col("node_b")) & _near("a", "b", threshold, size_ratio) & first)
-        .select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"))
-    )
-    if no_crowd:
-        return links
-
-    # Crowded buckets, pass 1: a star around the pivot of each.
-    hot = hot_keys(crowded, keys, "n")
-    in_crowd = join_lookup(keyed, crowded.drop("n"), keys, hot)
-    pivots = in_crowd.groupBy(*keys).agg(F.min_by(F.struct("node", "bits", "lo", "hi"), "node").alias("pivot"))
-    in_crowd = join_lookup(in_crowd, pivots, keys, hot)
-    pivot = [F.col(f"pivot.{c}").alias(f"{c}_a") for c in ("node", "bits", "lo", "hi")]
-    stars = _side(in_crowd, "b", keys + ["pivot"]).select("*", *pivot)
-    stars = (
-        stars.filter((F.col("node_a") != F.col("node_b")) & _near("a", "b", threshold, size_ratio))
-        .select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"))
-        .distinct()
+        .filter((F.col("nid_a") < F.col("nid_b")) & (F.col("label_a") != F.col("label_b")) & near & first)
+        .select("label_a", "label_b")
     )
-    found = materialize(links.unionByName(stars).distinct(), "links")
-
-    # Pass 2: contract, and compare across components only.
-    parts = connected_components(found)
-    label = parts.select(F.col("node"), F.col("component").alias("label"))
-    labelled = materialize(
-        nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled"
+    if not no_crowd:
+        in_crowd = join_lookup(keyed(labelled), crowded.drop("n"), keys, hot)
+        across = across.unionByName(_crowded_links(in_crowd, cuts, choices, crowd, threshold, near))
+    # links between components repeat: they combine in the task that finds them
+    top = connected_components(across.distinct(), "label_a", "label_b")
+    top = top.select(F.col("node").alias("label"), F.col("component").alias("__top"))
+    counts = labelled.groupBy("label").agg(F.count("*").alias("n"))
+    renamed = counts.join(top, "label", "left").select("label", F.coalesce("__top", "label").alias("__top"), "n")
+    return join_lookup(labelled, renamed.drop("n"), ["label"], hot_keys(renamed, ["label"], "n")).select(
+        "nid", F.col("__top").alias("label")
     )
-    across = _crowded_links(labelled, crowded, cuts, choices, masks, threshold, size_ratio)
-    return found.unionByName(across)
 
 
-def _crowded_links(labelled, crowded, cuts, choices, masks, threshold, size_ratio) -> DataFrame:
-    """Links between different components inside crowded buckets.
+def _crowded_links(
+    in_crowd: DataFrame, cuts: list[list[int]], choices: list[tuple], crowd: int, threshold: int, near: Column
+) -> DataFrame:
+    """(label_a, label_b) of similar pairs inside crowded buckets.
 
     The bits outside a bucket's key are cut again and two intact parts of them join the
     key, so even one enormous bucket spreads over thousands of finer ones. A finer bucket
@@ -283,70 +290,65 @@ def _crowded_links(labelled, crowded, cuts, choices, masks, threshold, size_rati
         pieces = _cut(outside, parts)
         for fine, two in enumerate(combinations(range(parts), pick)):
             rows.append((number, fine, _signed(_mask(p for b in two for p in pieces[b]))))
-    spark = labelled.sparkSession
-    finer = F.broadcast(spark.createDataFrame(rows, "choice int, fine int, fine_mask bigint"))
+    # a fixed number of rows: choices times pairs of parts
+    finer = F.broadcast(in_crowd.sparkSession.createDataFrame(rows, "choice int, fine int, fine_mask bigint"))
     keys = ["choice", "key", "fine", "fine_key"]
-    hot = hot_keys(crowded, ["choice", "key"], "n")
-    keyed = (
-        labelled.select("node", "bits", "lo", "hi", "label", F.posexplode(masks).alias("choice", "mask"))
-        .withColumn("key", F.col("bits").bitwiseAND(F.col("mask")))
-        .drop("mask")
-    )
-    inside = join_lookup(keyed, crowded.select("choice", "key"), ["choice", "key"], hot)
     fine = (
-        inside.join(finer, "choice")
+        in_crowd.join(finer, "choice")
         .withColumn("fine_key", F.col("bits").bitwiseAND(F.col("fine_mask")))
         .drop("fine_mask")
     )
     sizes = fine.groupBy(*keys, "label").agg(F.count("*").alias("n"))
     lead = sizes.groupBy(*keys).agg(
-        F.max_by("label", F.struct("n", "label")).alias("lead"), F.count("*").alias("labels"), F.sum("n").alias("n")
+        F.max_by("label", "n").alias("lead"), F.count("*").alias("labels"), F.sum("n").alias("n")
     )
     # a finer bucket that is still large is split: its rows get a salt, the minor ones meet all salts
-    splits = F.ceil(F.col("n") / CROWD).cast("int").alias("splits")
+    splits = F.ceil(F.col("n") / crowd).cast("int").alias("splits")
     mixed = materialize(lead.filter(F.col("labels") > 1).select(*keys, "lead", "n", splits), "mixed")
     rows = join_lookup(fine, mixed.drop("n"), keys, hot_keys(mixed, keys, "n"))
-    salt = F.pmod(F.xxhash64("node"), F.col("splits")).cast("int")
-    whole = _side(rows.withColumn("salt", salt).drop("lead", "splits"), "b", [*keys, "salt"])
+    salted = [*keys, "salt"]
+    salt = F.pmod(F.xxhash64("nid"), F.col("splits")).cast("int")
+    whole = _side(rows.withColumn("salt", salt).drop("lead", "splits"), "b", salted)
     minor = rows.filter(F.col("label") != F.col("lead")).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))
     )
-    minor = _side(minor.drop("lead", "splits"), "a", [*keys, "salt"])
     return (
-        minor.join(whole.hint("merge"), [*keys, "salt"])
-        .filter((F.col("label_a") != F.col("label_b")) & _near("a", "b", threshold, size_ratio))
-        .groupBy("label_a", "label_b")
-        .agg(F.min(F.struct(F.col("node_a").alias("src"), F.col("node_b").alias("dst"))).alias("link"))
-        .select("link.src", "link.dst")
+        _side(minor.drop("lead", "splits"), "a", salted)
+        .join(whole.hint("merge"), salted)
+        .filter((F.col("label_a") != F.col("label_b")) & near)
+        .select("label_a", "label_b")
     )
 
 
 # --- groups --------------------------------------------------------------------------
 
 
-def similar_components(
-    fp: DataFrame, mode: str = "complete", hot_bucket: int | None = None, **limits
-) -> DataFrame:
-    """(id, component) of every file similar to another, directly or through others."""
+def similar_components(fp: DataFrame, mode: str = "complete", **limits) -> DataFrame:
+    """(id, component) of every file similar to another, directly or through others.
+
+    ``fp`` is (id, file_size, ph); the component is its least id.
+    """
     if mode == "banded":
         pairs = similar_pairs(fp, **limits)
         return connected_components(pairs, "id_a", "id_b").withColumnRenamed("node", "id")
     files, nodes = fingerprint_nodes(fp)
-    nodes = materialize(nodes, "nodes")
-    parts = connected_components(similar_links(nodes, hot_bucket=hot_bucket, **limits))
-    linked = nodes.join(parts, "node", "left").filter(F.col("component").isNotNull() | (F.col("copies") > 1))
-    labels = linked.select("node", F.coalesce("component", "node").alias("component"), "copies")
-    # the least node of a component is also its least file, as a node is its least file
-    return join_lookup(files, labels.drop("copies"), ["node"], hot_keys(labels, ["node"], "copies")).select(
-        "id", "component"
+    nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    parts = near_components(nodes.select("nid", "bits", "lo", "hi"), **limits)
+    placed = materialize(nodes.select("nid", "node", "copies").join(parts, "nid"), "placed")
+    # a node is named by its least file, so the least node of a component is its least file
+    names = placed.groupBy("label").agg(
+        F.min("node").alias("component"), F.sum("copies").alias("files"), F.count("*").alias("n")
     )
+    names = names.filter(F.col("files") > 1)
+    named = join_lookup(placed, names.select("label", "component"), ["label"], hot_keys(names, ["label"], "n"))
+    hot = hot_keys(placed, ["node"], "copies")
+    return join_lookup(files, named.select("node", "component"), ["node"], hot).select("id", "component")
 
 
 def similar_groups(
     media: DataFrame,
     members: DataFrame | None = None,
     mode: str = "complete",
-    hot_bucket: int | None = None,
     **limits,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, groups) of the 'similar' reason.
@@ -354,7 +356,7 @@ def similar_groups(
     With ``members`` (of any reason) the run is incremental: a component with a member
     that already belongs to a group is left alone.
     """
-    found = similar_components(fingerprints(media), mode, hot_bucket, **limits)
+    found = similar_components(fingerprints(media), mode, **limits)
     found = materialize(found, "components")
     if members is not None:
         taken = (

@@ -104,7 +104,7 @@ def d4_similar_complete(spark, sf):
 @query(NEAR_SQL.format(rows="fp") + COMPONENT_SQL + " SELECT id, component FROM comp", "fp")
 def d4_similar_complete_crowded(spark, sf):
     """The same rows with every bucket of more than three nodes treated as crowded."""
-    return similar.similar_components(fx.fingerprints(spark, sf), hot_bucket=3)
+    return similar.similar_components(fx.fingerprints(spark, sf), crowd=3)
 
 
 @query(BANDED_SQL.format(rows="fp", cap=1500) + COMPONENT_SQL + " SELECT id, component FROM comp", "fp")
@@ -322,10 +322,10 @@ def k3_rebuild_groups(spark, sf):
     """Written as a snapshot and read back."""
     import uuid
 
-    from mediacat.runtime import scratch_root
+    from mediacat.runtime import scratch_folder
     from mediacat.sources import tables
 
-    base = f"{scratch_root(spark)}/groups-{uuid.uuid4().hex}"
+    base = f"{scratch_folder(spark)}/groups-{uuid.uuid4().hex}"
     heads = fx.groups(spark, sf).filter("reason = 'exact'")
     members = fx.members(spark, sf).join(heads.select("group_id"), "group_id", "left_semi")
     tables.rebuild_groups(members, heads, base, "exact")

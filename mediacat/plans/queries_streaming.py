@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from mediacat.plans import fixtures as fx
 from mediacat.plans.registry import query
-from mediacat.runtime import scratch_root
+from mediacat.runtime import scratch_folder
 from mediacat.streaming import jobs
 
 
 def _folder(spark, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _stream(spark, path: str, parts: int | None = None):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,13 +9,12 @@ from pyspark.sql import functions as F
 
 from mediacat.functions import fingerprints as fingerprint_functions
 from mediacat.functions import hashing, tags
-from mediacat.operators import audit, groups, ingest, maintain
+from mediacat.operators import audit, ingest, maintain
 from mediacat.operators.filters import phash_missing
 from mediacat.plans import fixtures as fx
 from mediacat.plans.registry import flat, query, rounded
-from mediacat.runtime import materialize, scratch_root
+from mediacat.runtime import materialize
 from mediacat.schema import Catalog
-from mediacat.sources import tables
 
 NOW = "2026-01-01 12:00:00"
 REPICK = """(latitude IS NOT NULL AND longitude IS NOT NULL) DESC, file_size DESC NULLS LAST, (taken_at IS NULL), taken_at, id"""

@@ -72,7 +72,7 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def _scratch_folder(spark: SparkSession) -> str:
+def scratch_folder(spark: SparkSession) -> str:
     """This application's part of the scratch root, removed when the driver exits."""
     sc = spark.sparkContext
     folder = f"{scratch_root(spark)}/mediacat/{sc.applicationId}"
@@ -90,7 +90,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     checkpoint it is computed once, stays columnar and has a known size.
     """
     spark = df.sparkSession
-    path = f"{_scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._mediacat_path = path

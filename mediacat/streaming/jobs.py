@@ -35,7 +35,8 @@ class Changes(NamedTuple):
     """What one increment adds and removes; its size follows the increment, not the catalogue."""
 
     rows: DataFrame  # new and re-read media rows
-    leaving: DataFrame  # photo_id of rows that are replaced and lose vector and membership
+    leaving: DataFrame  # photo_id of rows that are replaced
+    unlinked: DataFrame  # group_id, photo_id of memberships that end, also by a group's end
     members: DataFrame  # group_id, photo_id joined to a group
     groups: DataFrame  # group_id, reason, keeper_id opened
 
@@ -53,7 +54,10 @@ def ingest_changes(
     todo = materialize(diff_listing(seen, known).filter(F.col("status").isin("new", "changed")), "diff")
     rows = materialize(new_media(todo, extract(todo.select("path", "length", "mtime")), scan_id), "rows")
     leaving = todo.filter(F.col("status") == "changed").join(rows.select("id"), "id", "left_semi").select("id")
-    left = catalog if leaving.isEmpty() else purge(catalog, leaving)[0]
+    left, unlinked = catalog, catalog.members.limit(0)
+    if not leaving.isEmpty():
+        left, _ = purge(catalog, leaving)
+        unlinked = catalog.members.join(left.members, ["group_id", "photo_id"], "left_anti")
     media = left.media.unionByName(rows.select(*[c for c in rows.columns if c in left.media.columns]), allowMissingColumns=True)
     exact = left.groups.filter(F.col("reason") == "exact").select("group_id")
     members, groups = exact_groups_incremental(
@@ -62,7 +66,7 @@ def ingest_changes(
         rows.filter(F.col("frame_hash").isNotNull()).select("frame_hash"),
         left.members.join(exact, "group_id", "left_semi"),
     )
-    return Changes(rows, leaving.withColumnRenamed("id", "photo_id"), members, groups)
+    return Changes(rows, leaving.withColumnRenamed("id", "photo_id"), unlinked, members, groups)
 
 
 def write_changes(changes: Changes, path: str, batch_id: int) -> None:
@@ -70,7 +74,7 @@ def write_changes(changes: Changes, path: str, batch_id: int) -> None:
 
     ``rows`` is written last: its marker commits the batch.
     """
-    for name in ("leaving", "members", "groups", "rows"):
+    for name in ("leaving", "unlinked", "members", "groups", "rows"):
         getattr(changes, name).write.mode("overwrite").parquet(f"{path}/{name}/v{batch_id + 1:08d}")
 
 
@@ -83,13 +87,15 @@ def committed_batch(spark: SparkSession, path: str) -> int:
 def read_changes(spark: SparkSession, path: str, media_schema, id_type: str = "string") -> Catalog:
     """The catalogue a change log describes.
 
-    A row or membership counts unless its file left in a later batch; groups that fell to
-    one member vanish, and groups that lost a member get their keeper picked anew.
+    A row counts unless it was replaced in a later batch, a membership unless it ended in
+    one; groups without two members vanish, and groups that lost a member since they
+    opened get their keeper picked anew.
     """
     last = committed_batch(spark, path)
     schemas = {
         "rows": media_schema,
         "leaving": f"photo_id {id_type}",
+        "unlinked": f"group_id string, photo_id {id_type}",
         "members": f"group_id string, photo_id {id_type}",
         "groups": f"group_id string, reason string, keeper_id {id_type}",
     }
@@ -101,19 +107,20 @@ def read_changes(spark: SparkSession, path: str, media_schema, id_type: str = "s
         entries = spark.read.schema(schemas[name]).option("recursiveFileLookup", True).parquet(f"{path}/{name}")
         return entries.withColumn("__batch", number - 1).filter(F.col("__batch") <= last)
 
-    gone = log("leaving").groupBy("photo_id").agg(F.max("__batch").alias("__gone"))
+    def current(entries: DataFrame, ended: DataFrame, keys: list[str]) -> DataFrame:
+        ends = ended.groupBy(*keys).agg(F.max("__batch").alias("__end"))
+        alive = F.col("__end").isNull() | (F.col("__batch") >= F.col("__end"))
+        return entries.join(ends, keys, "left").filter(alive).drop("__end")
 
-    def current(df: DataFrame, key: str) -> DataFrame:
-        joined = df.join(gone.withColumnRenamed("photo_id", key), key, "left")
-        return joined.withColumn("__alive", F.col("__gone").isNull() | (F.col("__batch") >= F.col("__gone")))
-
-    media = current(log("rows"), "id").filter("__alive").drop("__batch", "__gone", "__alive")
-    all_members = current(log("members"), "photo_id")
-    members = all_members.filter("__alive").select("group_id", "photo_id").distinct()
-    touched = all_members.filter("not __alive").select("group_id").distinct()
-    groups = (
-        log("groups").groupBy("group_id", "reason").agg(F.max_by("keeper_id", "__batch").alias("keeper_id"))
+    media = current(log("rows"), log("leaving").withColumnRenamed("photo_id", "id"), ["id"]).drop("__batch")
+    pair = ["group_id", "photo_id"]
+    members = current(log("members"), log("unlinked"), pair).select(*pair).distinct()
+    opened = log("groups").groupBy("group_id", "reason").agg(
+        F.max_by("keeper_id", "__batch").alias("keeper_id"), F.max("__batch").alias("__opened")
     )
+    ends = log("unlinked").groupBy("group_id").agg(F.max("__batch").alias("__end"))
+    groups = opened.select("group_id", "reason", "keeper_id")
+    touched = opened.join(ends, "group_id").filter(F.col("__end") > F.col("__opened")).select("group_id")
     groups, members, _ = prune_groups(groups, members)
     members = materialize(members, "members")
     best = repick_keeper(members.join(touched, "group_id", "left_semi"), media).withColumnRenamed("keeper_id", "__best")

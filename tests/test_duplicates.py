@@ -123,13 +123,13 @@ def test_components_of_nothing(spark):
     assert connected_components(table(spark, "src bigint, dst bigint")).count() == 0
 
 
-@pytest.mark.parametrize("hot_bucket", [2, 10, None])
-def test_complete_mode_equals_all_pairs(spark, hot_bucket):
+@pytest.mark.parametrize("crowd", [2, 10, 2000])
+def test_complete_mode_equals_all_pairs(spark, crowd):
     rows = near_fingerprints(260, seed=11)
     rows += [(1000 + i, 1000 + i % 7, rows[0][2]) for i in range(100)]  # one fingerprint owns a third
     rows += [(2000, 10, "0" * 64), (2001, 10, "0" * 64)]
     fp = table(spark, "id bigint, file_size bigint, ph string", *rows)
-    found = similar.similar_components(fp, hot_bucket=hot_bucket)
+    found = similar.similar_components(fp, crowd=crowd)
     assert dict(rows_of(found)) == brute_components(rows)
 
 
@@ -152,7 +152,7 @@ def test_crowd_of_many_components_is_compared_across(spark):
         for j, bits in enumerate((base, other)):
             rows.append((2 * i + j, 1000, format(bits ^ (1 << rng.randrange(64)), "064b")))
     fp = table(spark, "id bigint, file_size bigint, ph string", *rows)
-    assert dict(rows_of(similar.similar_components(fp, hot_bucket=4))) == brute_components(rows)
+    assert dict(rows_of(similar.similar_components(fp, crowd=4))) == brute_components(rows)
 
 
 def test_every_banded_pair_lies_in_one_complete_component(spark):

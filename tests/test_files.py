@@ -173,6 +173,8 @@ def test_replayed_batch_takes_effect_once(spark, tmp_path):
     files = [
         [("/a/1.jpg", 10, 1), ("/a/2.jpg", 10, 1), ("/a/3.jpg", 11, 1)],
         [("/a/4.jpg", 10, 2), ("/a/1.jpg", 12, 2)],  # 1 changed: only 2 and 4 are copies now
+        [("/a/2.jpg", 13, 3), ("/a/5.jpg", 13, 3)],  # 2 changed: 4 is alone, 2 and 5 are copies
+        [("/a/6.jpg", 10, 4)],  # 4 and 6 are copies
     ]
     for n, rows in enumerate(files):
         batch = table(spark, "path string, length bigint, t bigint", *rows).selectExpr(
@@ -183,8 +185,11 @@ def test_replayed_batch_takes_effect_once(spark, tmp_path):
             state = jobs.read_changes(spark, before, STREAM_MEDIA) if n == 0 else first
             jobs.write_changes(_columns(jobs.ingest_changes(state, batch, _read_files, f"s{n}")), log, n)
         first = jobs.read_changes(spark, log, STREAM_MEDIA)
-    assert jobs.committed_batch(spark, log) == 1
+    assert jobs.committed_batch(spark, log) == 3
     by_id = {r["id"]: r["path"] for r in first.media.collect()}
-    assert sorted(by_id.values()) == ["/a/1.jpg", "/a/2.jpg", "/a/3.jpg", "/a/4.jpg"]
-    assert sorted(by_id[r["photo_id"]] for r in first.members.collect()) == ["/a/2.jpg", "/a/4.jpg"]
-    assert first.groups.count() == 1
+    assert sorted(by_id.values()) == [f"/a/{n}.jpg" for n in range(1, 7)]
+    linked = {}
+    for r in first.members.collect():
+        linked.setdefault(r["group_id"], []).append(by_id[r["photo_id"]])
+    assert sorted(sorted(v) for v in linked.values()) == [["/a/2.jpg", "/a/5.jpg"], ["/a/4.jpg", "/a/6.jpg"]]
+    assert rows_of(first.groups, "group_id") == sorted((g,) for g in linked)
