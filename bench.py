@@ -22,8 +22,8 @@ COPIES = 20
 
 
 def replicated(df, *ids):
-    """The table COPIES times over, with distinct ids."""
-    out = df.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    """The table COPIES times over, with distinct ids; the source file is a single split."""
+    out = df.repartition(df.sparkSession.sparkContext.defaultParallelism).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
     for name in ids:
         out = out.withColumn(name, F.col(name) + F.col("__copy") * 10_000_000)
     return out.drop("__copy")
