@@ -38,6 +38,17 @@ def timeline(media: DataFrame, f: MediaFilter | None = None, unit: str = "month"
     )
 
 
+# Month labels of a timeline.
+MONTH_LABEL = "yyyy年M月"
+UNKNOWN_LABEL = "未知时间"
+
+
+def timeline_labels(months: DataFrame) -> DataFrame:
+    """Adds the display text of a month key."""
+    first = F.to_date(F.concat(F.nullif("key", F.lit(UNKNOWN_MONTH)), F.lit("-01")))
+    return months.withColumn("label", F.coalesce(F.date_format(first, MONTH_LABEL), F.lit(UNKNOWN_LABEL)))
+
+
 def browse(media: DataFrame, f: MediaFilter | None = None) -> DataFrame:
     """The filtered list, newest first, optionally cut to a page."""
     f = f or MediaFilter()

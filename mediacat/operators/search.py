@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -74,7 +74,7 @@ def plan_queries(queries: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
     )
 
 
-def _passes(plans: DataFrame) -> list[pd.DataFrame]:
+def _passes(plans: DataFrame) -> Iterator[pd.DataFrame]:
     """Plans in slices of bounded size, all plans of a query in one slice."""
     total = plans.count()
     slices = -(-total // PLANS_PER_PASS) or 1
@@ -82,6 +82,9 @@ def _passes(plans: DataFrame) -> list[pd.DataFrame]:
     if slices == 1:
         yield rows.toPandas()
         return
+    most = rows.groupBy("query_id").count().agg(F.max("count")).first()[0]
+    if most > PLANS_PER_PASS:
+        raise ValueError(f"a query has {most} plans; {PLANS_PER_PASS} fit one pass")
     # twice as many slices as needed keeps each near half the bound
     part = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(2 * slices))
     rows = materialize(rows.withColumn("__part", part), "plans")

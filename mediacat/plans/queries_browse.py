@@ -124,6 +124,15 @@ def a1_timeline(spark, sf):
     return flat(browse.timeline(fx.media(spark, sf)))
 
 
+@query(
+    """SELECT coalesce(strftime(taken_at, '%Y-%m'), 'unknown') AS key, count(*) AS "count",
+    coalesce(year(min(taken_at)) || '年' || month(min(taken_at)) || '月', '未知时间') AS label FROM active GROUP BY 1""",
+    "active",
+)
+def a1_timeline_labels(spark, sf):
+    return browse.timeline_labels(browse.timeline(fx.media(spark, sf))).drop("first_date")
+
+
 @query(
     """SELECT coalesce(strftime(taken_at, '%Y-%m'), 'unknown') AS key, count(*) AS "count",
     CAST(min(taken_at) AS VARCHAR) AS first_date FROM shipments WHERE folder_id = 'R' AND camera = 'F' GROUP BY 1""",
@@ -134,13 +143,12 @@ def a1_timeline_filtered(spark, sf):
 
 
 @query(
-    """SELECT strftime(taken_at, '%Y-%m-%d') AS key, count(*) AS "count", epoch_us(min(taken_at)) AS first_date
+    """SELECT strftime(taken_at, '%Y-%m-%d') AS key, count(*) AS "count", CAST(min(taken_at) AS VARCHAR) AS first_date
     FROM shots GROUP BY 1""",
     "shots",
 )
 def a1_timeline_by_day(spark, sf):
-    days = browse.timeline(fx.shots(spark, sf), unit="day")
-    return days.withColumn("first_date", F.unix_micros(F.col("first_date").cast("timestamp")))
+    return flat(browse.timeline(fx.shots(spark, sf), unit="day"))
 
 
 STATS_SQL = """SELECT (SELECT count(*) FROM active) AS total,

@@ -79,6 +79,19 @@ def i6_phash_missing(spark, sf):
     return phash_missing(fx.media(spark, sf))
 
 
+@query(
+    """SELECT id, CASE WHEN deleted_at IS NULL AND perceptual_hash IS NULL THEN ph ELSE perceptual_hash END AS perceptual_hash
+    FROM media LEFT JOIN fp_base USING (id)""",
+    "media", "fp_base",
+)
+def i6_fill_missing_phash(spark, sf):
+    """Fingerprints computed from pixels fill the gaps."""
+    media = fx.media(spark, sf)
+    pixels = fx.fingerprints(spark, sf).filter("id < 1000000").select("id", F.col("ph").alias("perceptual_hash"))
+    computed = media.select("id", "path").join(pixels, "id").select("path", "perceptual_hash")
+    return ingest.fill_missing_phash(media, computed).select("id", "perceptual_hash")
+
+
 @query("SELECT path, id, status, length, CAST(mtime AS VARCHAR) AS mtime FROM diff", "diff")
 def i7_diff_listing(spark, sf):
     return flat(ingest.diff_listing(fx.listing(spark, sf), fx.media(spark, sf)))
@@ -170,7 +183,7 @@ def i9_folder_scan_times(spark, sf):
     """, v AS (SELECT *, CASE WHEN len(gps_lat) >= 3 THEN (gps_lat[1] + gps_lat[2] / 60 + gps_lat[3] / 3600) * CASE WHEN gps_lat_ref = 'S' THEN -1 ELSE 1 END END AS la,
       CASE WHEN len(gps_lon) >= 3 THEN (gps_lon[1] + gps_lon[2] / 60 + gps_lon[3] / 3600) * CASE WHEN gps_lon_ref = 'W' THEN -1 ELSE 1 END END AS lo,
       trim(make || ' ' || model) AS cam FROM tags)
-    SELECT id, epoch_us(coalesce(dt_original, dt_create, alt_dt_original)) AS taken_at,
+    SELECT id, CAST(coalesce(dt_original, dt_create, alt_dt_original) AS VARCHAR) AS taken_at,
       round(CASE WHEN la IS NULL AND lo IS NULL THEN alt_lat ELSE la END, 6)::DOUBLE + 0.0 AS latitude,
       round(CASE WHEN la IS NULL AND lo IS NULL THEN alt_lon ELSE lo END, 6)::DOUBLE + 0.0 AS longitude,
       CASE WHEN exif_width <> 0 THEN exif_width WHEN image_width <> 0 THEN image_width ELSE decoder_width END::INT AS width,
@@ -182,8 +195,7 @@ def i9_folder_scan_times(spark, sf):
 )
 def i10_normalize_tags(spark, sf):
     out = tags.normalize_tags(fx.tags(spark, sf)).drop("height")
-    out = out.withColumn("taken_at", F.unix_micros(F.col("taken_at").cast("timestamp")))
-    out = rounded(out, "latitude", "longitude")
+    out = rounded(flat(out), "latitude", "longitude")
     return out.withColumns({c: F.col(c) + 0.0 for c in ("latitude", "longitude")})
 
 

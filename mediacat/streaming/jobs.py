@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from mediacat.operators.exact import duplicate_key, exact_groups_incremental
@@ -18,7 +19,7 @@ from mediacat.operators.ingest import diff_listing, new_media
 from mediacat.operators.keeper import repick_keeper
 from mediacat.operators.maintain import prune_groups, purge
 from mediacat.runtime import materialize
-from mediacat.schema import Catalog, utc
+from mediacat.schema import Catalog, utc, with_utc
 from mediacat.sources.tables import versions
 
 
@@ -207,11 +208,16 @@ def latest_alerts(alerts: DataFrame) -> DataFrame:
 def stream_timeline(media: DataFrame, unit: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """Files per tumbling window of capture time; the watermark bounds the open windows.
 
-    Works on a stream and, for comparison, on a batch. Column: taken_at (TIMESTAMP).
+    Works on a stream and, for comparison, on a batch. Watermarks need a TIMESTAMP, so
+    wall-clock UTC goes in as the instant it means and comes out as wall-clock UTC.
     """
-    return (
+    if isinstance(media.schema["taken_at"].dataType, T.TimestampNTZType):
+        local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("taken_at"))
+        media = media.withColumn("taken_at", local.cast("timestamp"))
+    windows = (
         media.withWatermark("taken_at", lateness)
         .groupBy(F.window("taken_at", unit))
         .agg(F.count("*").alias("count"), F.min("taken_at").alias("first_date"))
         .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "count", "first_date")
     )
+    return with_utc(windows, "start", "end", "first_date")

@@ -43,3 +43,24 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["d7_verify_video_groups", "d12_group_listing", "d13_group_page", "d14_apply_keep", "k3_rebuild_groups",
+     "m3_restore_paths", "d2_exact_incremental_members", "d6_similar_groups"],
+)
+def test_hot_keys_give_the_same_rows(spark, duck, name, monkeypatch):
+    """Every key of three rows or more takes the broadcast path."""
+    monkeypatch.setattr("mediacat.runtime.HOT_ROWS", 3)
+    test_query(spark, duck, name)
+
+
+@pytest.mark.parametrize("name", ["a1_timeline_by_day", "p1_browse_deep", "i10_normalize_tags", "s3_stream_timeline", "i7_diff_listing"])
+def test_the_session_zone_does_not_matter(spark, duck, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        test_query(spark, duck, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

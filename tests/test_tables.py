@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mediacat.operators import audit, browse, exact, ingest, maintain
 from mediacat.operators.filters import MediaFilter
-from mediacat.plans import pipelines
+from mediacat.plans import jobs
 from mediacat.runtime import with_group_position, with_position
 from mediacat.schema import Catalog
 from mediacat.sources import tables
@@ -122,13 +122,13 @@ def test_scan_applied_twice_is_a_no_op(spark):
         ("/lib/p1.jpg", 1000, DAY), ("/lib/p2.jpg", 1001, DAY), ("/lib/new.mp4", 7, DAY),
     )
     extract = lambda files: files.select("path", F.md5("path").alias("file_hash"))
-    after, diff = pipelines.scan_folder(start, "f1", listing, extract, "s1")
+    after, diff = jobs.scan_folder(start, "f1", listing, extract, "s1")
     assert rows_of(diff, "path", "status") == [
         ("/lib/new.mp4", "new"), ("/lib/p1.jpg", "unchanged"), ("/lib/p2.jpg", "changed"), ("/lib/p3.jpg", "deleted"),
     ]
     assert after.media.count() == 3 and after.groups.count() == 0 and audit.audit(after).count() == 0
     assert rows_of(after.media.filter("id = 'p2'"), "file_size", "file_hash") != []
-    again, diff2 = pipelines.scan_folder(after, "f1", listing, extract, "s2")
+    again, diff2 = jobs.scan_folder(after, "f1", listing, extract, "s2")
     assert {r["status"] for r in diff2.collect()} == {"unchanged"}
     assert rows_of(again.media, "id") == rows_of(after.media, "id")
 
@@ -142,13 +142,13 @@ def test_empty_listing_deletes_everything(spark):
 def test_snapshots_can_become_empty(spark, tmp_path):
     base = str(tmp_path / "groups")
     rows = media(spark, {"id": "a", "file_hash": "h"}, {"id": "b", "file_hash": "h"})
-    pipelines.rebuild_exact(rows, base)
+    jobs.rebuild_exact(rows, base)
     heads, members = tables.read_groups(spark, base)
     assert rows_of(members) == [("exact:a", "a"), ("exact:a", "b")] and rows_of(heads, "reason") == [("exact",)]
-    pipelines.rebuild_exact(rows.filter("id = 'a'"), base)
+    jobs.rebuild_exact(rows.filter("id = 'a'"), base)
     heads, members = tables.read_groups(spark, base)
     assert heads.count() == 0 and members.count() == 0
-    pipelines.rebuild_exact(rows, base)
+    jobs.rebuild_exact(rows, base)
     tables.clear_stored_groups(spark, base, "exact")
     assert tables.read_groups(spark, base)[0].count() == 0
 
