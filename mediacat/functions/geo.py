@@ -7,9 +7,22 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The Krasovsky 1940 ellipsoid used by the offset.
+# The Krasovsky 1940 ellipsoid, and the offset polynomial and waves around
+# their origin. Polynomials: constant, x, y, squared term, x*y, root of |x|. Waves:
+# (amplitude, frequency in half turns per degree).
 SEMI_MAJOR_AXIS = 6378245.0
 ECCENTRICITY_SQUARED = 0.00669342162296594323
+ORIGIN_LAT, ORIGIN_LON = 35.0, 105.0
+NORTH_POLYNOMIAL = (-100.0, 2.0, 3.0, 0.2, 0.1, 0.2)
+EAST_POLYNOMIAL = (300.0, 1.0, 2.0, 0.1, 0.1, 0.1)
+COMMON_WAVES = ((20.0, 6.0), (20.0, 2.0))
+NORTH_WAVES = ((20.0, 1.0), (40.0, 1 / 3), (160.0, 1 / 12), (320.0, 1 / 30))
+EAST_WAVES = ((20.0, 1.0), (40.0, 1 / 3), (150.0, 1 / 12), (300.0, 1 / 30))
+WAVE_SCALE = 2 / 3
+
+# Map grid, degrees at zoom 0 and the finest cell.
+GRID_DEGREES = 90
+FINEST_CELL = 1e-4
 
 
 def valid_coordinates(lat: Column, lon: Column) -> Column:
@@ -19,30 +32,34 @@ def valid_coordinates(lat: Column, lon: Column) -> Column:
 
 def grid_precision(zoom: int) -> float:
     """Cell width in degrees at a zoom level."""
-    return max(90 / 2**zoom, 1e-4)
+    return max(GRID_DEGREES / 2**zoom, FINEST_CELL)
 
 
-def _waves(x: Column, amplitudes: list[tuple[float, float]]) -> Column:
-    """Sum of amplitude * sin(frequency * pi * x), scaled by two thirds."""
+def _waves(x: Column, waves) -> Column:
     total = F.lit(0.0)
-    for amplitude, frequency in amplitudes:
-        total = total + amplitude * F.sin(x * frequency * math.pi)
-    return total * 2 / 3
+    for amplitude, frequency in waves:
+        total = total + amplitude * F.sin(x * (frequency * math.pi))
+    return total * WAVE_SCALE
+
+
+def _polynomial(x: Column, y: Column, squared: Column, coefficients) -> Column:
+    terms = (F.lit(1.0), x, y, squared * squared, x * y, F.sqrt(F.abs(x)))
+    total = F.lit(0.0)
+    for coefficient, term in zip(coefficients, terms):
+        total = total + coefficient * term
+    return total
 
 
 def wgs84_to_gcj02(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """Shift WGS-84 coordinates to the GCJ-02 map datum (applied everywhere)."""
-    x, y = lon - 105.0, lat - 35.0
-    root = F.sqrt(F.abs(x))
-    common = _waves(x, [(20, 6), (20, 2)])
-    north = (
-        -100.0 + 2 * x + 3 * y + 0.2 * y * y + 0.1 * x * y + 0.2 * root
-        + common + _waves(y, [(20, 1), (40, 1 / 3)]) + _waves(y, [(160, 1 / 12), (320, 1 / 30)])
-    )
-    east = (
-        300.0 + x + 2 * y + 0.1 * x * x + 0.1 * x * y + 0.1 * root
-        + common + _waves(x, [(20, 1), (40, 1 / 3)]) + _waves(x, [(150, 1 / 12), (300, 1 / 30)])
-    )
+    """Shift WGS-84 coordinates to the GCJ-02 map datum (applied everywhere).
+
+    The offset is given in metres north and east; dividing by the radii of curvature of
+    the ellipsoid at the latitude turns it into angles.
+    """
+    x, y = lon - ORIGIN_LON, lat - ORIGIN_LAT
+    common = _waves(x, COMMON_WAVES)
+    north = _polynomial(x, y, y, NORTH_POLYNOMIAL) + common + _waves(y, NORTH_WAVES)
+    east = _polynomial(x, y, x, EAST_POLYNOMIAL) + common + _waves(x, EAST_WAVES)
     phi = F.radians(lat)
     w = 1 - ECCENTRICITY_SQUARED * F.sin(phi) * F.sin(phi)
     meridian = SEMI_MAJOR_AXIS * (1 - ECCENTRICITY_SQUARED) / (w * F.sqrt(w))

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 DERIVED_NAME_WORDS = ("copy", "副本", "edited", "修改", "截图")
 
 
+# Score of a location, of each doubling of size, of a million pixels and of
+# a name without those words.
+LOCATION_SCORE, DOUBLING_SCORE, MEGAPIXEL_SCORE, CLEAN_NAME_SCORE = 100.0, 10.0, 1.0, 10.0
+
+
 def has_location() -> Column:
     return F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
 
@@ -19,8 +24,8 @@ def keep_score() -> Column:
     pixels = F.coalesce(F.col("width"), F.lit(0)).cast("double") * F.coalesce(F.col("height"), F.lit(0))
     derived = F.lower(F.coalesce(F.col("filename"), F.lit(""))).rlike("|".join(DERIVED_NAME_WORDS))
     return (
-        F.when(has_location(), 100.0).otherwise(0.0)
-        + F.log2(size) * 10
-        + pixels / 1e6
-        + F.when(derived, 0.0).otherwise(10.0)
+        F.when(has_location(), LOCATION_SCORE).otherwise(0.0)
+        + F.log2(size) * DOUBLING_SCORE
+        + pixels / 1e6 * MEGAPIXEL_SCORE
+        + F.when(derived, 0.0).otherwise(CLEAN_NAME_SCORE)
     )

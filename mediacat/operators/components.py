@@ -12,22 +12,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.runtime import hot_keys, join_lookup, materialize, release
+from mediacat.runtime import hot_keys, join_lookup, materialize, release, written_hot_keys
 
 
-def _relabel(rows: DataFrame, column: str, table: DataFrame, hot: DataFrame) -> DataFrame:
+def _relabel(rows: DataFrame, column: str, table: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Replace ``column`` by its representative; ``table`` is (node, rep) and total on it."""
     mapped = join_lookup(
         rows.withColumnRenamed(column, "__node"),
         table.select(F.col("node").alias("__node"), F.col("rep").alias("__rep")),
         ["__node"],
-        hot.select(F.col("node").alias("__node")),
+        None if hot is None else hot.select(F.col("node").alias("__node")),
     )
     return mapped.drop("__node").withColumnRenamed("__rep", column)
 
 
 def _priority(node, round_no: int):
-    return F.xxhash64(node.cast("string"), F.lit(round_no))
+    return F.xxhash64(node, F.lit(round_no))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", min_rows: int | None = None) -> DataFrame:
@@ -53,7 +53,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .select(F.col("src").alias("node"), F.least("near", own)["node"].alias("rep"), "degree"),
             "reps",
         )
-        hot = hot_keys(reps, ["node"], "degree", min_rows)
+        hot = written_hot_keys(reps, ["node"], "degree", min_rows)
         moved = _relabel(_relabel(current, "src", reps, hot), "dst", reps, hot)
         maps.append(reps.select("node", "rep"))
         previous, current = current, materialize(
@@ -75,6 +75,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             "node", F.coalesce("__final", "rep").alias("rep")
         )
     labels = materialize(labels, "labels")
-    names = labels.groupBy("rep").agg(F.min("node").alias("component"), F.count("*").alias("__n"))
-    hot = hot_keys(names, ["rep"], "__n", min_rows)
+    names = materialize(
+        labels.groupBy("rep").agg(F.min("node").alias("component"), F.count("*").alias("__n")), "names"
+    )
+    hot = written_hot_keys(names, ["rep"], "__n", min_rows)
     return join_lookup(labels, names.drop("__n"), ["rep"], hot).select("node", "component")

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from mediacat.functions.tags import WHITESPACE
 from mediacat.functions.vectors import dense
 from mediacat.operators.filters import active
-from mediacat.runtime import materialize
+from mediacat.runtime import for_heavy_rows, materialize
 from mediacat.schema import instant
 
 # Similarity thresholds, known prompt openings and prompt texts.
@@ -260,7 +260,7 @@ def embed_missing(
 
     id_type = media.schema["id"].dataType.simpleString()
     tried = materialize(
-        todo.mapInPandas(batches, f"photo_id {id_type}, embedding array<float>, error string"), "encoded"
+        for_heavy_rows(todo).mapInPandas(batches, f"photo_id {id_type}, embedding array<float>, error string"), "encoded"
     )
     good = tried.filter(F.col("error").isNull()).select(
         "photo_id", "embedding", F.lit(model).alias("model"), instant(now).alias("updated_at")

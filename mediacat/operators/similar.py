@@ -32,7 +32,7 @@ from mediacat.functions.hashing import fingerprint_bits, hamming_bits, usable_fi
 from mediacat.operators.components import connected_components
 from mediacat.operators.filters import active
 from mediacat.operators.keeper import pick_keeper
-from mediacat.runtime import hot_keys, join_lookup, materialize
+from mediacat.runtime import hot_keys, join_lookup, materialize, written_hot_keys
 
 # Limits of the similarity test.
 THRESHOLD = 10
@@ -175,7 +175,7 @@ def fingerprint_nodes(fp: DataFrame, size_ratio: int = SIZE_RATIO) -> tuple[Data
         ),
         "runs",
     )
-    hot = hot_keys(runs, ["bits", "class"], "n")
+    hot = written_hot_keys(runs, ["bits", "class"], "n")
     files = join_lookup(rows, runs.select("bits", "class", "node"), ["bits", "class"], hot).select("id", "node")
     nodes = runs.groupBy("node", "bits", "lo", "hi").agg(F.sum("n").alias("copies"))
     return files, nodes
@@ -200,7 +200,7 @@ def _side(rows: DataFrame, side: str, keys: list[str]) -> DataFrame:
     return rows.select(*[F.col(c) if c in keys else F.col(c).alias(f"{c}_{side}") for c in rows.columns])
 
 
-def _star_links(in_buckets: DataFrame, keys: list[str], near: Column, hot: DataFrame) -> DataFrame:
+def _star_links(in_buckets: DataFrame, keys: list[str], near: Column, hot: DataFrame | None) -> DataFrame:
     """Links from the least node of each bucket to the others it is near to."""
     pivot = in_buckets.groupBy(*keys).agg(
         F.min("nid").alias("nid_a"), *[F.min_by(c, "nid").alias(f"{c}_a") for c in ("bits", "lo", "hi")]
@@ -237,7 +237,7 @@ def near_components(
     sizes = keyed(nodes).groupBy(*keys).agg(F.count("*").alias("n"))
     crowded = materialize(sizes.filter(F.col("n") > crowd), "crowded")
     no_crowd = crowded.isEmpty()
-    hot = hot_keys(crowded, keys, "n")
+    hot = written_hot_keys(crowded, keys, "n")
     near = _near("a", "b", threshold, size_ratio)
 
     # Pass 1: stars, in evenly spread choices and in all crowded buckets.
@@ -305,7 +305,7 @@ def _crowded_links(
     # a finer bucket that is still large is split: its rows get a salt, the minor ones meet all salts
     splits = F.ceil(F.col("n") / crowd).cast("int").alias("splits")
     mixed = materialize(lead.filter(F.col("labels") > 1).select(*keys, "lead", "n", splits), "mixed")
-    rows = join_lookup(fine, mixed.drop("n"), keys, hot_keys(mixed, keys, "n"))
+    rows = join_lookup(fine, mixed.drop("n"), keys, written_hot_keys(mixed, keys, "n"))
     salted = [*keys, "salt"]
     salt = F.pmod(F.xxhash64("nid"), F.col("splits")).cast("int")
     whole = _side(rows.withColumn("salt", salt).drop("lead", "splits"), "b", salted)
@@ -341,7 +341,7 @@ def similar_components(fp: DataFrame, mode: str = "complete", **limits) -> DataF
     )
     names = names.filter(F.col("files") > 1)
     named = join_lookup(placed, names.select("label", "component"), ["label"], hot_keys(names, ["label"], "n"))
-    hot = hot_keys(placed, ["node"], "copies")
+    hot = written_hot_keys(placed, ["node"], "copies")
     return join_lookup(files, named.select("node", "component"), ["node"], hot).select("id", "component")
 
 

@@ -11,6 +11,7 @@ from mediacat.operators.keeper import pick_keeper
 from mediacat.operators.similar import similar_groups
 from mediacat.runtime import materialize
 from mediacat.schema import Catalog
+from mediacat.sources.listing import sampled_hash_files
 from mediacat.sources.tables import rebuild_groups
 
 
@@ -36,6 +37,17 @@ def exact_report(media: DataFrame, sampled: DataFrame | None = None) -> tuple[Da
     return members, groups.select("group_id", "reason", "keeper_id")
 
 
+def hash_video_candidates(media: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """(photo_id, sampled_hash) of the videos that share frame hash and size with another.
+
+    Only these are read, at most three chunks each. ``ingest.hash_backfill`` stores them.
+    """
+    candidates = exact_groups(media).filter(F.col("media_type") == "video").select("photo_id")
+    files = candidates.join(media.selectExpr("id as photo_id", "path", "file_size as length"), "photo_id")
+    files = materialize(files, "candidates")
+    return files.join(sampled_hash_files(files, chunk), "path").select("photo_id", "sampled_hash")
+
+
 def rebuild_exact(media: DataFrame, base: str, sampled: DataFrame | None = None) -> None:
     members, groups = exact_report(media, sampled)
     rebuild_groups(members, groups, base, "exact")

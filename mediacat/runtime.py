@@ -106,6 +106,14 @@ def release(df: DataFrame) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def for_heavy_rows(df: DataFrame) -> DataFrame:
+    """Spread rows whose processing (reading a file, running a model) dwarfs their size.
+
+    Partition sizing goes by bytes and would put many such rows into one task.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def without_taken(few: DataFrame, many: DataFrame, key: str) -> DataFrame:
     """Rows of ``few`` whose key does not occur in ``many``.
 
@@ -127,8 +135,18 @@ def hot_keys(counts: DataFrame, keys: list[str], count: str, min_rows: int | Non
     )
 
 
+def written_hot_keys(
+    counts: DataFrame, keys: list[str], count: str, min_rows: int | None = None
+) -> DataFrame | None:
+    """``hot_keys`` of a materialized table: a short look saves the split where there are none."""
+    least = HOT_ROWS if min_rows is None else min_rows
+    if counts.filter(F.col(count) >= least).isEmpty():
+        return None
+    return hot_keys(counts, keys, count, min_rows)
+
+
 def join_lookup(
-    many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner"
+    many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner"
 ) -> DataFrame:
     """Join rows to a table with one row per key, however skewed ``many`` is.
 
@@ -136,6 +154,8 @@ def join_lookup(
     key that owns a third of the data never lands in one task; the rest is an ordinary
     shuffle join.
     """
+    if hot is None:
+        return many.join(one, keys, how)
     hot = F.broadcast(hot)
     heavy = many.join(hot, keys, "left_semi").join(
         F.broadcast(one.join(hot, keys, "left_semi")), keys, how

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacat.functions import paths
+from mediacat.runtime import for_heavy_rows
 from mediacat.schema import utc
 
 
@@ -88,4 +89,5 @@ def sampled_hash_files(listing: DataFrame, chunk: int = 1 << 20) -> DataFrame:
             hashes = [digest(p, int(n)) for p, n in zip(pdf["path"], pdf["length"])]
             yield pd.DataFrame({"path": pdf["path"], "sampled_hash": hashes})
 
-    return listing.select("path", "length").mapInPandas(batches, "path string, sampled_hash string")
+    files = for_heavy_rows(listing.select("path", "length"))
+    return files.mapInPandas(batches, "path string, sampled_hash string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mediacat.functions import fingerprints, hashing, paths
 from mediacat.operators import search
 from mediacat.plans import fixtures
+from mediacat.plans import jobs as jobs_plan
 from mediacat.sources import images, listing, thumbnails
 from mediacat.streaming import jobs
 from tests.helpers import media, png, rows_of, table
@@ -68,6 +69,20 @@ def test_sampled_hash_by_ranges_equals_the_column_form(spark, library, chunk):
     assert by_range == rows_of(whole.select("path", hashing.sampled_hash(F.col("content"), chunk)))
 
 
+def test_only_candidate_videos_are_read_and_split(spark, tmp_path):
+    names = {"a": b"x" * 9000, "b": b"x" * 9000, "c": b"x" * 4000 + b"y" + b"x" * 4999, "d": b"other"}
+    rows = []
+    for i, content in names.items():
+        (tmp_path / f"{i}.mp4").write_bytes(content)
+        rows.append({"id": i, "path": str(tmp_path / f"{i}.mp4"), "media_type": "video", "file_hash": None,
+                     "frame_hash": "f", "file_size": len(content)})
+    videos = media(spark, *rows)
+    sampled = jobs_plan.hash_video_candidates(videos, chunk=2000)
+    assert rows_of(sampled, "photo_id") == [("a",), ("b",), ("c",)]
+    members, groups = jobs_plan.exact_report(videos, sampled)
+    assert rows_of(members, "photo_id") == [("a",), ("b",)] and groups.count() == 1
+
+
 def test_content_hash(spark):
     rows = table(spark, "content binary", (b"abc",), (b"abc",), (b"abd",))
     got = [r[0] for r in rows.select(hashing.content_hash(F.col("content"))).collect()]

@@ -34,6 +34,8 @@ def test_every_query_has_a_twin():
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     order = sorted(df.columns)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     ours = plain([tuple(r) for r in df.collect()], df.columns, order)
     cursor = duck.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
