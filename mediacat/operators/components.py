@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.runtime import hot_keys, join_lookup, materialize, release, written_hot_keys
+from mediacat.runtime import join_lookup, materialize, release, row_hot_keys, written_hot_keys
 
 
 def _relabel(rows: DataFrame, column: str, table: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -65,16 +65,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         release(previous)
     if not maps:
         return current.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-    labels = maps[-1]
-    for step in reversed(maps[:-1]):
+    # Resolve the pointers from the last round back; the tables grow geometrically, so all
+    # rounds together cost about as much as the first.
+    labels = maps.pop()
+    while maps:
+        step = maps.pop()
         # a representative that met no edge in a later round is final
         later = labels.select(F.col("node").alias("rep"), F.col("rep").alias("__final"))
-        hot = hot_keys(step.groupBy("rep").count(), ["rep"], "count", min_rows)
-        known = step.select("rep").distinct().join(later, "rep", "left")
-        labels = join_lookup(step, known, ["rep"], hot).select(
-            "node", F.coalesce("__final", "rep").alias("rep")
-        )
-    labels = materialize(labels, "labels")
+        resolved = join_lookup(step, later, ["rep"], row_hot_keys(step, ["rep"], min_rows), "left")
+        labels = materialize(resolved.select("node", F.coalesce("__final", "rep").alias("rep")), "labels")
     names = materialize(
         labels.groupBy("rep").agg(F.min("node").alias("component"), F.count("*").alias("__n")), "names"
     )

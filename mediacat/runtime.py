@@ -145,6 +145,13 @@ def written_hot_keys(
     return hot_keys(counts, keys, count, min_rows)
 
 
+def row_hot_keys(rows: DataFrame, keys: list[str], min_rows: int | None = None) -> DataFrame | None:
+    """Hot keys of a materialized table of rows; a table below the limit has none."""
+    if rows.count() < (HOT_ROWS if min_rows is None else min_rows):
+        return None
+    return written_hot_keys(rows.groupBy(*keys).count(), keys, "count", min_rows)
+
+
 def join_lookup(
     many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner"
 ) -> DataFrame:
