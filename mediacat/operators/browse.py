@@ -55,12 +55,17 @@ def browse(media: DataFrame, f: MediaFilter | None = None) -> DataFrame:
     return page(list_columns(filter_media(media, f)), newest_first(), f.limit, f.offset)
 
 
+def browse_total(media: DataFrame, f: MediaFilter | None = None) -> DataFrame:
+    """One row: how many rows the filter has, also where a page lies beyond the end."""
+    return filter_media(media, f).agg(F.count("*").alias("total"))
+
+
 def browse_page(media: DataFrame, f: MediaFilter | None = None) -> DataFrame:
     """A page of the list; every row carries the filter's total and whether more follow."""
     f = f or MediaFilter()
     limit, offset = f.limit or 100, f.offset or 0
     rows = list_columns(filter_media(media, f))
-    total = filter_media(media, f).agg(F.count("*")).scalar()
+    total = browse_total(media, f).scalar()
     return (
         page(rows, newest_first(), limit, offset)
         .withColumn("total", total)

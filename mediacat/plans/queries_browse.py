@@ -243,6 +243,11 @@ def p2_browse_page(spark, sf):
     return flat(browse.browse_page(fx.media(spark, sf), MediaFilter(camera="Make 2", limit=50, offset=10)))
 
 
+@query("SELECT count(*) AS total FROM active WHERE camera = 'Make 2'", "active")
+def p2_browse_total(spark, sf):
+    return browse.browse_total(fx.media(spark, sf), MediaFilter(camera="Make 2", limit=50, offset=100_000))
+
+
 @query(
     """SELECT (SELECT count(*) FROM shipments WHERE taken_at > (SELECT max(taken_at) FROM shipments
     WHERE strftime(taken_at, '%Y-%m') = '1996-12')) AS "offset" """,

@@ -50,27 +50,34 @@ def d7_verify_video_groups(spark, sf):
     return flat(exact.verify_video_groups(exact.exact_groups(media), sampled))
 
 
-INCREMENT_SQL = """, old AS (SELECT 'old:' || key AS group_id, photo_id FROM exact_rows WHERE photo_id % 3 = 0),
+INCREMENT_SQL = """, old AS (SELECT 'old:' || key AS group_id, photo_id FROM exact_rows WHERE photo_id IN (SELECT vec_id FROM embeddings)),
  touched AS (SELECT e.* FROM exact_rows e JOIN media m ON m.id = e.photo_id WHERE
-   (e.media_type = 'image' AND file_hash IN (SELECT file_hash FROM media WHERE id % 4 <> 1)) OR
-   (e.media_type = 'video' AND frame_hash IN (SELECT frame_hash FROM media WHERE id % 7 < 5))),
+   (e.media_type = 'image' AND file_hash IN (SELECT file_hash FROM media WHERE id IN (SELECT doc_id FROM labels))) OR
+   (e.media_type = 'video' AND frame_hash IN (SELECT frame_hash FROM media WHERE id IN (SELECT doc_id FROM labels)))),
  placed AS (SELECT t.*, o.group_id AS known, min(o.group_id) OVER (PARTITION BY t.group_id) AS home
    FROM touched t LEFT JOIN old o USING (photo_id)),
  added AS (SELECT coalesce(home, group_id) AS group_id, photo_id, home IS NULL AS opens FROM placed WHERE known IS NULL)"""
 
 
 def _increment(spark, sf):
+    """Labelled documents are the new files; groups so far hold the files with a vector."""
     media = fx.media(spark, sf)
-    found = exact.exact_groups(media)
-    old = found.filter("photo_id % 3 = 0").select(F.concat(F.lit("old:"), "key").alias("group_id"), "photo_id")
+    known = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("photo_id"))
+    found = exact.exact_groups(media).join(known, "photo_id", "left_semi")
+    old = found.select(F.concat(F.lit("old:"), "key").alias("group_id"), "photo_id")
+    new = media.join(_labelled(spark, sf, "id"), "id", "left_semi")
     return exact.exact_groups_incremental(
         media,
-        media.filter("id % 4 <> 1 and file_hash is not null").select("file_hash"),
-        media.filter("id % 7 < 5 and frame_hash is not null").select("frame_hash"),
+        new.filter("file_hash is not null").select("file_hash"),
+        new.filter("frame_hash is not null").select("frame_hash"),
         old,
     )
 
 
+def _labelled(spark, sf, name):
+    return fx.table(spark, sf, "labels").select(F.col("doc_id").alias(name))
+
+
 @query(INCREMENT_SQL + " SELECT group_id, photo_id FROM added", "exact_rows", "media")
 def d2_exact_incremental_members(spark, sf):
     return _increment(spark, sf)[0]
@@ -238,7 +245,7 @@ def d13_group_page(spark, sf):
     return flat(groups.group_page(c.groups, c.members, c.media, 12, 6, "exact"))
 
 
-KEEP_SQL = """, keep AS (SELECT group_id, photo_id FROM members WHERE photo_id % 4 = 1),
+KEEP_SQL = """, keep AS (SELECT group_id, photo_id FROM members WHERE photo_id IN (SELECT doc_id FROM labels)),
  manual AS (SELECT DISTINCT group_id FROM keep),
  kept AS (SELECT m.group_id, reason, m.photo_id, coalesce(CASE WHEN u.group_id IS NOT NULL THEN k.photo_id IS NOT NULL
      ELSE m.photo_id = keeper_id END, false) AS kept FROM members m JOIN groups g USING (group_id)
@@ -247,7 +254,8 @@ KEEP_SQL = """, keep AS (SELECT group_id, photo_id FROM members WHERE photo_id %
 
 def _kept(spark, sf):
     members = fx.members(spark, sf)
-    return groups.apply_keep(fx.groups(spark, sf), members, members.filter("photo_id % 4 = 1"))
+    keep = members.join(_labelled(spark, sf, "photo_id"), "photo_id", "left_semi")
+    return groups.apply_keep(fx.groups(spark, sf), members, keep)
 
 
 @query(KEEP_SQL + " SELECT * FROM kept", "members", "groups")

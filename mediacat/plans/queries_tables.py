@@ -289,7 +289,7 @@ def k1_insert_ignore(spark, sf):
 
 @query(
     """, batch AS (SELECT vec_id * 2 AS photo_id, embedding, 'm2' AS model, TIMESTAMP '2024-03-01' + to_seconds(vec_id) AS updated_at FROM embeddings
-      UNION ALL SELECT vec_id * 2, list_reverse(embedding), 'm3', TIMESTAMP '2024-04-01' FROM embeddings WHERE vec_id % 3 = 0),
+      UNION ALL SELECT vec_id * 2, list_reverse(embedding), 'm3', TIMESTAMP '2024-04-01' FROM embeddings WHERE label < 4),
     latest AS (SELECT *, min(updated_at) OVER (PARTITION BY photo_id) AS first_at FROM batch
       QUALIFY row_number() OVER (PARTITION BY photo_id ORDER BY updated_at DESC) = 1)
     SELECT photo_id, round(coalesce(l.embedding, v.embedding)[1]::DOUBLE, 6) AS head, coalesce(l.model, v.model) AS model,
@@ -303,7 +303,7 @@ def k2_upsert_embeddings(spark, sf):
         "vec_id * 2 as photo_id", "embedding", "'m2' as model",
         "timestamp_ntz'2024-03-01 00:00:00' + make_dt_interval(0, 0, 0, cast(vec_id as decimal(18, 6))) as updated_at",
     )
-    two = rows.filter("vec_id % 3 = 0").selectExpr(
+    two = rows.filter("label < 4").selectExpr(
         "vec_id * 2 as photo_id", "reverse(embedding) as embedding", "'m3' as model", "timestamp_ntz'2024-04-01 00:00:00' as updated_at"
     )
     out = ingest.upsert_embeddings(fx.embeddings(spark, sf), one.unionByName(two))
