@@ -79,7 +79,9 @@ def scratch_folder(spark: SparkSession) -> str:
     if getattr(sc, "_mediacat_scratch", None) != folder:
         sc._mediacat_scratch = folder
         where = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
+        files = where.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(where)  # only an existing folder can be marked
+        files.deleteOnExit(where)
     return folder
 
 
