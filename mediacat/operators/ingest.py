@@ -11,7 +11,7 @@ from mediacat.functions.hashing import is_legacy_hash
 from mediacat.functions.paths import basename, media_type, normalize_folder
 from mediacat.operators.filters import active
 from mediacat.operators.maintain import purge
-from mediacat.runtime import materialize, release, without_taken
+from mediacat.runtime import materialize, one_per_key, release, without_taken
 from mediacat.schema import Catalog, with_utc
 
 
@@ -79,12 +79,11 @@ def insert_ignore(media: DataFrame, new: DataFrame, order: str | None = None) ->
     come first for both their id and their path and strike out their rivals; an ordinary
     batch needs one round, chains of rivals need more.
     """
-    rank = F.col(order) if order else F.struct("path", "id")
-    open_rows = (
-        without_taken(without_taken(new, media, "id"), media, "path")
-        .withColumn("__rank", F.struct(rank.alias("r"), F.col("path").alias("p"), F.col("id").alias("i")))
-    )
-    open_rows = materialize(open_rows.dropDuplicates(["id", "path"]) if order is None else open_rows, "batch")
+    # rivals equal in order, path and id differ in content: its hash settles them the same way every time
+    parts = [F.col(order)] if order else []
+    rank = F.struct(*parts, F.col("path"), F.col("id"), F.xxhash64(*new.columns).alias("content"))
+    open_rows = without_taken(without_taken(new, media, "id"), media, "path").withColumn("__rank", rank)
+    open_rows = materialize(open_rows, "batch")
     won = []
     while not open_rows.isEmpty():
         first_path = open_rows.groupBy("path").agg(F.min("__rank").alias("__first_path"))
@@ -151,7 +150,7 @@ def folder_scan_times(folders: DataFrame, media: DataFrame, scanned: DataFrame,
 
 def hash_backfill(media: DataFrame, updates: DataFrame, column: str) -> DataFrame:
     """Write a hash column back by id; trashed rows stay."""
-    new = updates.select("id", F.col(column).alias("__new")).dropDuplicates(["id"])
+    new = one_per_key(updates.select("id", F.col(column).alias("__new")))
     value = F.when(F.col("deleted_at").isNull() & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col(column))
     return media.join(new, "id", "left").withColumn(column, value).drop("__new").select(*media.columns)
 

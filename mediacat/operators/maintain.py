@@ -10,7 +10,7 @@ from mediacat.functions.paths import split_extension
 from mediacat.operators.filters import trashed
 from mediacat.operators.groups import affected_groups, group_sizes
 from mediacat.operators.keeper import repick_keeper
-from mediacat.runtime import with_group_position
+from mediacat.runtime import one_per_key, with_group_position
 from mediacat.schema import Catalog, instant
 
 
@@ -28,7 +28,7 @@ def _is_active() -> Column:
 
 def trash(media: DataFrame, entries: DataFrame, now) -> DataFrame:
     """Move active rows to the trash. ``entries`` is (id, trash_path)."""
-    moves = entries.select("id", F.col("trash_path").alias("__to")).dropDuplicates(["id"])
+    moves = one_per_key(entries.select("id", F.col("trash_path").alias("__to")))
     return _update(
         media, moves, _is_active(),
         {
@@ -42,7 +42,7 @@ def trash(media: DataFrame, entries: DataFrame, now) -> DataFrame:
 
 def restore(media: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(media, restored) for ``entries`` (id, restored_path); only trashed rows move."""
-    moves = entries.select("id", F.col("restored_path").alias("__to")).dropDuplicates(["id"])
+    moves = one_per_key(entries.select("id", F.col("restored_path").alias("__to")))
     done = (
         moves.join(trashed(media).select("id"), "id", "left_semi").withColumnRenamed("__to", "restored_path")
     )
@@ -203,11 +203,8 @@ def empty_trash(catalog: Catalog) -> tuple[Catalog, DataFrame]:
 
 def update_location(media: DataFrame, edits: DataFrame, now) -> tuple[DataFrame, DataFrame]:
     """(media, one row ``updated``): set coordinates of active rows; invalid ones are skipped."""
-    good = (
-        edits.filter(valid_coordinates(F.col("latitude"), F.col("longitude")))
-        .select("id", F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon"))
-        .dropDuplicates(["id"])
-    )
+    valid = edits.filter(valid_coordinates(F.col("latitude"), F.col("longitude")))
+    good = one_per_key(valid.select("id", F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon")))
     updated = _update(
         media, good, _is_active(),
         {"latitude": F.col("__lat"), "longitude": F.col("__lon"), "updated_at": instant(now)},
@@ -218,7 +215,7 @@ def update_location(media: DataFrame, edits: DataFrame, now) -> tuple[DataFrame,
 
 def update_date(media: DataFrame, edits: DataFrame, now) -> DataFrame:
     """Set taken_at of active rows. ``edits`` is (id, taken_at)."""
-    new = edits.select("id", F.col("taken_at").alias("__taken")).dropDuplicates(["id"])
+    new = one_per_key(edits.select("id", F.col("taken_at").alias("__taken")))
     return _update(media, new, _is_active(), {"taken_at": F.col("__taken"), "updated_at": instant(now)})
 
 

@@ -108,6 +108,12 @@ def release(df: DataFrame) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def one_per_key(df: DataFrame, key: str = "id") -> DataFrame:
+    """One row per key, the least of rivals: the same on every run and retry."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("__row")).select(key, "__row.*")
+
+
 def for_heavy_rows(df: DataFrame) -> DataFrame:
     """Spread rows whose processing (reading a file, running a model) dwarfs their size.
 
