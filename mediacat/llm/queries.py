@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm import bpe, lines, mixing, quality, secrets
+from mediacat.llm import bpe, lines, mixing, quality, secrets, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,33 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _page(record_id):
+    return F.regexp_extract(record_id, r"^<urn:page:(-?\d+)>$", 1)
+
+
+@query(
+    """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest,
+         octet_length(encode(coalesce(html, ''))) AS n_bytes FROM pages
+), f AS (SELECT digest, min(page_id) AS first FROM p WHERE n_bytes >= 100 GROUP BY digest)
+SELECT page_id, n_bytes::BIGINT AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest AND p.n_bytes >= 100
+"""
+)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    archives = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    found = warc.read_archives(archives, folder)
+    page, first = _page(F.col("record_id")), _page(F.coalesce("refers_to", F.lit("")))
+    return found.select(
+        F.when(page != "", page).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.when(first != "", first).cast("long").alias("refers_to"),
+    )
+
+
 @query()
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -156,3 +183,15 @@ FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN k ON d.doc_id
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(documents(spark, sf_dir))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+@query()
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
