@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm import bpe, lines, mixing, quality, secrets, urls, warc
+from mediacat.llm import bpe, lines, mixing, neighbours, quality, secrets, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +91,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, rules).select("doc_id", *[F.col(f"__{c}").alias(c) for c in out])
 
 
+@query()
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 20 = 0")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 @query()
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
