@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm import bpe, lines, mixing, neighbours, quality, secrets, urls, warc
+from mediacat.llm import bpe, jaccard, lines, mixing, neighbours, quality, secrets, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def _page(record_id):
     return F.regexp_extract(record_id, r"^<urn:page:(-?\d+)>$", 1)
 

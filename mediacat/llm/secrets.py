@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mediacat.runtime import scratch_folder
+from mediacat.runtime import materialize, scratch_folder
 
 
 @dataclass(frozen=True)
@@ -146,6 +146,6 @@ def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Blo
     asked = ledger.findings().filter(F.col("rule").isin([r.key for r in rules]))
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
     span = F.struct("start", order[F.col("rule")].alias("place"), "end", "kind")
-    found = asked.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("found"))
+    found = materialize(asked.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("found")), "found")  # so that a blob with many holders can be split
     rows = docs.select("doc_id", blob_of(F.col("text")).alias("blob"))
     return rows.join(found, "blob", "left").select("doc_id", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
