@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm import bpe, jaccard, lines, mixing, neighbours, quality, secrets, urls, warc
+from mediacat.llm import bpe, jaccard, lines, mixing, neighbours, quality, secrets, substrings, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,6 +108,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+@query()
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(documents(spark, sf_dir))
+
+
 def _hits(rule: secrets.Rule, place: int) -> str:
     pattern = rule.pattern.replace("'", "''")
     return f"""SELECT doc_id, '{rule.kind}' AS kind, {place} AS place, {rule.least} AS least,
