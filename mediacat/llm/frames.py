@@ -30,18 +30,19 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucketed(df: DataFrame, keys: list[str], buckets: int, name: str) -> DataFrame:
+def bucketed(df: DataFrame, keys: list[str], buckets: int | None, name: str) -> DataFrame:
     """Write a table whose files are hash-bucketed and sorted by ``keys``, and read it back.
 
     Joins of two such tables on the keys need no exchange. The files lie in the shared
-    scratch folder.
+    scratch folder. Without ``buckets`` the rows are dealt out by the keys already, into as
+    many parts as the session shuffles to.
     """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{scratch_folder(spark)}/{table}"
+    dealt = df.repartition(buckets, *keys) if buckets else df
     (
-        df.repartition(buckets, *keys)
-        .write.bucketBy(buckets, *keys)
+        dealt.write.bucketBy(buckets or shuffle_parts(spark), *keys)
         .sortBy(*keys)
         .option("path", path)
         .option("compression", "zstd")

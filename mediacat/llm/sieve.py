@@ -22,10 +22,11 @@ def _slot(key):
     return F.pmod(F.xxhash64(key), F.lit(BITS)) + 1  # bitmaps count from 1
 
 
-def sieve(keys: DataFrame, key: str) -> np.ndarray:
-    """The bit table of a column of longs."""
+def sieve(keys: DataFrame, key: str, hashed: bool = False) -> np.ndarray:
+    """The bit table of a column of longs; ``hashed`` if their low bits are random already."""
+    slot = F.col(key).bitwiseAND(F.lit(BITS - 1)) + 1 if hashed else _slot(key)
     blocks = (
-        keys.select(_slot(key).alias("slot"))
+        keys.select(slot.alias("slot"))
         .groupBy(F.bitmap_bucket_number("slot").alias("block"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     )
@@ -37,6 +38,12 @@ def sieve(keys: DataFrame, key: str) -> np.ndarray:
     return table
 
 
+def marked(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of these (random) longs have their bit set in a table made with ``hashed``."""
+    at = hashes & (BITS - 1)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def sifted(rows: DataFrame, key: str, table: np.ndarray, hit: bool = True) -> DataFrame:
     """The rows whose bit is set, or with ``hit`` false those whose bit is clear."""
     shared = rows.sparkSession.sparkContext.broadcast(table)
