@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mediacat.llm.sieve import sieve, sifted
 from mediacat.llm.words import U64, grouped, mix64, window_hashes
 from mediacat.operators.components import connected_components
 from mediacat.runtime import materialize
@@ -41,10 +42,9 @@ from mediacat.runtime import materialize
 SHINGLE = 5
 THRESHOLD = (75, 100)  # similarity as a fraction
 SLOTS = 1 << 20  # counters of shingles; fixes the size of the broadcast (4 MB)
-CLASSES = 128  # classes of the suffix filter's histogram
+CLASSES = 512  # classes of the suffix filter's histogram
 PART = 256  # nodes compared with each other at a time
 HOT_NODES = 200_000  # shingles counted at least so often take their least node by an aggregate
-FILTER_BITS = 1 << 24  # of the carriers' filter (2 MB)
 
 _BLOCK = 1024
 _SLOT_SHIFT = U64(64 - (SLOTS - 1).bit_length())
@@ -66,7 +66,7 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
 def histogram(s: np.ndarray) -> bytes:
     """Saturating counts by class; their differences bound the sets' difference from below."""
     counts = np.bincount((s & U64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
 
 
 def signature(s: np.ndarray) -> int:
@@ -276,26 +276,6 @@ def _texts(docs: DataFrame, nodes: DataFrame, carriers: DataFrame) -> DataFrame:
     join behind it is exact.
     """
     wanted = materialize(carriers.join(nodes.distinct(), "node", "left_semi"), "wanted")
-    def slot_of(key):
-        return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1  # bitmaps count from 1
-
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    found = wanted.select(slot_of("carrier").alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
-    )
-    for row in found.toLocalIterator():  # a row of 4 KB for each 32,768 bits
-        data = np.frombuffer(row["bits"], np.uint8)
-        at = (row["bucket"] - 1) * 4096
-        room = bits[at : at + len(data)]
-        room |= data[: len(room)]
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            at = batch.column("slot").to_numpy() - 1
-            hit = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(hit.astype(bool))).select(["doc_id", "body", "text"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,16 +283,14 @@ def _texts(docs: DataFrame, nodes: DataFrame, carriers: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "set"])
 
     own = F.coalesce("doc_id", F.lit(-(2**63)))
-    rows = docs.select(own.alias("doc_id"), F.xxhash64("text").alias("body"), "text").withColumn(
-        "slot", slot_of("doc_id")
-    )
-    near = rows.mapInArrow(maybe, "doc_id long, body long, text string")
+    rows = docs.select(own.alias("doc_id"), F.xxhash64("text").alias("body"), "text")
+    near = sifted(rows, "doc_id", sieve(wanted, "carrier"))
     exact = near.join(wanted.withColumnRenamed("carrier", "doc_id"), ["doc_id", "body"])
     return materialize(exact.select("node", "text").mapInArrow(sets, "node long, set binary"), "sets").dropDuplicates(["node"])
 
 
 def _hists(column) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.uint8) for x in column.to_pylist()]).astype(np.int16)
+    return np.stack([np.frombuffer(zlib.decompress(x), np.uint8) for x in column.to_pylist()]).astype(np.int16)
 
 
 def _candidates(size, hist, comp, side, threshold):

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are taken together up to this many bytes; a longer text is a group of its own.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
