@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 # A worker remembers the ids of recent short pre-tokens, in two generations of this many.
 REMEMBERED = 400_000
@@ -179,8 +180,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
             arrays = [batch.column(c) for c in kept] + [pa.array(packed, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, [*kept, ids])
 
-    fields = [docs.schema[c] for c in kept]
-    schema = docs.select(*kept).schema.add(ids, "array<int>") if fields else f"{ids} array<int>"
+    schema = docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
     return docs.select(*kept, text).mapInArrow(run, schema)
 
 
@@ -196,7 +196,7 @@ def decoded(rows: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "
             arrays = [batch.column(c) for c in kept] + [pa.array(out, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, [*kept, data])
 
-    return rows.select(*kept, ids).mapInArrow(run, rows.select(*kept).schema.add(data, "binary"))
+    return rows.select(*kept, ids).mapInArrow(run, rows.select(*kept).schema.add(data, T.BinaryType()))
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str | None]:

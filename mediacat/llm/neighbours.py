@@ -7,8 +7,8 @@ kd-tree on the projections is laid over two levels: cells that Spark deals out,
 built on a bounded sample and all rows sorted into it, and leaves inside a cell. A query
 verifies points leaf by leaf in the order of projected distance and stops when the next
 leaf is so far that, by the chi-square law, a point better than the k-th found would lie
-nearer with probability ``certainty``. The same test, on the k-th of the query's own cell,
-decides which other cells see the query at all.
+nearer with probability ``certainty``. The same test, on the k-th found in the few cells
+nearest to the query, decides which other cells see the query at all.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite components, and rows without vec_id take no part; rows with an equal vec_id
@@ -32,10 +32,11 @@ from mediacat.runtime import materialize
 # Production parameters.
 NEIGHBOURS = 20
 PROJECTIONS = 8
-CERTAINTY = 0.999
+CERTAINTY = 0.99
 SAMPLE = 20_000  # vectors the tree of cells is built on; every row is sorted into it
 CELL_ROWS = 512  # aimed at; larger cells are split further by a hash
-LEAF_ROWS = 64
+LEAF_ROWS = 128
+HOME_CELLS = 8  # nearest cells that give a query its first bound
 QUERY_BLOCK = 4096  # queries that meet a cell at a time
 _SEED = 20_240_601
 
@@ -143,21 +144,21 @@ def leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
-def dots(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+def dots(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Inner products added up component by component, so that equal rows score equally."""
     out = np.zeros(len(rows))
     for j in range(rows.shape[1]):
-        out += rows[:, j] * query[j]
+        out += rows[:, j] * queries[..., j]
     return out
 
 
-def search_cell(space: Space, ids, rows, query_ids, queries, bounds, k: int, stop: float) -> list[tuple]:
-    """(query, row number, score) of each query's best rows in one cell.
+def search_cell(space: Space, ids, rows, query_ids, queries, bounds, k: int, stop: float):
+    """(kth distances, hits) of queries in one cell.
 
-    ``bounds`` are squared distances that the k-th found anywhere does not exceed.
+    The first are each query's k least squared distances here, in no order. ``hits`` are
+    arrays (query, row number, score) of its best rows within ``bounds``, squared distances
+    that the k-th found anywhere does not exceed; best first, ties to the smaller id.
     """
-    order = np.argsort(ids, kind="stable")
-    ids, rows = ids[order], rows[order]
     lifted, aimed = space.lifted(rows), space.aimed(queries)
     points, targets = lifted @ space.planes, aimed @ space.planes
     parts = leaves(points, LEAF_ROWS)
@@ -166,9 +167,10 @@ def search_cell(space: Space, ids, rows, query_ids, queries, bounds, k: int, sto
     near = gaps(targets, low, high)
     turn = np.argsort(near, axis=1, kind="stable")
     slack = 1e-9 * space.longest**2
-    found = np.full((len(queries), len(rows)), np.inf)
+    least = np.full((len(queries), k), np.inf)
     kth = bounds.copy()
     going = np.ones(len(queries), bool)
+    seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for step in range(len(parts)):
         leaf = turn[:, step]
         going &= near[np.arange(len(queries)), leaf] <= stop * kth + slack
@@ -179,19 +181,23 @@ def search_cell(space: Space, ids, rows, query_ids, queries, bounds, k: int, sto
             part = parts[number]
             apart = 2 * space.longest**2 - 2 * (aimed[mine] @ lifted[part].T)
             apart[query_ids[mine, None] == ids[part][None, :]] = np.inf  # a query's own row is no candidate
-            found[mine[:, None], part[None, :]] = apart
-        if len(rows) >= k:
-            mine = np.flatnonzero(going)
-            kth[mine] = np.minimum(kth[mine], np.partition(found[mine], k - 1, axis=1)[:, k - 1])
-    out = []
-    for q in range(len(queries)):
-        at = np.flatnonzero(found[q] <= kth[q] + slack)
-        at = at[np.isfinite(found[q][at])]
-        if len(at):
-            score = dots(rows[at], queries[q])
-            best = np.lexsort((ids[at], -score))[:k]
-            out += [(q, int(ids[at[i]]), float(score[i]), float(found[q][at[i]])) for i in best]
-    return out
+            q, r = np.nonzero(apart <= kth[mine, None] + slack)
+            q, r, far = mine[q], part[r], apart[q, r]
+            real = np.isfinite(far)
+            seen.append((q[real], r[real], far[real]))
+            hit = mine[np.unique(np.searchsorted(mine, q))] if len(q) else mine[:0]
+            if len(hit):
+                both = np.concatenate([least[hit], apart[np.searchsorted(mine, hit)]], 1)
+                least[hit] = np.partition(both, k - 1, axis=1)[:, :k]
+                kth[hit] = np.minimum(kth[hit], least[hit].max(1))
+    q, r, far = (np.concatenate(x) if seen else np.zeros(0, int) for x in (zip(*seen) if seen else [()] * 3))
+    within = far <= kth[q] + slack
+    q, r = q[within], r[within]
+    score = dots(rows[r], queries[q])
+    order = np.lexsort((ids[r], -score, q))
+    q, r, score = q[order], r[order], score[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    return least, (q[rank < k], r[rank < k], score[rank < k])
 
 
 def clean(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -246,7 +252,7 @@ def nearest(
     blocks = max(1, ceil(size["q"] / QUERY_BLOCK))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (id, v, bound, cell, sub): one for the query's own cell, or for all cells within its bound."""
+        """Rows (id, v, bound, cell, sub): for the cells nearest to a query, or for all within its bound."""
         for batch in batches:
             asked = matrix(batch.column("v"))
             near = gaps(space.aimed(asked) @ space.planes, low, high)
@@ -259,43 +265,56 @@ def nearest(
                 at = np.arange(len(q))
                 sub = at - np.maximum.accumulate(np.where(fresh, at, 0)) if len(q) else at
             else:
-                q, c = np.arange(len(asked)), np.argmin(near, axis=1)
+                close = np.argsort(near, axis=1, kind="stable")[:, :HOME_CELLS]
+                q, c = np.repeat(np.arange(len(asked)), close.shape[1]), close.ravel()
                 bound = np.full(len(asked), np.inf)
-                sub = batch.column("id").to_numpy() % subs[c]
+                sub = batch.column("id").to_numpy()[q] % subs[c]
             taken = batch.select(["id", "v"]).take(pa.array(q))
             extra = [pa.array(bound[q]), pa.array(number[c], pa.int64()), pa.array(sub, pa.int64())]
             yield pa.RecordBatch.from_arrays([*taken.columns, *extra], ["id", "v", "bound", "cell", "sub"])
 
+    def looked_up(cell_rows: pa.Table, asked: pa.Table):
+        who = asked["id"].to_numpy()
+        ids = cell_rows["id"].to_numpy()
+        bound = asked["bound"].to_numpy()
+        least, hits = search_cell(space, ids, matrix(cell_rows["v"]), who, matrix(asked["v"]), bound, k, stop)
+        return who, ids, least, hits
+
+    def measure(cell_rows: pa.Table, asked: pa.Table) -> pa.Table:
+        """The distances of each query's nearest rows in a cell."""
+        names, kinds = ["query_id", "apart"], pa.list_(pa.float64())
+        if not len(cell_rows) or not len(asked):
+            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], kinds)], names)
+        who, _, least, _ = looked_up(cell_rows, asked)
+        return pa.Table.from_arrays([pa.array(who), pa.array([x[np.isfinite(x)] for x in least], kinds)], names)
+
     def meet(cell_rows: pa.Table, asked: pa.Table) -> pa.Table:
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        names = ["query_id", "id", "score", "apart"]
-        out = []
-        if len(cell_rows) and len(asked):
-            who = asked["id"].to_numpy()
-            hits = search_cell(
-                space, cell_rows["id"].to_numpy(), matrix(cell_rows["v"]), who, matrix(asked["v"]),
-                asked["bound"].to_numpy().copy(), k, stop,
-            )
-            out = [(int(who[q]), *rest) for q, *rest in hits]
-        columns = list(zip(*out)) or [[]] * 4
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+        """One row per query that has hits in a cell."""
+        names, lists = ["query_id", "hits"], pa.list_(pa.struct([("id", pa.int64()), ("score", pa.float64())]))
+        if not len(cell_rows) or not len(asked):
+            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], lists)], names)
+        who, ids, _, (q, r, score) = looked_up(cell_rows, asked)
+        some, first = np.unique(q, return_index=True)
+        values = pa.StructArray.from_arrays([pa.array(ids[r]), pa.array(score)], ["id", "score"])
+        hits = pa.ListArray.from_arrays(pa.array(np.r_[first, len(q)], pa.int32()), values)
+        return pa.Table.from_arrays([pa.array(who[some]), hits], names)
 
     split = F.element_at(F.array(*[F.lit(int(s)) for s in subs]), (F.array_position(F.array(*[F.lit(int(c)) for c in number]), F.col("cell"))).cast("int"))
     parts = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), split).alias("sub"))
-    found_schema = "query_id long, id long, score double, apart double"
     queries = placed.filter(F.expr(queries_where)).select("id", "v")
     visit_schema = "id long, v array<double>, bound double, cell long, sub long"
     home = queries.mapInArrow(visits, visit_schema)
-    first = parts.groupBy("cell", "sub").cogroup(home.groupBy("cell", "sub")).applyInArrow(meet, found_schema)
-    best = first.groupBy("query_id").agg(F.count("*").alias("n"), F.max("apart").alias("far"))
-    bound = best.select(F.col("query_id").alias("__q"), F.when(F.col("n") >= k, F.col("far")).alias("far"))
-    bounded = queries.join(bound, F.col("id") == F.col("__q"), "left").select(
-        "id", "v", F.coalesce("far", F.lit(float("inf"))).alias("bound")
+    first = parts.groupBy("cell", "sub").cogroup(home.groupBy("cell", "sub")).applyInArrow(measure, "query_id long, apart array<double>")
+    # a row for each of the few home cells
+    nearby = first.groupBy(F.col("query_id").alias("__q")).agg(F.array_sort(F.flatten(F.collect_list("apart"))).alias("apart"))
+    bounded = queries.join(nearby, F.col("id") == F.col("__q"), "left").select(
+        "id", "v", F.coalesce(F.get("apart", F.lit(k - 1)), F.lit(float("inf"))).alias("bound")
     )
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
     sent = bounded.mapInArrow(visits, visit_schema).select("*", block)
     every = parts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     keys = ["cell", "sub", "block"]
-    found = every.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(meet, found_schema)
+    met = every.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(meet, "query_id long, hits array<struct<id:long,score:double>>")
+    found = met.select("query_id", F.inline("hits"))
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
