@@ -10,9 +10,10 @@
    same documents share meet in few groups and each pair is verified there once.
 3. Groups are cut into parts of bounded size with the least node in each. The suffix filter
    compares the histograms; what passes has its sets computed from the texts once more and
-   verified exactly. One link per pair of components leaves a part.
+   verified exactly. A node leaves its part with the name of what it is connected to there:
+   the group's least node where possible.
 4. Groups of several parts are gone through again by pairs of parts, for nodes that are not
-   yet in the group's largest component, and only pairs of different components are compared.
+   yet connected to the most of the group, and only pairs not connected yet are compared.
 
 No pairs are listed and nothing is capped: a group of n near copies costs its parts, and
 only members that stay apart are compared with the others.
@@ -142,7 +143,7 @@ def _counts(parts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(kinds, pa.binary())], ["block", "data"])
 
     total = np.zeros(SLOTS, np.int32)
-    for row in parts.repartition("block").mapInArrow(run, "block int, data binary").toLocalIterator():
+    for row in parts.repartition("block").mapInArrow(run, "block int, data binary").collect():  # 4 MB together
         total[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["data"], np.int32)
     return total
 
@@ -311,11 +312,12 @@ def _candidates(size, hist, comp, side, threshold):
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def _links(size, hist, comp, side, sets, threshold) -> list[tuple[int, int]]:
-    """Row pairs of similar sets, at most one per pair of components."""
+def _joined(size, hist, comp, side, sets, threshold, first: int) -> list[tuple[int, int]]:
+    """(component, name) of components that similar sets connect to others, one pair verified per connection.
+
+    The name is ``first`` where that is among them.
+    """
     i, j = _candidates(size, hist, comp, side, threshold)
-    if not len(i):
-        return []
     lead: dict[int, int] = {}
 
     def root(x):
@@ -324,7 +326,6 @@ def _links(size, hist, comp, side, sets, threshold) -> list[tuple[int, int]]:
             x = lead[x]
         return x
 
-    out = []
     for a, b in zip(i.tolist(), j.tolist()):
         ra, rb = root(int(comp[a])), root(int(comp[b]))
         if ra == rb:
@@ -335,12 +336,17 @@ def _links(size, hist, comp, side, sets, threshold) -> list[tuple[int, int]]:
         common = int((large[at] == small).sum())
         if common * threshold[1] >= (size[a] + size[b] - common) * threshold[0]:
             lead[ra] = rb
-            out.append((a, b))
-    return out
+    if first in lead:
+        top = root(first)
+        lead[top] = lead[first] = first
+    return [(c, root(c)) for c in sorted(lead) if root(c) != c]
 
 
 def _compare(parts: DataFrame, sketches: DataFrame, docs: DataFrame, carriers: DataFrame, threshold) -> DataFrame:
-    """(src, dst) links inside parts (pivot, part, node, comp, side); sides 1 and 2 meet each other only."""
+    """(pivot, src, dst): what components inside parts (pivot, part, node, comp, side) are connected to.
+
+    Sides 1 and 2 of a part meet each other only.
+    """
     keys = ["pivot", "part"]
 
     def prune(table: pa.Table) -> pa.Table:
@@ -353,20 +359,21 @@ def _compare(parts: DataFrame, sketches: DataFrame, docs: DataFrame, carriers: D
         return table.filter(pa.array(kept))
 
     def link(table: pa.Table) -> pa.Table:
-        node = table["node"].to_numpy()
         sets = [np.frombuffer(x, U64) for x in table["set"].to_pylist()]
-        pairs = _links(
-            table["size"].to_numpy().astype(np.int64), _hists(table["hist"]), table["comp"].to_numpy(), table["side"].to_numpy(), sets, threshold
+        pivot = table["pivot"][0].as_py()
+        pairs = _joined(
+            table["size"].to_numpy().astype(np.int64), _hists(table["hist"]), table["comp"].to_numpy(), table["side"].to_numpy(),
+            sets, threshold, pivot,
         )
-        a, b = [node[x] for x, _ in pairs], [node[y] for _, y in pairs]
-        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["src", "dst"])
+        columns = [[pivot] * len(pairs), [a for a, _ in pairs], [b for _, b in pairs]]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], ["pivot", "src", "dst"])
 
     schema = "pivot long, part string, node long, comp long, side int, size int, hist binary"
     known = parts.join(sketches, "node").select(*[c.split()[0] for c in schema.split(", ")])
     close = materialize(known.groupBy(*keys).applyInArrow(prune, schema), "close")
     full = close.join(_texts(docs, close.select("node"), carriers), "node")
     full = full.select(*close.columns, "set")
-    return materialize(full.groupBy(*keys).applyInArrow(link, "src long, dst long"), "links")
+    return materialize(full.groupBy(*keys).applyInArrow(link, "pivot long, src long, dst long"), "links")
 
 
 def similar_components(docs: DataFrame, threshold=THRESHOLD, part: int = PART, hot: int = HOT_NODES) -> DataFrame:
@@ -396,12 +403,10 @@ def similar_components(docs: DataFrame, threshold=THRESHOLD, part: int = PART, h
         "node", F.col("node").alias("comp"), F.lit(0).alias("side"),
     ).withColumn("part", F.col("number").cast("string"))
     links = _compare(members, sketches, docs, carriers, threshold)
-    labels = connected_components(links)
     large = sized.filter(F.col("n") > part)
     if not large.isEmpty():
-        more = _compare(_cross_parts(large, labels, part), sketches, docs, carriers, threshold)
-        if not more.isEmpty():
-            labels = connected_components(links.unionByName(more))
+        links = links.unionByName(_compare(_cross_parts(large, links, part), sketches, docs, carriers, threshold))
+    labels = connected_components(links.select("src", "dst"))
     labelled = nodes.select("node", "name").join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     labelled = materialize(labelled.select("node", "name", "comp"), "labelled")
     names = materialize(labelled.groupBy("comp").agg(F.min("name").alias("component_id")), "names")
@@ -412,13 +417,17 @@ def similar_components(docs: DataFrame, threshold=THRESHOLD, part: int = PART, h
     )
 
 
-def _cross_parts(large: DataFrame, labels: DataFrame, part: int) -> DataFrame:
+def _cross_parts(large: DataFrame, links: DataFrame, part: int) -> DataFrame:
     """Pairs of parts of groups larger than one, for nodes outside the group's largest component.
 
+    Components are those that the parts have found, (pivot, src, dst): nearly all of a crowd
+    is connected to its least node, which every part has.
+
     The others ("minor" nodes) are dealt into parts that meet each other and every part of the
     largest component.
     """
-    known = large.join(labels, "node", "left").select("pivot", "node", F.coalesce("component", "node").alias("comp"))
+    names = links.select("pivot", F.col("src").alias("node"), F.col("dst").alias("component"))
+    known = large.join(names, ["pivot", "node"], "left").select("pivot", "node", F.coalesce("component", "node").alias("comp"))
     known = materialize(known, "cross_members")
     counts = known.groupBy("pivot", "comp").agg(F.count("*").alias("n"))
     top = counts.groupBy("pivot").agg(

@@ -31,7 +31,7 @@ def sieve(keys: DataFrame, key: str, hashed: bool = False) -> np.ndarray:
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     )
     table = np.zeros(BITS // 8, np.uint8)
-    for row in blocks.toLocalIterator():  # at most BITS / 32768 rows of 4 KB
+    for row in blocks.collect():  # at most BITS / 32768 rows of 4 KB, 2 MB together
         at = (row["block"] - 1) * _BLOCK_BYTES
         data = np.frombuffer(row["bits"], np.uint8)
         table[at : at + len(data)] |= data
