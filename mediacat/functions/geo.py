@@ -54,7 +54,8 @@ def wgs84_to_gcj02(lat: Column, lon: Column) -> tuple[Column, Column]:
     """Shift WGS-84 coordinates to the GCJ-02 map datum (applied everywhere).
 
     The offset is given in metres north and east; dividing by the radii of curvature of
-    the ellipsoid at the latitude turns it into angles.
+    the ellipsoid at the latitude turns it into angles. At the poles, where east has no
+    meaning, the longitude is null.
     """
     x, y = lon - ORIGIN_LON, lat - ORIGIN_LAT
     common = _waves(x, COMMON_WAVES)
@@ -64,4 +65,4 @@ def wgs84_to_gcj02(lat: Column, lon: Column) -> tuple[Column, Column]:
     w = 1 - ECCENTRICITY_SQUARED * F.sin(phi) * F.sin(phi)
     meridian = SEMI_MAJOR_AXIS * (1 - ECCENTRICITY_SQUARED) / (w * F.sqrt(w))
     parallel = SEMI_MAJOR_AXIS / F.sqrt(w) * F.cos(phi)
-    return lat + F.degrees(north / meridian), lon + F.degrees(east / parallel)
+    return lat + F.degrees(north / meridian), F.when(F.abs(lat) < 90, lon + F.degrees(east / parallel))

@@ -6,6 +6,8 @@ rows spread over the cluster, not one row in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,11 +49,18 @@ def exact_groups(media: DataFrame, min_rows: int | None = None) -> DataFrame:
     return group_equal(rows, ["media_type", "key"], min_rows=min_rows)
 
 
-def verify_video_groups(groups: DataFrame, sampled: DataFrame, min_rows: int | None = None) -> DataFrame:
-    """Split video groups by sampled hash; image groups pass.
+def verify_video_groups(
+    groups: DataFrame,
+    sampled: DataFrame,
+    min_rows: int | None = None,
+    full: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Split video groups by sampled hash, then by content; image groups pass.
 
-    ``sampled`` is (photo_id, sampled_hash) for at least the video members. Members without
-    a hash and subgroups of one drop out.
+    ``sampled`` is (photo_id, sampled_hash) for at least the video members. It is a filter:
+    files that agree in the samples may differ between them. ``full`` maps the (photo_id) of
+    those that are still together to (photo_id, full_hash), read from whole files, and splits
+    them for good. Members without a hash and subgroups of one drop out.
     """
     images = groups.filter(F.col("media_type") != "video")
     hashed = (
@@ -65,7 +74,15 @@ def verify_video_groups(groups: DataFrame, sampled: DataFrame, min_rows: int | N
             "taken_at",
         )
     )
-    return images.unionByName(group_equal(hashed, ["media_type", "key"], min_rows=min_rows))
+    alike = group_equal(hashed, ["media_type", "key"], min_rows=min_rows)
+    if full is not None:
+        alike = materialize(alike, "sampled_alike")
+        whole = full(alike.select("photo_id")).filter(F.col("full_hash").isNotNull())
+        exact = alike.join(whole.select("photo_id", "full_hash"), "photo_id").select(
+            "media_type", F.concat("key", F.lit("_full_"), "full_hash").alias("key"), "photo_id", "taken_at"
+        )
+        alike = group_equal(exact, ["media_type", "key"], min_rows=min_rows)
+    return images.unionByName(alike)
 
 
 def touched_media(media: DataFrame, hashes: DataFrame, frame_hashes: DataFrame) -> DataFrame:
@@ -88,6 +105,7 @@ def exact_groups_incremental(
     frame_hashes: DataFrame,
     members: DataFrame,
     sampled: DataFrame | None = None,
+    full: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(new members, new groups) after an ingest.
 
@@ -97,7 +115,7 @@ def exact_groups_incremental(
     """
     found = exact_groups(touched_media(media, hashes, frame_hashes))
     if sampled is not None:
-        found = verify_video_groups(found, sampled)
+        found = verify_video_groups(found, sampled, full=full)
     found = materialize(found, "touched")
     known = members.select("photo_id", F.col("group_id").alias("__known"))
     placed = found.join(known.groupBy("photo_id").agg(F.min("__known").alias("__known")), "photo_id", "left")

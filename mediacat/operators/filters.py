@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mediacat.functions import geo
 from mediacat.functions.hashing import usable_fingerprint
 from mediacat.functions.scoring import has_location
+from mediacat.runtime import page
 from mediacat.schema import LIST_COLUMNS, LOCATION_COLUMNS, PATH_COLUMNS, instant, project, utc
 
 
@@ -88,6 +89,11 @@ def by_folder(media: DataFrame, folder_id=None) -> DataFrame:
     return rows if folder_id is None else rows.filter(F.col("folder_id") == F.lit(folder_id))
 
 
+def folder_paths(media: DataFrame, folder_id, limit: int | None = None, offset: int | None = None) -> DataFrame:
+    """(id, path) of a page of a folder's active rows, by id."""
+    return page(by_folder(media, folder_id).select("id", "path"), [("id", "asc")], limit, offset)
+
+
 def with_location(media: DataFrame) -> DataFrame:
     return project(active(media).filter(has_location()), LOCATION_COLUMNS)
 

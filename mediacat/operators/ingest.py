@@ -148,9 +148,15 @@ def folder_scan_times(folders: DataFrame, media: DataFrame, scanned: DataFrame,
     ).drop("__n", "__done")
 
 
-def hash_backfill(media: DataFrame, updates: DataFrame, column: str) -> DataFrame:
-    """Write a hash column back by id; trashed rows stay."""
-    new = one_per_key(updates.select("id", F.col(column).alias("__new")))
+def hash_backfill(media: DataFrame, updates: DataFrame, column: str, order: str | None = None) -> DataFrame:
+    """Write a hash column back by id; trashed rows stay.
+
+    Of several updates of an id the last by ``order`` wins (the least without); an update
+    without a hash never takes part.
+    """
+    own = [F.col(order).alias("__order")] if order else []
+    given = updates.filter(F.col(column).isNotNull()).select("id", F.col(column).alias("__new"), *own)
+    new = one_per_key(given, order="__order" if order else None)
     value = F.when(F.col("deleted_at").isNull() & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col(column))
     return media.join(new, "id", "left").withColumn(column, value).drop("__new").select(*media.columns)
 

@@ -26,9 +26,27 @@ def _is_active() -> Column:
     return F.col("deleted_at").isNull()
 
 
-def trash(media: DataFrame, entries: DataFrame, now) -> DataFrame:
-    """Move active rows to the trash. ``entries`` is (id, trash_path)."""
-    moves = one_per_key(entries.select("id", F.col("trash_path").alias("__to")))
+def _edits(edits: DataFrame, order: str | None, **names: str) -> DataFrame:
+    """One row per id with columns renamed: the last by ``order``, the least row without."""
+    own = [F.col(order).alias("__order")] if order else []
+    picked = edits.select("id", *[F.col(c).alias(n) for n, c in names.items()], *own)
+    return one_per_key(picked, order="__order" if order else None)
+
+
+def trash_results(media: DataFrame, entries: DataFrame) -> DataFrame:
+    """(id, outcome) of each entry's id: ``moved``, ``already trashed`` or ``unknown``.
+
+    To be asked before ``trash``, of the same media.
+    """
+    ids = entries.select("id").distinct()
+    known = media.join(ids, "id", "left_semi").groupBy("id").agg(F.max(_is_active()).alias("__active"))
+    outcome = F.when(F.col("__active").isNull(), "unknown").when(F.col("__active"), "moved").otherwise("already trashed")
+    return ids.join(known, "id", "left").select("id", outcome.alias("outcome"))
+
+
+def trash(media: DataFrame, entries: DataFrame, now, order: str | None = None) -> DataFrame:
+    """Move active rows to the trash. ``entries`` is (id, trash_path); of rivals the last by ``order`` counts."""
+    moves = _edits(entries, order, __to="trash_path")
     return _update(
         media, moves, _is_active(),
         {
@@ -201,10 +219,13 @@ def empty_trash(catalog: Catalog) -> tuple[Catalog, DataFrame]:
     return purge(catalog, trashed(catalog.media).select("id"), only_trashed=True)
 
 
-def update_location(media: DataFrame, edits: DataFrame, now) -> tuple[DataFrame, DataFrame]:
-    """(media, one row ``updated``): set coordinates of active rows; invalid ones are skipped."""
+def update_location(media: DataFrame, edits: DataFrame, now, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(media, one row ``updated``): set coordinates of active rows; invalid ones are skipped.
+
+    Of several edits of an id the last by ``order`` wins.
+    """
     valid = edits.filter(valid_coordinates(F.col("latitude"), F.col("longitude")))
-    good = one_per_key(valid.select("id", F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon")))
+    good = _edits(valid, order, __lat="latitude", __lon="longitude")
     updated = _update(
         media, good, _is_active(),
         {"latitude": F.col("__lat"), "longitude": F.col("__lon"), "updated_at": instant(now)},
@@ -213,9 +234,9 @@ def update_location(media: DataFrame, edits: DataFrame, now) -> tuple[DataFrame,
     return updated, count
 
 
-def update_date(media: DataFrame, edits: DataFrame, now) -> DataFrame:
-    """Set taken_at of active rows. ``edits`` is (id, taken_at)."""
-    new = one_per_key(edits.select("id", F.col("taken_at").alias("__taken")))
+def update_date(media: DataFrame, edits: DataFrame, now, order: str | None = None) -> DataFrame:
+    """Set taken_at of active rows. ``edits`` is (id, taken_at); of rivals the last by ``order`` wins."""
+    new = _edits(edits, order, __taken="taken_at")
     return _update(media, new, _is_active(), {"taken_at": F.col("__taken"), "updated_at": instant(now)})
 
 

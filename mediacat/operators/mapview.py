@@ -22,9 +22,9 @@ def map_clusters(
     """cluster_lat, cluster_lon, count, representative_id, path, filename per grid cell.
 
     Grouping is on the whole-number cell index and combines map-side, so hot cells cost
-    nothing extra. The box and the zoom bound the number of cells: a view of few cells
-    aggregates ids only and looks the representatives up by broadcast; a finer one
-    carries their columns in the aggregate, which needs no second pass.
+    nothing extra. Ids alone are aggregated, and the representatives' columns are looked up;
+    box and zoom bound the number of cells, and where they are few the lookup is a broadcast.
+    A repeated id gives the least path with the file name of that row.
     """
     rows = in_bounds(media, south, west, north, east)
     if zoom >= SINGLE_ZOOM:
@@ -42,19 +42,17 @@ def map_clusters(
         F.round(F.col("longitude") / p).cast("bigint").alias("__x"),
     ]
     height, width = min(north, 90) - max(south, -90), min(east, 180) - max(west, -180)
-    if (height / p + 2) * (width / p + 2) <= BROADCAST_CELLS:
-        cells = rows.groupBy(*cell).agg(F.count("*").alias("count"), F.min("id").alias("id"))
-        found = (
-            rows.select("id", "path", "filename")
-            .join(F.broadcast(cells), "id")
-            .groupBy("__y", "__x", "count", "id")
-            .agg(F.min("path").alias("path"), F.min("filename").alias("filename"))
-        )
-    else:
-        cells = rows.groupBy(*cell).agg(
-            F.count("*").alias("count"), F.min(F.struct("id", "path", "filename")).alias("__rep")
-        )
-        found = cells.select("__y", "__x", "count", "__rep.id", "__rep.path", "__rep.filename")
+    cells = rows.groupBy(*cell).agg(F.count("*").alias("count"), F.min("id").alias("id"))
+    few = (height / p + 2) * (width / p + 2) <= BROADCAST_CELLS
+    own = [F.col("__y").eqNullSafe(F.col("__cy")), F.col("__x").eqNullSafe(F.col("__cx")), F.col("id") == F.col("__id")]
+    cells = cells.select(F.col("__y").alias("__cy"), F.col("__x").alias("__cx"), F.col("id").alias("__id"), "count")
+    found = (
+        rows.select(*cell, "id", "path", "filename")
+        .join(F.broadcast(cells) if few else cells, own)
+        .groupBy("__y", "__x", "count", "id")
+        .agg(F.min(F.struct("path", "filename")).alias("__rep"))
+        .select("__y", "__x", "count", "id", "__rep.path", "__rep.filename")
+    )
     return found.select(
         (F.col("__y") * p).alias("cluster_lat"),
         (F.col("__x") * p).alias("cluster_lon"),

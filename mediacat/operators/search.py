@@ -25,7 +25,7 @@ PROMPT_OPENINGS = ("a photo of", "an image of", "picture of")
 PROMPT_PREFIX = "a photo of "
 PROMPT_SUFFIX_CJK = " 的照片"
 CJK = r"[\x{4E00}-\x{9FA5}]"
-DEFAULT_LIMIT, MAX_LIMIT = 50, 500
+DEFAULT_LIMIT, MAX_LIMIT = 50, 500  # the second is for callers to apply; no limit is cut here
 
 # Plans scored in one pass; their matrix is what each task receives.
 PLANS_PER_PASS = 2_048
@@ -75,16 +75,16 @@ def plan_queries(queries: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
 
 
 def _passes(plans: DataFrame) -> Iterator[pd.DataFrame]:
-    """Plans in slices of bounded size, all plans of a query in one slice."""
+    """Plans in slices of bounded size, all plans of a query in one slice.
+
+    A query with more plans than fit a slice makes its slice as large as it needs.
+    """
     total = plans.count()
     slices = -(-total // PLANS_PER_PASS) or 1
     rows = plans.select("query_id", "embedding", "threshold")
     if slices == 1:
         yield rows.toPandas()
         return
-    most = rows.groupBy("query_id").count().agg(F.max("count")).first()[0]
-    if most > PLANS_PER_PASS:
-        raise ValueError(f"a query has {most} plans; {PLANS_PER_PASS} fit one pass")
     # twice as many slices as needed keeps each near half the bound
     part = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(2 * slices))
     rows = materialize(rows.withColumn("__part", part), "plans")
@@ -166,8 +166,8 @@ def score_all(plans: DataFrame, embeddings: DataFrame, limit: int | None = None)
 
 
 def top_k(scores: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The best ``limit`` (1 to 500) rows per query, with ``rank``; ties go to the smaller id."""
-    limit = max(1, min(limit, MAX_LIMIT))
+    """The best ``limit`` (1 or more) rows per query, with ``rank``; ties go to the smaller id."""
+    limit = max(1, limit)
     w = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("photo_id"))
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
@@ -188,17 +188,36 @@ def search(
 ) -> DataFrame:
     """Best files per query: query_id, rank, photo_id, similarity, and the file's columns.
 
-    With ``media`` only active files take part. That test runs on the hits, which are few
-    and narrow, never on the vectors, which would have to be shuffled for it.
+    With ``media`` only active files take part. That test runs on the best hits, never on
+    all of them or on the vectors: each query's best ``limit`` are looked up, and queries that
+    came up short although more hits exist are asked again for twice as many.
     """
-    limit = max(1, min(limit, MAX_LIMIT))
+    limit = max(1, limit)
     if model is not None:
         embeddings = embeddings.filter(F.col("model") == model)
     if media is None:
         return top_k(score_all(plans, embeddings, limit), limit)
     alive = active(media).select(F.col("id").alias("photo_id"))
-    best = top_k(score_all(plans, embeddings).join(alive, "photo_id", "left_semi"), limit)
-    return best.join(active(media).withColumnRenamed("id", "photo_id"), "photo_id")
+    settled, wanted, asked = None, limit, plans
+    while True:
+        hits = materialize(top_k(score_all(asked, embeddings, wanted), wanted), "hits")
+        found = materialize(top_k(hits.drop("rank").join(alive, "photo_id", "left_semi"), limit), "found")
+        kept = found.groupBy("query_id").agg(F.count("*").alias("__alive"))
+        # a query is short if its hits were cut off and too few of them are alive
+        short = (
+            hits.groupBy("query_id").agg(F.count("*").alias("__hits")).filter(F.col("__hits") >= wanted)
+            .join(kept, "query_id", "left")
+            .filter(F.coalesce("__alive", F.lit(0)) < limit)
+            .select("query_id")
+        )
+        short = materialize(short, "short")
+        done = found.join(short, "query_id", "left_anti")
+        settled = done if settled is None else settled.unionByName(done)
+        if short.isEmpty():
+            break
+        asked = materialize(asked.join(short, "query_id", "left_semi"), "asked")
+        wanted *= 2
+    return settled.join(active(media).withColumnRenamed("id", "photo_id"), "photo_id")
 
 
 def without_embedding(
@@ -215,10 +234,15 @@ def without_embedding(
     rows = rows.join(embeddings.select(F.col("photo_id").alias("id")), "id", "left_anti")
     if exclude is not None:
         rows = rows.join(exclude.select(F.col(exclude.columns[0]).alias("id")), "id", "left_anti")
-    rows = rows.select("id", "path")
+    rows = rows.select("id", "path", "filename", "media_type")
     return rows.orderBy("id").limit(limit) if limit else rows
 
 
+def vector_of(embeddings: DataFrame, photo_id) -> DataFrame:
+    """(embedding, model) of one file; no row if it has none."""
+    return embeddings.filter(F.col("photo_id") == F.lit(photo_id)).select("embedding", "model")
+
+
 def embed_missing(
     media: DataFrame,
     embeddings: DataFrame,

@@ -1,12 +1,11 @@
 """Similar images: fingerprints within a Hamming limit and comparable file sizes.
 
-Two modes. ``banded`` follows the classic eight 8-bit bands with a bucket limit and is
-meant for small catalogues and parity. ``complete`` (the default) misses nothing: by
-pigeonhole, two fingerprints that differ in fewer than ``threshold`` of 64 bits agree on
-all bits of at least ``pick`` of ``blocks`` blocks, so a join on every choice of ``pick``
-blocks meets every such pair.
+Two modes. ``banded`` links similar files that agree on one of eight non-zero 8-bit bands.
+``complete`` (the default) misses nothing: by pigeonhole, two fingerprints that differ in
+fewer than ``threshold`` of 64 bits agree on all bits of at least ``pick`` of ``blocks``
+blocks, so a join on every choice of ``pick`` blocks meets every such pair.
 
-The complete mode never lists all pairs of a crowd:
+Neither mode has a bucket limit or lists all pairs of a crowd:
 
 * equal fingerprints collapse to one node per run of comparable sizes, so a burst or a
   picture that makes up a third of the catalogue is one node;
@@ -37,7 +36,6 @@ from mediacat.runtime import hot_keys, join_lookup, materialize, written_hot_key
 # Limits of the similarity test.
 THRESHOLD = 10
 BANDS = 8
-MAX_BUCKET = 1500
 SIZE_RATIO = 2
 
 BITS = 64
@@ -76,14 +74,12 @@ def similar_pairs(
     fp: DataFrame,
     threshold: int = THRESHOLD,
     bands: int = BANDS,
-    max_bucket: int = MAX_BUCKET,
     size_ratio: int = SIZE_RATIO,
 ) -> DataFrame:
-    """(id_a, id_b, distance) of pairs that share a non-zero band.
+    """(id_a, id_b, distance) of all similar pairs that share a non-zero band.
 
-    A band value held by more than ``max_bucket`` files is skipped, as the banded method
-    does by definition; ``near_components`` is the mode that loses nothing. The limit also
-    bounds the work per bucket, and there are at most bands * 255 buckets.
+    For callers that want the pairs themselves, whose number grows with the square of a
+    crowd; groups come from ``near_components``, which lists none.
     """
     width = BITS // bands
     rows = _packed(fp)
@@ -93,10 +89,7 @@ def similar_pairs(
     banded = rows.select("id", "size", "bits", F.posexplode(F.array(*keys)).alias("band", "value")).filter(
         F.col("value") != 0
     )
-    # at most bands * (2^width - 1) rows
-    buckets = banded.groupBy("band", "value").agg(F.count("*").alias("n"))
-    usable = buckets.filter(F.col("n").between(2, max_bucket)).select("band", "value")
-    kept = banded.join(F.broadcast(usable), ["band", "value"])
+    kept = banded
     left = kept.select("band", "value", F.col("id").alias("id_a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
     right = kept.select("band", "value", F.col("id").alias("id_b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
     distance = hamming_bits(F.col("bits_a"), F.col("bits_b"))
@@ -135,11 +128,17 @@ def _cut(positions: list[int], parts: int) -> list[list[int]]:
     return [positions[a:b] for a, b in zip(edges, edges[1:])]
 
 
-def _intact_before(x: Column, blocks: list[int], last: Column) -> Column:
-    """How many blocks up to number ``last`` agree, given the XOR of two fingerprints."""
+def _intact_before(x: Column, blocks: list[int], last: Column, bits: Column | None = None) -> Column:
+    """How many blocks up to number ``last`` agree, given the XOR of two fingerprints.
+
+    With ``bits``, one of the two, blocks without a set bit do not count.
+    """
     total = F.lit(0)
     for number, mask in enumerate(blocks):
-        total = total + F.when((last >= number) & (x.bitwiseAND(F.lit(_signed(mask))) == 0), 1).otherwise(0)
+        agree = (last >= number) & (x.bitwiseAND(F.lit(_signed(mask))) == 0)
+        if bits is not None:
+            agree = agree & (bits.bitwiseAND(F.lit(_signed(mask))) != 0)
+        total = total + F.when(agree, 1).otherwise(0)
     return total
 
 
@@ -217,11 +216,15 @@ def near_components(
     size_ratio: int = SIZE_RATIO,
     blocks: int | None = None,
     crowd: int = CROWD,
+    bands: int | None = None,
 ) -> DataFrame:
-    """(nid, label): the components of all similar pairs of ``nodes`` (nid, bits, lo, hi)."""
+    """(nid, label): the components of all similar pairs of ``nodes`` (nid, bits, lo, hi).
+
+    With ``bands``, only of pairs that agree on one of so many bands with a bit set in it.
+    """
     total = nodes.count()
-    blocks = blocks or blocks_for(total, threshold)
-    pick = blocks - (threshold - 1)
+    blocks = bands or blocks or blocks_for(total, threshold)
+    pick = 1 if bands else blocks - (threshold - 1)
     cuts = _cut(list(range(BITS)), blocks)
     choices = list(combinations(range(blocks), pick))
     masks = [_signed(_mask(p for b in c for p in cuts[b])) for c in choices]
@@ -229,9 +232,10 @@ def near_components(
 
     def keyed(rows: DataFrame, step: int = 1) -> DataFrame:
         picked = [F.struct(F.lit(i).alias("choice"), F.lit(masks[i]).alias("mask")) for i in range(0, len(masks), step)]
-        return rows.select("*", F.explode(F.array(*picked)).alias("c")).select(
+        out = rows.select("*", F.explode(F.array(*picked)).alias("c")).select(
             *rows.columns, "c.choice", F.col("bits").bitwiseAND(F.col("c.mask")).alias("key")
         )
+        return out.filter(F.col("key") != 0) if bands else out
 
     # one row per crowded bucket: at most nodes * choices / crowd
     sizes = keyed(nodes).groupBy(*keys).agg(F.count("*").alias("n"))
@@ -251,7 +255,7 @@ def near_components(
     # Pass 2: compare across components; a pair counts at the first choice it agrees on.
     lasts = F.array(*[F.lit(max(c)) for c in choices])[F.col("choice")]
     differing = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
-    first = _intact_before(differing, [_mask(c) for c in cuts], lasts) == pick
+    first = _intact_before(differing, [_mask(c) for c in cuts], lasts, F.col("bits_a") if bands else None) == pick
     calm = keyed(labelled) if no_crowd else keyed(labelled).join(crowded, keys, "left_anti")
     calm = _spread(calm, keys, total * len(choices))
     across = (
@@ -329,8 +333,7 @@ def similar_components(fp: DataFrame, mode: str = "complete", **limits) -> DataF
     ``fp`` is (id, file_size, ph); the component is its least id.
     """
     if mode == "banded":
-        pairs = similar_pairs(fp, **limits)
-        return connected_components(pairs, "id_a", "id_b").withColumnRenamed("node", "id")
+        limits = {"bands": BANDS} | limits
     files, nodes = fingerprint_nodes(fp)
     nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     parts = near_components(nodes.select("nid", "bits", "lo", "hi"), **limits)

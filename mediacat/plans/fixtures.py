@@ -140,13 +140,13 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
         ),
     )
     flipped = materialize(flipped, "fingerprints")
-    base = flipped.drop("flip")
+    base = flipped.drop("flip").withColumn("id", F.col("id") * 4)  # an id has room for four versions
     return (
-        base.unionByName(flipped.selectExpr("1000000 + id as id", "file_size * (1 + id % 3) as file_size", "flip as ph"))
+        base.unionByName(flipped.selectExpr("id * 4 + 1 as id", "file_size * (1 + id % 3) as file_size", "flip as ph"))
         .unionByName(
-            flipped.filter("id % 4 = 0").selectExpr("2000000 + id as id", "file_size * 2 as file_size", "flip as ph")
+            flipped.filter("id % 4 = 0").selectExpr("id * 4 + 2 as id", "file_size * 2 as file_size", "flip as ph")
         )
-        .unionByName(base.filter("id < 3").selectExpr("3000000 + id as id", "1000L as file_size", "repeat('0', 64) as ph"))
+        .unionByName(base.filter("id < 12").selectExpr("id + 3 as id", "1000L as file_size", "repeat('0', 64) as ph"))
     )
 
 
@@ -351,10 +351,10 @@ FROM documents""",
     "fp_flip": """SELECT *, list_aggregate(list_transform(range(8), lambda i: CASE WHEN i < id % 12
     THEN translate(substr(ph, CAST(i * 8 + 1 AS INT), 1), '01', '10') || substr(ph, CAST(i * 8 + 2 AS INT), 7)
     ELSE substr(ph, CAST(i * 8 + 1 AS INT), 8) END), 'string_agg', '') AS flip FROM fp_base""",
-    "fp": """SELECT id, file_size, ph FROM fp_base
-  UNION ALL SELECT 1000000 + id, file_size * (1 + id % 3), flip FROM fp_flip
-  UNION ALL SELECT 2000000 + id, file_size * 2, flip FROM fp_flip WHERE id % 4 = 0
-  UNION ALL SELECT 3000000 + id, 1000, repeat('0', 64) FROM fp_base WHERE id < 3""",
+    "fp": """SELECT id * 4 AS id, file_size, ph FROM fp_base
+  UNION ALL SELECT id * 4 + 1, file_size * (1 + id % 3), flip FROM fp_flip
+  UNION ALL SELECT id * 4 + 2, file_size * 2, flip FROM fp_flip WHERE id % 4 = 0
+  UNION ALL SELECT id * 4 + 3, 1000, repeat('0', 64) FROM fp_base WHERE id < 3""",
     "fp_media": """SELECT *, id || CASE WHEN id % 2 = 0 THEN '_copy' ELSE '' END || '.jpg' AS filename,
   640 * (1 + id % 3) AS width, 480 AS height FROM fp WHERE id % 13 <> 0""",
     "tags": """SELECT event_id AS id,

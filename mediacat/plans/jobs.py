@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from mediacat.operators.keeper import pick_keeper
 from mediacat.operators.similar import similar_groups
 from mediacat.runtime import materialize
 from mediacat.schema import Catalog
-from mediacat.sources.listing import sampled_hash_files
+from mediacat.sources.listing import full_hash_files, sampled_hash_files
 from mediacat.sources.tables import rebuild_groups
 
 
@@ -27,11 +29,15 @@ def scan_folder(catalog: Catalog, folder_id, listing: DataFrame, extract, scan_i
     return apply_scan(catalog, diff, rows), diff
 
 
-def exact_report(media: DataFrame, sampled: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(members, groups) of the exact reason from scratch."""
+def exact_report(media: DataFrame, sampled: DataFrame | None = None, full=None) -> tuple[DataFrame, DataFrame]:
+    """(members, groups) of the exact reason from scratch.
+
+    ``sampled`` and ``full`` are those of ``verify_video_groups``; ``full_hashes(media)``
+    reads the whole of the few files that still look alike.
+    """
     found = exact_groups(media)
     if sampled is not None:
-        found = verify_video_groups(found, sampled)
+        found = verify_video_groups(found, sampled, full=full)
     members = materialize(found.select("group_id", "photo_id"), "exact")
     groups = pick_keeper(members, media).withColumn("reason", F.lit("exact"))
     return members, groups.select("group_id", "reason", "keeper_id")
@@ -48,8 +54,19 @@ def hash_video_candidates(media: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     return files.join(sampled_hash_files(files, chunk), "path").select("photo_id", "sampled_hash")
 
 
-def rebuild_exact(media: DataFrame, base: str, sampled: DataFrame | None = None) -> None:
-    members, groups = exact_report(media, sampled)
+def full_hashes(media: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """For ``verify_video_groups``: reads the files of the (photo_id) it is given, whole."""
+
+    def read(ids: DataFrame) -> DataFrame:
+        files = ids.join(media.selectExpr("id as photo_id", "path", "file_size as length"), "photo_id")
+        files = materialize(files, "to_read")
+        return files.join(full_hash_files(files), "path").select("photo_id", "full_hash")
+
+    return read
+
+
+def rebuild_exact(media: DataFrame, base: str, sampled: DataFrame | None = None, full=None) -> None:
+    members, groups = exact_report(media, sampled, full)
     rebuild_groups(members, groups, base, "exact")
 
 

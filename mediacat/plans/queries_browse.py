@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mediacat.functions import geo as geo_functions
+from mediacat.functions import geo
 from mediacat.functions import paths as path_functions
 from mediacat.operators import browse, filters, groups, mapview, stats
 from mediacat.operators.filters import MediaFilter
@@ -77,6 +77,11 @@ def f6_by_folder(spark, sf):
     return filters.by_folder(fx.media(spark, sf), "src3").select("id", "path")
 
 
+@query("SELECT id, path FROM active WHERE folder_id = 'src3' ORDER BY id LIMIT 5 OFFSET 2", "active")
+def f6_folder_paths(spark, sf):
+    return filters.folder_paths(fx.media(spark, sf), "src3", 5, 2)
+
+
 @query(f"SELECT {PLACE_SQL} FROM active WHERE latitude IS NOT NULL AND longitude IS NOT NULL", "active")
 def f7_with_location(spark, sf):
     return flat(filters.with_location(fx.media(spark, sf)))
@@ -315,22 +320,29 @@ def g1_map_clusters_single(spark, sf):
     return mapview.map_clusters(fx.media(spark, sf), -30.5, -100, 70, 150.5, 16)
 
 
-GCJ_SQL = """, c AS (SELECT id, latitude AS lat, longitude AS lon, longitude - 105.0 AS x, latitude - 35.0 AS y FROM shipments),
-t AS (SELECT *, (20.0*sin(6.0*x*pi()) + 20.0*sin(2.0*x*pi())) * 2.0/3.0 AS wave,
-  1 - 0.00669342162296594323::DOUBLE * sin(lat/180.0*pi()) * sin(lat/180.0*pi()) AS magic FROM c),
-d AS (SELECT *, -100.0 + 2.0*x + 3.0*y + 0.2*y*y + 0.1*x*y + 0.2*sqrt(abs(x)) + wave
-    + (20.0*sin(y*pi()) + 40.0*sin(y/3.0*pi()))*2.0/3.0 + (160.0*sin(y/12.0*pi()) + 320*sin(y*pi()/30.0))*2.0/3.0 AS dlat,
-  300.0 + x + 2.0*y + 0.1*x*x + 0.1*x*y + 0.1*sqrt(abs(x)) + wave
-    + (20.0*sin(x*pi()) + 40.0*sin(x/3.0*pi()))*2.0/3.0 + (150.0*sin(x/12.0*pi()) + 300.0*sin(x/30.0*pi()))*2.0/3.0 AS dlon FROM t)
-SELECT id, round(lat + dlat*180.0 / ((6378245.0*(1 - 0.00669342162296594323::DOUBLE))/(magic*sqrt(magic))*pi()), 5) AS lat,
-  round(lon + dlon*180.0 / (6378245.0/sqrt(magic)*cos(lat/180.0*pi())*pi()), 5) AS lon FROM d WHERE abs(lat) < 90"""
+def _sql_waves(x: str, waves) -> str:
+    return "(" + " + ".join(f"{a!r} * sin({x} * {f!r} * pi())" for a, f in waves) + f") * {geo.WAVE_SCALE!r}"
+
+
+def _sql_polynomial(squared: str, c) -> str:
+    return f"{c[0]!r} + {c[1]!r} * x + {c[2]!r} * y + {c[3]!r} * {squared} * {squared} + {c[4]!r} * x * y + {c[5]!r} * sqrt(abs(x))"
+
+
+# the offset in metres north and east, divided by the radii of curvature at the latitude
+GCJ_SQL = f""", place AS (SELECT id, latitude, longitude, longitude - {geo.ORIGIN_LON!r}::DOUBLE AS x, latitude - {geo.ORIGIN_LAT!r}::DOUBLE AS y,
+  1 - {geo.ECCENTRICITY_SQUARED!r}::DOUBLE * pow(sin(radians(latitude)), 2) AS w FROM shipments),
+metres AS (SELECT *, {_sql_polynomial("y", geo.NORTH_POLYNOMIAL)} + {_sql_waves("x", geo.COMMON_WAVES)} + {_sql_waves("y", geo.NORTH_WAVES)} AS north,
+  {_sql_polynomial("x", geo.EAST_POLYNOMIAL)} + {_sql_waves("x", geo.COMMON_WAVES)} + {_sql_waves("x", geo.EAST_WAVES)} AS east,
+  {geo.SEMI_MAJOR_AXIS!r}::DOUBLE * (1 - {geo.ECCENTRICITY_SQUARED!r}::DOUBLE) / pow(w, 1.5) AS meridian,
+  {geo.SEMI_MAJOR_AXIS!r}::DOUBLE / sqrt(w) * cos(radians(latitude)) AS parallel FROM place)
+SELECT id, round(latitude + degrees(north / meridian), 5) AS lat,
+  CASE WHEN abs(latitude) < 90 THEN round(longitude + degrees(east / parallel), 5) END AS lon FROM metres"""
 
 
 @query(GCJ_SQL, "shipments")
 def g3_wgs84_to_gcj02(spark, sf):
-    rows = fx.shipments(spark, sf).filter("abs(latitude) < 90")
-    lat, lon = geo_functions.wgs84_to_gcj02(F.col("latitude"), F.col("longitude"))
-    return rows.select("id", F.round(lat, 5).alias("lat"), F.round(lon, 5).alias("lon"))
+    lat, lon = geo.wgs84_to_gcj02(F.col("latitude"), F.col("longitude"))
+    return fx.shipments(spark, sf).select("id", F.round(lat, 5).alias("lat"), F.round(lon, 5).alias("lon"))
 
 
 @query(

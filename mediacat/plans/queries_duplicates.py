@@ -18,8 +18,7 @@ NEAR_SQL = """, near AS (SELECT a.id AS id_a, b.id AS id_b, hamming(a.ph, b.ph)
   WHERE a.ph <> repeat('0', 64) AND b.ph <> repeat('0', 64))"""
 BANDED_SQL = """, band AS (SELECT id, file_size, ph, i AS band, substr(ph, CAST(i * 8 + 1 AS INT), 8) AS val FROM (SELECT *, unnest(range(8)) AS i FROM {rows}
     WHERE ph <> repeat('0', 64)) WHERE substr(ph, CAST(i * 8 + 1 AS INT), 8) <> '00000000'),
- kept AS (SELECT * FROM band QUALIFY count(*) OVER (PARTITION BY band, val) BETWEEN 2 AND {cap}),
- near AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b, hamming(a.ph, b.ph) AS distance FROM kept a JOIN kept b
+ near AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b, hamming(a.ph, b.ph) AS distance FROM band a JOIN band b
   ON a.band = b.band AND a.val = b.val AND a.id < b.id
   AND greatest(a.file_size, b.file_size) <= 2 * least(a.file_size, b.file_size) AND hamming(a.ph, b.ph) < 10)"""
 COMPONENT_SQL = """, both_ways AS (SELECT id_a AS a, id_b AS b FROM near UNION SELECT id_b, id_a FROM near),
@@ -50,6 +49,22 @@ def d7_verify_video_groups(spark, sf):
     return flat(exact.verify_video_groups(exact.exact_groups(media), sampled))
 
 
+@query(
+    VERIFIED_SQL.replace("|| sampled_hash ELSE", "|| sampled_hash || '_full_' || md5((m.id % 3)::VARCHAR) ELSE")
+    + """ SELECT media_type, key, photo_id, CAST(taken_at AS VARCHAR) AS taken_at, n AS "count", group_id FROM checked WHERE n > 1""",
+    "exact_rows", "media",
+)
+def d7_verify_video_content(spark, sf):
+    """Videos equal in the samples, some of them different between the samples."""
+    media = fx.media(spark, sf)
+    sampled = media.select(F.col("id").alias("photo_id"), "sampled_hash")
+
+    def full(ids):
+        return ids.select("photo_id", F.md5((F.col("photo_id") % 3).cast("string")).alias("full_hash"))
+
+    return flat(exact.verify_video_groups(exact.exact_groups(media), sampled, full=full))
+
+
 INCREMENT_SQL = """, old AS (SELECT 'old:' || key AS group_id, photo_id FROM exact_rows WHERE photo_id IN (SELECT vec_id FROM embeddings)),
  touched AS (SELECT e.* FROM exact_rows e JOIN media m ON m.id = e.photo_id WHERE
    (e.media_type = 'image' AND file_hash IN (SELECT file_hash FROM media WHERE id IN (SELECT doc_id FROM labels))) OR
@@ -93,14 +108,15 @@ def d2_exact_incremental_groups(spark, sf):
     return _increment(spark, sf)[1]
 
 
-@query(BANDED_SQL.format(rows="fp", cap=1500) + " SELECT id_a, id_b, CAST(distance AS INT) AS distance FROM near", "fp")
+@query(BANDED_SQL.format(rows="fp") + " SELECT id_a, id_b, CAST(distance AS INT) AS distance FROM near", "fp")
 def d3_similar_pairs(spark, sf):
     return similar.similar_pairs(fx.fingerprints(spark, sf))
 
 
-@query(BANDED_SQL.format(rows="fp", cap=3) + " SELECT id_a, id_b, CAST(distance AS INT) AS distance FROM near", "fp")
+@query(BANDED_SQL.format(rows="fp") + COMPONENT_SQL + " SELECT id, component FROM comp", "fp")
 def d3_similar_pairs_small_buckets(spark, sf):
-    return similar.similar_pairs(fx.fingerprints(spark, sf), max_bucket=3)
+    """Files of banded pairs with every bucket of more than three nodes treated as crowded."""
+    return similar.similar_components(fx.fingerprints(spark, sf), mode="banded", crowd=3)
 
 
 @query(NEAR_SQL.format(rows="fp") + COMPONENT_SQL + " SELECT id, component FROM comp", "fp")
@@ -114,7 +130,7 @@ def d4_similar_complete_crowded(spark, sf):
     return similar.similar_components(fx.fingerprints(spark, sf), crowd=3)
 
 
-@query(BANDED_SQL.format(rows="fp", cap=1500) + COMPONENT_SQL + " SELECT id, component FROM comp", "fp")
+@query(BANDED_SQL.format(rows="fp") + COMPONENT_SQL + " SELECT id, component FROM comp", "fp")
 def d4_similar_banded(spark, sf):
     return similar.similar_components(fx.fingerprints(spark, sf), mode="banded")
 
@@ -152,7 +168,7 @@ def d6_similar_groups(spark, sf):
 
 
 @query(
-    BANDED_SQL.format(rows="fp_media", cap=1500) + COMPONENT_SQL + SIMILAR_GROUP_SQL.format(skip=""), "fp_media"
+    BANDED_SQL.format(rows="fp_media") + COMPONENT_SQL + SIMILAR_GROUP_SQL.format(skip=""), "fp_media"
 )
 def d6_similar_groups_banded(spark, sf):
     return _with_keeper(*similar.similar_groups(fx.fingerprint_media(spark, sf), mode="banded"))
@@ -207,8 +223,8 @@ def d10_repick_keeper(spark, sf):
 )
 def d11_hamming(spark, sf):
     base = fx.fingerprints(spark, sf)
-    a = base.filter("id < 1000000").select("id", "ph")
-    b = base.filter("id between 1000000 and 1999999").selectExpr("id - 1000000 as id", "ph as flip")
+    a = base.filter("id % 4 = 0").selectExpr("id div 4 as id", "ph")
+    b = base.filter("id % 4 = 1").selectExpr("id div 4 as id", "ph as flip")
     part = F.substr(F.col("ph"), F.lit(1), (F.col("id") % 64).cast("int"))
     return a.join(b, "id").select(
         "id",

@@ -84,7 +84,7 @@ def v4_search(spark, sf):
 
 
 @query(
-    """SELECT id, path FROM active WHERE media_type = 'image' AND id NOT IN (SELECT photo_id FROM vectors)
+    """SELECT id, path, filename, media_type FROM active WHERE media_type = 'image' AND id NOT IN (SELECT photo_id FROM vectors)
     AND id NOT IN (SELECT doc_id FROM labels) ORDER BY id LIMIT 300""",
     "active", "vectors",
 )
@@ -94,13 +94,19 @@ def j2_without_embedding(spark, sf):
 
 
 @query(
-    """SELECT id, path FROM active WHERE media_type = 'image' AND id NOT IN (SELECT photo_id FROM vectors WHERE model = 'm1')""",
+    """SELECT id, path, filename, media_type FROM active WHERE media_type = 'image' AND id NOT IN (SELECT photo_id FROM vectors WHERE model = 'm1')""",
     "active", "vectors",
 )
 def j2_without_embedding_of_model(spark, sf):
     return search.without_embedding(fx.media(spark, sf), fx.embeddings(spark, sf), model="m1")
 
 
+@query("SELECT model, len(embedding)::INT AS dims FROM vectors WHERE photo_id = (SELECT max(vec_id) FROM embeddings)", "vectors")
+def j3_vector_of(spark, sf):
+    last = fx.table(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0]
+    return search.vector_of(fx.embeddings(spark, sf), last).select("model", F.size("embedding").alias("dims"))
+
+
 @query(
     """SELECT photo_id, model, path FROM vectors JOIN vector_media ON id = photo_id WHERE deleted_at IS NULL AND model = 'm1'""",
     "vectors", "vector_media",

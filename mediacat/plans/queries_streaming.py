@@ -31,14 +31,17 @@ def _finish(writer, folder: str) -> None:
 
 
 @query(
-    """SELECT CAST(date_trunc('day', taken_at)::TIMESTAMP AS VARCHAR) AS start, count(*) AS "count" FROM shots GROUP BY 1""", "shots"
+    """SELECT CAST(date_trunc('day', taken_at)::TIMESTAMP AS VARCHAR) AS start, count(*) AS "count" FROM shipments GROUP BY 1""", "shipments"
 )
 def s3_stream_timeline(spark, sf):
+    """Seven years of files, the newest found first, a trigger per two and a half years."""
     folder = _folder(spark, "timeline")
-    shots = fx.shots(spark, sf).select("id", "taken_at")
-    shots.repartitionByRange(3, "taken_at").sortWithinPartitions("taken_at").write.parquet(f"{folder}/in")
-    # the three files may arrive in any order: allow for a whole month
-    days = jobs.stream_timeline(_stream(spark, f"{folder}/in", 1), lateness="40 days")
+    files = fx.shipments(spark, sf).select("id", "taken_at")
+    for after, before in (("1996-07-01", "2100-01-01"), ("1994-01-01", "1996-07-01"), ("1900-01-01", "1994-01-01")):
+        span = files.filter(f"taken_at >= timestamp'{after}' and taken_at < timestamp'{before}'")
+        span.write.mode("append").parquet(f"{folder}/in")
+    found = spark.read.parquet(f"{folder}/in").inputFiles()
+    days = jobs.stream_timeline(_stream(spark, f"{folder}/in", -(-len(found) // 3)))
     sink = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
     _finish(days.writeStream.outputMode("update").foreachBatch(sink), folder)
     done = spark.read.parquet(f"{folder}/out")

@@ -87,7 +87,7 @@ def i6_phash_missing(spark, sf):
 def i6_fill_missing_phash(spark, sf):
     """Fingerprints computed from pixels fill the gaps."""
     media = fx.media(spark, sf)
-    pixels = fx.fingerprints(spark, sf).filter("id < 1000000").select("id", F.col("ph").alias("perceptual_hash"))
+    pixels = fx.fingerprints(spark, sf).filter("id % 4 = 0").selectExpr("id div 4 as id", "ph as perceptual_hash")
     computed = media.select("id", "path").join(pixels, "id").select("path", "perceptual_hash")
     return ingest.fill_missing_phash(media, computed).select("id", "perceptual_hash")
 
@@ -323,6 +323,21 @@ def k5_hash_backfill(spark, sf):
     return ingest.hash_backfill(media, updates, "perceptual_hash").select("id", "perceptual_hash")
 
 
+@query(
+    """SELECT id, CASE WHEN deleted_at IS NULL AND id IN (SELECT doc_id FROM labels) THEN
+      CASE WHEN id % 2 = 0 THEN md5(path) ELSE sha256(path) END ELSE perceptual_hash END AS perceptual_hash FROM media""",
+    "media",
+)
+def k5_hash_backfill_rivals(spark, sf):
+    """Up to three updates of a file: the last one counts, but not the one without a hash."""
+    media = fx.media(spark, sf)
+    labelled = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    rows = media.join(labelled, "id", "left_semi").select("id", "path")
+    later = F.when(F.col("id") % 2 == 0, F.md5("path"))
+    updates = rows.select("id", F.posexplode(F.array(F.sha2("path", 256), later, F.lit(None))).alias("turn", "perceptual_hash"))
+    return ingest.hash_backfill(media, updates, "perceptual_hash", order="turn").select("id", "perceptual_hash")
+
+
 @query(
     """SELECT group_id, photo_id FROM members WHERE photo_id NOT IN (SELECT id FROM active)""", "members", "active"
 )
@@ -343,6 +358,17 @@ def m1_trash(spark, sf):
     return flat(out.select("id", "path", "original_path", "trash_path", "deleted_at"))
 
 
+@query(
+    """, asked AS (SELECT DISTINCT doc_id AS id FROM labels UNION SELECT -1 - doc_id FROM labels)
+    SELECT asked.id, CASE WHEN m.id IS NULL THEN 'unknown' WHEN m.deleted_at IS NULL THEN 'moved' ELSE 'already trashed' END AS outcome
+    FROM asked LEFT JOIN media m ON m.id = asked.id""",
+    "media",
+)
+def m1_trash_results(spark, sf):
+    entries = fx.table(spark, sf, "labels").select(F.explode(F.array("doc_id", -1 - F.col("doc_id"))).alias("id"))
+    return maintain.trash_results(fx.media(spark, sf), entries)
+
+
 def _restored(spark, sf):
     entries = fx.table(spark, sf, "labels").selectExpr("doc_id as id", "concat('/r/', doc_id) as restored_path")
     return maintain.restore(fx.media(spark, sf), entries)
@@ -572,6 +598,22 @@ def g5_update_location(spark, sf):
     return flat(out.select("id", "latitude", "longitude", "updated_at"))
 
 
+@query(
+    """SELECT m.id, CASE WHEN h THEN (id % 80)::DOUBLE ELSE latitude END AS latitude, CASE WHEN h THEN -(id % 90)::DOUBLE ELSE longitude END AS longitude
+    FROM (SELECT *, deleted_at IS NULL AND id IN (SELECT event_id FROM events) AS h FROM media) m""",
+    "media",
+)
+def g5_update_location_rivals(spark, sf):
+    """Three edits of a place: the second is the last valid one."""
+    edits = fx.table(spark, sf, "events").selectExpr(
+        "event_id as id",
+        """inline(array(struct(1 as turn, -80D as latitude, -170D as longitude), struct(2 as turn, cast(event_id % 80 as double) as latitude, cast(-(event_id % 90) as double) as longitude),
+           struct(3 as turn, 100D as latitude, 0D as longitude)))""",
+    )
+    out, _ = maintain.update_location(fx.media(spark, sf), edits, NOW, order="turn")
+    return out.select("id", "latitude", "longitude")
+
+
 @query(
     """SELECT count(*) AS updated FROM active JOIN events ON event_id = id WHERE event_id % 191 - 95 BETWEEN -90 AND 90
     AND event_id % 371 - 185 BETWEEN -180 AND 180""",

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from pathlib import Path
 
@@ -96,9 +99,30 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._mediacat_path = path
+    if getattr(_scope, "steps", None) is not None:
+        _scope.steps.append(out)
     return out
 
 
+_scope = threading.local()
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Release every step this thread materializes inside, at the end.
+
+    For loops whose results are written elsewhere before the scope closes, such as the
+    micro-batches of a stream.
+    """
+    outer, _scope.steps = getattr(_scope, "steps", None), []
+    try:
+        yield
+    finally:
+        for step in _scope.steps:
+            release(step)
+        _scope.steps = outer
+
+
 def release(df: DataFrame) -> None:
     """Delete a materialized step that nothing reads any more."""
     path = df.__dict__.get("_mediacat_path")
@@ -108,9 +132,16 @@ def release(df: DataFrame) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def one_per_key(df: DataFrame, key: str = "id") -> DataFrame:
-    """One row per key, the least of rivals: the same on every run and retry."""
-    rest = [c for c in df.columns if c != key]
+def one_per_key(df: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """One row per key, the same on every run and retry.
+
+    With ``order``, the last of rivals by that column wins (of equals the greatest row) and
+    the column is dropped; without, the least row.
+    """
+    rest = [c for c in df.columns if c not in (key, order)]
+    if order is not None:
+        last = F.max(F.struct(order, *rest)).alias("__row")
+        return df.groupBy(key).agg(last).select(key, *[F.col("__row")[c].alias(c) for c in rest])
     return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("__row")).select(key, "__row.*")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -57,37 +59,76 @@ def read_content(spark: SparkSession, roots: list[str] | str) -> DataFrame:
     return found.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "length", "content")
 
 
+def _opener():
+    """A function that opens a path for reading, with one file system per scheme and bucket."""
+    from pyarrow import fs
+
+    systems: dict[str, fs.FileSystem] = {}
+
+    def open_file(path: str):
+        path = re.sub(r"^s3[an]://", "s3://", path)
+        if "://" not in path:
+            return systems.setdefault("", fs.LocalFileSystem()).open_input_file(re.sub("^file:/*", "/", path))
+        scheme, rest = path.split("://", 1)
+        root = f"{scheme}://{rest.partition('/')[0]}"
+        if root not in systems:
+            systems[root] = fs.FileSystem.from_uri(path)[0]
+        inner = rest if scheme in ("s3", "gs") else "/" + rest.lstrip("/") if scheme == "file" else "/" + rest.partition("/")[2]
+        return systems[root].open_input_file(inner)
+
+    return open_file
+
+
+def _hash_files(listing: DataFrame, name: str, spans: Callable[[int], list[tuple[int, int]]]) -> DataFrame:
+    """(path, name): SHA-256 over the byte ranges that ``spans`` gives for a length; null if unreadable."""
+
+    def batches(frames):
+        from pyarrow import ArrowException
+
+        open_file = _opener()
+        for pdf in frames:
+            hashes = []
+            for path, size in zip(pdf["path"], pdf["length"]):
+                try:
+                    state = hashlib.sha256()
+                    with open_file(path) as f:
+                        for start, width in spans(int(size)):
+                            f.seek(start)
+                            while width > 0:  # in pieces: a span may be a whole file
+                                piece = f.read(min(width, _PIECE))
+                                if not piece:
+                                    break
+                                state.update(piece)
+                                width -= len(piece)
+                    hashes.append(state.hexdigest())
+                except (OSError, ArrowException):
+                    hashes.append(None)
+            yield pd.DataFrame({"path": pdf["path"], name: hashes})
+
+    files = for_heavy_rows(listing.select("path", "length"))
+    return files.mapInPandas(batches, f"path string, {name} string")
+
+
+_PIECE = 4 << 20
+
+
 def sampled_hash_files(listing: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     """(path, sampled_hash) by range reads: at most three chunks per file leave storage.
 
     Equals ``functions.hashing.sampled_hash`` over the full content, but also works for
-    files far larger than a row may be. Unreadable files give null.
+    files far larger than a row may be. Unreadable files give null. Equal samples do not
+    make equal files: ``full_hash_files`` decides.
     """
 
-    def digest(path: str, size: int) -> str | None:
-        from pyarrow import fs
-
-        try:
-            system, inner = fs.FileSystem.from_uri(path)
-            state = hashlib.sha256()
-            with system.open_input_file(inner) as f:
-                if size <= 3 * chunk:
-                    starts, width = range(0, max(size, 1), chunk), chunk
-                    spans = [(s, min(width, size - s)) for s in starts]
-                else:
-                    half = chunk // 2
-                    spans = [(0, chunk), (size // 2 - half, 2 * half), (size - chunk, chunk)]
-                for start, width in spans:
-                    f.seek(start)
-                    state.update(f.read(width))
-            return state.hexdigest()
-        except OSError:
-            return None
+    def spans(size: int) -> list[tuple[int, int]]:
+        half = chunk // 2
+        if size <= 3 * chunk:
+            return [(0, size)]
+        return [(0, chunk), (size // 2 - half, 2 * half), (size - chunk, chunk)]
 
-    def batches(frames):
-        for pdf in frames:
-            hashes = [digest(p, int(n)) for p, n in zip(pdf["path"], pdf["length"])]
-            yield pd.DataFrame({"path": pdf["path"], "sampled_hash": hashes})
+    return _hash_files(listing, "sampled_hash", spans)
 
-    files = for_heavy_rows(listing.select("path", "length"))
-    return files.mapInPandas(batches, "path string, sampled_hash string")
+
+def full_hash_files(listing: DataFrame) -> DataFrame:
+    """(path, full_hash): SHA-256 of each whole file, streamed in pieces; null if unreadable."""
+    return _hash_files(listing, "full_hash", lambda size: [(0, size)])

@@ -18,7 +18,7 @@ from mediacat.operators.exact import duplicate_key, exact_groups_incremental
 from mediacat.operators.ingest import diff_listing, new_media
 from mediacat.operators.keeper import repick_keeper
 from mediacat.operators.maintain import prune_groups, purge
-from mediacat.runtime import materialize
+from mediacat.runtime import materialize, scratch_scope
 from mediacat.schema import Catalog, utc, with_utc
 from mediacat.sources.tables import versions
 
@@ -150,7 +150,8 @@ def stream_ingest(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         if batch_id > done():
-            save(ingest_changes(load(), batch, extract, f"stream-{batch_id}"), batch_id)
+            with scratch_scope():  # once saved, a batch's intermediate tables go
+                save(ingest_changes(load(), batch, extract, f"stream-{batch_id}"), batch_id)
 
     return listing.writeStream.foreachBatch(apply)
 
@@ -205,18 +206,19 @@ def latest_alerts(alerts: DataFrame) -> DataFrame:
     )
 
 
-def stream_timeline(media: DataFrame, unit: str = "1 day", lateness: str = "1 hour") -> DataFrame:
-    """Files per tumbling window of capture time; the watermark bounds the open windows.
+def stream_timeline(media: DataFrame, unit: str = "1 day") -> DataFrame:
+    """Files per tumbling window of capture time.
 
-    Works on a stream and, for comparison, on a batch. Watermarks need a TIMESTAMP, so
-    wall-clock UTC goes in as the instant it means and comes out as wall-clock UTC.
+    On a stream, for update mode: each trigger emits the windows it touched. Files are found
+    in any order of capture, so no window is ever closed and there is no watermark; the
+    state is one small row per window. Works on a batch as well. Windows need a TIMESTAMP,
+    so wall-clock UTC goes in as the instant it means and comes out as wall-clock UTC.
     """
     if isinstance(media.schema["taken_at"].dataType, T.TimestampNTZType):
         local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("taken_at"))
         media = media.withColumn("taken_at", local.cast("timestamp"))
     windows = (
-        media.withWatermark("taken_at", lateness)
-        .groupBy(F.window("taken_at", unit))
+        media.groupBy(F.window("taken_at", unit))
         .agg(F.count("*").alias("count"), F.min("taken_at").alias("first_date"))
         .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "count", "first_date")
     )

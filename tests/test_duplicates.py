@@ -187,3 +187,22 @@ def test_keep_choices(spark):
     assert rows_of(groups.keep_violations(kept), "group_id", "problem") == [
         ("g2", "exact group keeps several"), ("g4", "keeps nothing"),
     ]
+
+
+def test_a_burst_beyond_any_bucket_is_one_component(spark):
+    """2,000 files that agree on a band, in both modes."""
+    base = int("10" * 32, 2)
+    rows = [(i, 1000, format(base ^ (1 << (i % 56)) ^ (1 << ((i * 7) % 50)), "064b")) for i in range(2000)]
+    fp = table(spark, "id bigint, file_size bigint, ph string", *rows)
+    for mode in ("banded", "complete"):
+        got = rows_of(similar.similar_components(fp, mode=mode, crowd=100))
+        assert got == [(i, 0) for i in range(2000)]
+
+
+def test_banded_components_are_those_of_the_banded_pairs(spark):
+    rows = near_fingerprints(200, seed=9) + [(10_000 + i, 1000, format(3 << i, "064b")) for i in range(40)]
+    fp = table(spark, "id bigint, file_size bigint, ph string", *rows)
+    pairs = similar.similar_pairs(fp)
+    want = rows_of(connected_components(pairs, "id_a", "id_b"))
+    for crowd in (3, 2000):
+        assert rows_of(similar.similar_components(fp, mode="banded", crowd=crowd)) == want

@@ -1,7 +1,9 @@
 """Listings, images, thumbnails, vectors and streams."""
 
+import datetime as dt
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -118,7 +120,7 @@ def brute_search(plans, vectors, limit):
     return out
 
 
-@pytest.mark.parametrize("per_pass", [2048, 3])
+@pytest.mark.parametrize("per_pass", [2048, 3, 1])
 def test_search_equals_brute_force(spark, monkeypatch, per_pass):
     """Ragged lengths, tied vectors, several plans per query, and more plans than one pass takes."""
     monkeypatch.setattr(search, "PLANS_PER_PASS", per_pass)
@@ -135,6 +137,53 @@ def test_search_equals_brute_force(spark, monkeypatch, per_pass):
     assert rows_of(got, "query_id", "rank", "photo_id") == brute_search(plans, vectors, 10)
 
 
+def test_search_refills_queries_whose_best_files_are_trashed(spark):
+    """Query 0's best 40 hits are trashed, query 1's are not, query 2 has fewer hits than asked."""
+    vectors = [(i, [1.0 - i / 1000, 0.0, 0.0]) for i in range(100)] + [(200 + i, [0.0, 1.0 - i / 1000, 0.0]) for i in range(100)]
+    vectors += [(400, [0.0, 0.0, 1.0]), (401, [0.0, 0.0, 1.0])]
+    rows = media(spark, *[{"id": f"{i}", "deleted_at": dt.datetime(2024, 1, 1) if i < 40 or i == 401 else None} for i, _ in vectors])
+    plans = table(spark, "query_id bigint, embedding array<double>, threshold double",
+                  (0, [1.0, 0.0, 0.0], 0.5), (1, [0.0, 1.0, 0.0], 0.5), (2, [0.0, 0.0, 1.0], 0.5))
+    stored = table(spark, "photo_id string, embedding array<float>, model string", *[(f"{i}", v, "m") for i, v in vectors])
+    got = rows_of(search.search(plans, stored, rows, limit=10), "query_id", "rank", "photo_id")
+    assert got == [(0, k + 1, f"{40 + k}") for k in range(10)] + [(1, k + 1, f"{200 + k}") for k in range(10)] + [(2, 1, "400")]
+    many = search.search(plans, stored, limit=700)
+    assert many.count() == 202
+
+
+def test_full_hashes_tell_apart_what_samples_do_not(spark, tmp_path):
+    from mediacat.operators import exact
+    from mediacat.plans import jobs
+
+    body = bytearray(b"x" * 10_000_000)
+    for name in ("a", "b", "c"):
+        body[2_000_000] = ord("z") if name == "c" else ord("x")
+        (tmp_path / f"{name}.mp4").write_bytes(body)
+    rows = media(spark, *[
+        {"id": n, "path": str(tmp_path / f"{n}.mp4"), "media_type": "video", "frame_hash": "f", "file_size": 10_000_000} for n in ("a", "b", "c")
+    ])
+    sampled = jobs.hash_video_candidates(rows)
+    found = exact.exact_groups(rows)
+    assert exact.verify_video_groups(found, sampled).count() == 3
+    assert rows_of(exact.verify_video_groups(found, sampled, full=jobs.full_hashes(rows)), "photo_id") == [("a",), ("b",)]
+
+
+def test_unreadable_files_hash_to_null(spark):
+    files = table(spark, "path string, length bigint", ("/no/such/file", 5), ("odd://bucket/key", 5))
+    assert rows_of(listing.full_hash_files(files), "path", "full_hash") == [("/no/such/file", None), ("odd://bucket/key", None)]
+
+
+def test_scratch_scope_leaves_nothing_behind(spark):
+    from mediacat.runtime import materialize, scratch_folder, scratch_scope
+
+    folder = Path(scratch_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    for _ in range(20):
+        with scratch_scope():
+            assert materialize(spark.range(3), "kept").count() == 3
+    assert set(folder.iterdir()) == before
+
+
 def test_embedding_failures_are_not_retried(spark):
     rows = media(spark, *[{"id": f"{i}"} for i in range(10)])
     none = table(spark, "photo_id string, embedding array<float>, model string")

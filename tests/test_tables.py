@@ -227,3 +227,22 @@ def test_invalid_coordinates_are_skipped(spark, bad):
     rows = media(spark, {"id": "a"})
     _, n = maintain.update_location(rows, table(spark, "id string, latitude double, longitude double", ("a", *bad)), "2024-01-01")
     assert n.first()["updated"] == 0
+
+
+def test_the_last_edit_wins(spark):
+    rows = media(spark, {"id": "a"}, {"id": "b"}, {"id": "c", "deleted_at": dt.datetime(2024, 1, 1)})
+    for turns in ((1, 2), (2, 1)):
+        edits = table(spark, "id string, latitude double, longitude double, turn int", ("a", 50.0, 1.0, turns[0]), ("a", 10.0, 2.0, turns[1]))
+        out, count = maintain.update_location(rows, edits, "2026-01-01", order="turn")
+        assert rows_of(out.filter("id = 'a'"), "latitude") == [(10.0 if turns == (1, 2) else 50.0,)] and rows_of(count) == [(1,)]
+    hashes = table(spark, "id string, file_hash string, turn int", ("a", "new", 1), ("a", None, 2), ("b", None, 1), ("c", "x", 1))
+    old = dict(rows_of(rows, "id", "file_hash"))
+    for order in ("turn", None):
+        got = dict(rows_of(ingest.hash_backfill(rows, hashes, "file_hash", order=order), "id", "file_hash"))
+        assert got == old | {"a": "new"}
+
+
+def test_trash_results(spark):
+    rows = media(spark, {"id": "a"}, {"id": "b", "deleted_at": dt.datetime(2024, 1, 1)})
+    entries = table(spark, "id string, trash_path string", ("a", "/t/a"), ("a", "/t/a2"), ("b", "/t/b"), ("x", "/t/x"))
+    assert rows_of(maintain.trash_results(rows, entries)) == [("a", "moved"), ("b", "already trashed"), ("x", "unknown")]
