@@ -599,7 +599,7 @@ def g5_update_location(spark, sf):
 
 
 @query(
-    """SELECT m.id, CASE WHEN h THEN (id % 80)::DOUBLE ELSE latitude END AS latitude, CASE WHEN h THEN -(id % 90)::DOUBLE ELSE longitude END AS longitude
+    """SELECT m.id, CASE WHEN h THEN (id % 80)::DOUBLE ELSE latitude END AS latitude, CASE WHEN h THEN (-(id % 90))::DOUBLE ELSE longitude END AS longitude
     FROM (SELECT *, deleted_at IS NULL AND id IN (SELECT event_id FROM events) AS h FROM media) m""",
     "media",
 )
