@@ -59,6 +59,10 @@ BENCH = {
     "search_top50_x20": lambda s, d: search.search(
         fx.plans(s, d), replicated(fx.embeddings(s, d), "photo_id"), limit=50
     ),
+    "search_with_media_x20": lambda s, d: search.search(
+        fx.plans(s, d), replicated(fx.embeddings(s, d), "photo_id"), replicated(fx.vector_media(s, d), "id"), limit=50
+    ),
+    "stream_timeline": QUERIES["s3_stream_timeline"],
     "content_hash": QUERIES["i2_content_hash"],
     "normalize_tags": QUERIES["i10_normalize_tags"],
 }
