@@ -32,7 +32,7 @@ from mediacat.runtime import materialize
 # Production parameters.
 NEIGHBOURS = 20
 PROJECTIONS = 8
-CERTAINTY = 0.99
+CERTAINTY = 0.999
 SAMPLE = 20_000  # vectors the tree of cells is built on; every row is sorted into it
 CELL_ROWS = 512  # aimed at; larger cells are split further by a hash
 LEAF_ROWS = 128

@@ -299,7 +299,7 @@ def test_secret_edges(odd, nothing):
     rows = {}
     for r in secrets.scan_documents(odd).collect():
         rows.setdefault(r.doc_id, []).append([(s.kind, s.start, s.end) for s in r.found])
-    assert rows[14] == [[("assign", 0, 26), ("access", 27, 47), ("hex", 48, 65)]]
+    assert rows[14] == [[("assign", 0, 25), ("access", 27, 47), ("hex", 48, 65)]]
     assert rows[8] == [[], []] and rows[None] == [[], []] and rows[3] == [[]]
     assert secrets.scan_documents(nothing).count() == 0
 
