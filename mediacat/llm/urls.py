@@ -2,9 +2,12 @@
 
 Rules name a host, with all its subdomains, and a path prefix; the longest that fits a URL
 decides it. Hosts whose pages are allowed by rules are trusted seeds, hosts whose pages are
-blocked are distrusted seeds, each in proportion to such pages. Trust follows the host links
-by personalised PageRank, distrust follows them backwards, and a host is blocked if its
-distrust reaches a threshold and exceeds its trust.
+blocked are distrusted seeds, each in proportion to such pages. Trust follows the host links,
+distrust follows them backwards. A host's score is what a personalised PageRank walk that
+starts there (against the links for trust, along them for distrust) expects of the seeds it
+meets, and at least the host's own seed: a mean over its links, which neither more linkers nor
+a larger graph make smaller. A host is blocked if its distrust reaches a threshold and exceeds
+its trust.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule and
 the verdict allow; null html has no links; a null page_id is kept; rows repeated exactly get
@@ -91,33 +94,44 @@ def host_links(pages: DataFrame, site_labels: int = SITE_LABELS) -> DataFrame:
     )
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(
+    seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, averaged: bool = False
+) -> DataFrame:
     """(host, trust, distrust) from seeds (host, trust, distrust) over links (src, dst, weight).
 
-    Trust goes along the links, distrust against them; a host without a way on keeps its score.
+    Trust goes along the links, distrust against them. By default a host deals its score out
+    and the sum is kept; a host without a way on keeps its score. ``averaged`` is the walk seen
+    from its start: a host takes the weighted mean of those its links come from (trust) or lead
+    to (distrust), as far as that exceeds its own seed, so scores stay comparable with seeds.
     Each round is one join and one aggregate over the host graph, written to the shared folder.
     """
+    by = "dst" if averaged else "src"
     kinds = [("trust", "src", "dst"), ("distrust", "dst", "src")]
     ways = None
     for kind, a, b in kinds:
         one = links.select(F.lit(kind).alias("kind"), F.col(a).alias("src"), F.col(b).alias("dst"), "weight")
         ways = one if ways is None else ways.unionByName(one)
-    total = ways.groupBy("kind", "src").agg(F.sum("weight").alias("__out"))
+    total = ways.groupBy("kind", by).agg(F.sum("weight").alias("__all"))
     stack = F.expr("stack(2, 'trust', trust, 'distrust', distrust) AS (kind, score)")
     start = materialize(seeds.select("host", stack), "seeds")
-    hosts = start.select("kind", F.col("host").alias("src")).unionByName(
-        ways.select("kind", F.col("dst").alias("src"))
-    ).distinct()
-    ends = hosts.join(total, ["kind", "src"], "left_anti").select("kind", "src", F.col("src").alias("dst"), F.lit(1.0).alias("share"))
-    shares = ways.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("__out")).alias("share"))
-    graph = materialize(shares.unionByName(ends), "graph")
+    shares = ways.join(total, ["kind", by]).select("kind", "src", "dst", (F.col("weight") / F.col("__all")).alias("share"))
+    if not averaged:
+        hosts = start.select("kind", F.col("host").alias("src")).unionByName(
+            ways.select("kind", F.col("dst").alias("src"))
+        ).distinct()
+        ends = hosts.join(total, ["kind", "src"], "left_anti")
+        shares = shares.unionByName(ends.select("kind", "src", F.col("src").alias("dst"), F.lit(1.0).alias("share")))
+    graph = materialize(shares, "graph")
     score = start.filter("score > 0")
     for _ in range(rounds):
         moved = score.withColumnRenamed("host", "src").join(graph, ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score")
+            "kind", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("got"), F.lit(0.0).alias("own")
         )
-        fresh = start.filter("score > 0").select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
-        old, score = score, materialize(moved.unionByName(fresh).groupBy("kind", "host").agg(F.sum("score").alias("score")), "score")
+        own = start.filter("score > 0").select("kind", "host", F.lit(0.0).alias("got"), F.col("score").alias("own"))
+        both = moved.unionByName(own).groupBy("kind", "host").agg(F.sum("got").alias("got"), F.sum("own").alias("own"))
+        more = F.col("got") - F.col("own")
+        more = F.greatest(more, F.lit(0.0)) if averaged else more
+        old, score = score, materialize(both.select("kind", "host", (F.col("own") + damping * more).alias("score")), "score")
         release(old)
     release(graph)
 
@@ -138,7 +152,7 @@ def judge(pages: DataFrame, rules: DataFrame, block_at: float = BLOCK_AT, **how)
         return F.avg(F.when(F.col("rule_verdict") == verdict, 1.0).otherwise(0.0))
 
     seeds = ruled.filter("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = propagate(seeds, host_links(pages.select("url", "html")), **how)
+    scores = propagate(seeds, host_links(pages.select("url", "html")), averaged=True, **how)
     # sums of doubles differ in their last bits from run to run
     trust, distrust = F.round("trust", 9), F.round("distrust", 9)
     blocked = (distrust >= block_at) & (distrust > trust)

@@ -402,3 +402,31 @@ def test_links_and_propagation(spark):
         for _ in range(5):
             score = 0.15 * seed + 0.85 * score @ m
         assert np.allclose(score, [got.get(h, (0.0, 0.0))[k] for h in names])
+
+
+def links_to(*hosts):
+    return "".join(f"<a href='http://{h}/x'>" for h in hosts)
+
+
+@pytest.mark.parametrize("linkers", [0, 1, 2, 100])
+def test_distrust_does_not_thin_out_with_linkers(spark, linkers):
+    """Nine pages in ten of bad.org are blocked; all links of its linkers go there, one in ten of mixed.org's."""
+    rules = spark.createDataFrame([("bad.org", "/b/", "block")], "host string, path string, verdict string")
+    rows = [(f"http://bad.org/b/{i}", "") for i in range(9)] + [("http://bad.org/rest", "")]
+    rows += [(f"http://l{i}.org/", links_to("bad.org")) for i in range(linkers)]
+    rows += [("http://mixed.org/", links_to("bad.org", *[f"n{i}.org" for i in range(9)]))] * (linkers > 0)
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: (r.verdict, r.distrust) for r in urls.judge(pages, rules).filter("rule IS NULL").collect()}
+    want = {"bad.org": ("block", 0.9)} | {f"l{i}.org": ("block", 0.765) for i in range(linkers)}
+    if linkers:
+        want["mixed.org"] = ("allow", 0.0765)
+    assert got == {h: (v, pytest.approx(d, abs=1e-5)) for h, (v, d) in want.items()}
+
+
+def test_a_site_does_not_take_its_subdomains_distrust(spark):
+    """Three pages in five of the blog are blocked, none of the site's, which the blog's share does not pay for."""
+    rules = spark.createDataFrame([("blog.x.example.net", "/b/", "block")], "host string, path string, verdict string")
+    rows = [f"http://blog.x.example.net/{p}" for p in ("b/1", "b/2", "b/3", "c", "d")] + ["http://x.example.net/"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: (r.verdict, r.distrust) for r in urls.judge(pages, rules).filter("rule IS NULL").collect()}
+    assert got["blog.x.example.net"] == ("block", pytest.approx(0.6, abs=1e-5))
