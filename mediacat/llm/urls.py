@@ -16,16 +16,17 @@ the same verdict; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mediacat.llm.frames import ascii_lower
 from mediacat.runtime import materialize, release
 
-# Production parameters: share of the score that follows links, rounds, distrust at which a
-# host is blocked, and the fewest labels of a host that counts as the site of its subdomains.
+# Production parameters: share of the score that follows links, distance from the limit within
+# which rounds end, distrust at which a host is blocked, and the fewest labels of a host that
+# counts as the site of its subdomains.
 DAMPING = 0.85
-ROUNDS = 8
+TOLERANCE = 1e-6
 BLOCK_AT = 0.5
 SITE_LABELS = 3
 
@@ -95,7 +96,12 @@ def host_links(pages: DataFrame, site_labels: int = SITE_LABELS) -> DataFrame:
 
 
 def propagate(
-    seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, averaged: bool = False
+    seeds: DataFrame,
+    links: DataFrame,
+    damping: float = DAMPING,
+    rounds: int | None = None,
+    averaged: bool = False,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """(host, trust, distrust) from seeds (host, trust, distrust) over links (src, dst, weight).
 
@@ -104,6 +110,9 @@ def propagate(
     from its start: a host takes the weighted mean of those its links come from (trust) or lead
     to (distrust), as far as that exceeds its own seed, so scores stay comparable with seeds.
     Each round is one join and one aggregate over the host graph, written to the shared folder.
+    A round shrinks what is left by ``damping`` (the greatest change of means, else the summed
+    change), so rounds end once damping / (1 - damping) times the last change, which bounds the
+    distance from the limit, is within ``tolerance``, or after ``rounds``, if given.
     """
     by = "dst" if averaged else "src"
     kinds = [("trust", "src", "dst"), ("distrust", "dst", "src")]
@@ -123,16 +132,23 @@ def propagate(
         shares = shares.unionByName(ends.select("kind", "src", F.col("src").alias("dst"), F.lit(1.0).alias("share")))
     graph = materialize(shares, "graph")
     score = start.filter("score > 0")
-    for _ in range(rounds):
+    done, left = 0, float("inf")
+    while left > tolerance if rounds is None else done < rounds:
         moved = score.withColumnRenamed("host", "src").join(graph, ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("got"), F.lit(0.0).alias("own")
+            "kind", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("got"), F.lit(0.0).alias("own"), F.lit(0.0).alias("old")
         )
-        own = start.filter("score > 0").select("kind", "host", F.lit(0.0).alias("got"), F.col("score").alias("own"))
-        both = moved.unionByName(own).groupBy("kind", "host").agg(F.sum("got").alias("got"), F.sum("own").alias("own"))
+        own = start.filter("score > 0").select("kind", "host", F.lit(0.0).alias("got"), F.col("score").alias("own"), F.lit(0.0).alias("old"))
+        last = score.select("kind", "host", F.lit(0.0).alias("got"), F.lit(0.0).alias("own"), F.col("score").alias("old"))
+        both = moved.unionByName(own).unionByName(last).groupBy("kind", "host").agg(*[F.sum(c).alias(c) for c in ("got", "own", "old")])
         more = F.col("got") - F.col("own")
         more = F.greatest(more, F.lit(0.0)) if averaged else more
-        old, score = score, materialize(both.select("kind", "host", (F.col("own") + damping * more).alias("score")), "score")
-        release(old)
+        fresh = both.select("kind", "host", (F.col("own") + damping * more).alias("score"), "old")
+        change = F.abs(F.col("score") - F.col("old"))
+        seen = Observation()
+        fresh = fresh.observe(seen, (F.max(change) if averaged else F.sum(change)).alias("change"))
+        before, score = score, materialize(fresh.drop("old"), "score")
+        release(before)
+        done, left = done + 1, (seen.get["change"] or 0.0) * damping / (1 - damping)
     release(graph)
 
     def of(kind):
@@ -153,8 +169,8 @@ def judge(pages: DataFrame, rules: DataFrame, block_at: float = BLOCK_AT, **how)
 
     seeds = ruled.filter("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     scores = propagate(seeds, host_links(pages.select("url", "html")), averaged=True, **how)
-    # sums of doubles differ in their last bits from run to run
-    trust, distrust = F.round("trust", 9), F.round("distrust", 9)
+    # sums of doubles differ in their last bits from run to run, and from the limit by TOLERANCE
+    trust, distrust = F.round("trust", 5), F.round("distrust", 5)
     blocked = (distrust >= block_at) & (distrust > trust)
     hosts = scores.select("host", trust.alias("trust"), distrust.alias("distrust"), F.when(blocked, "block").otherwise("allow").alias("host_verdict"))
     return ruled.join(hosts, "host", "left").select(

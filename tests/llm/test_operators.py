@@ -430,3 +430,33 @@ def test_a_site_does_not_take_its_subdomains_distrust(spark):
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(rows)], "page_id long, url string, html string")
     got = {r.host: (r.verdict, r.distrust) for r in urls.judge(pages, rules).filter("rule IS NULL").collect()}
     assert got["blog.x.example.net"] == ("block", pytest.approx(0.6, abs=1e-5))
+
+
+def test_scores_settle(spark):
+    """A blocked host and its subdomain, a chain of 12 hosts, and a cycle: the limit, wherever it starts."""
+    edges = [("a", "w", 1.0), ("w", "a", 1.0), ("w", "p", 1.0), ("p", "w", 2.0)] + [(f"c{i:02}", f"c{i + 1:02}", 1.0) for i in range(12)]
+    names = sorted({h for e in edges for h in e[:2]})
+    seed = np.array([{"a": 1.0, "c12": 1.0, "p": 0.2}.get(h, 0.0) for h in names])
+    seeds = spark.createDataFrame([(h, 0.0, float(s)) for h, s in zip(names, seed)], "host string, trust double, distrust double")
+    links = spark.createDataFrame(edges, "src string, dst string, weight double")
+    m = np.zeros((len(names), len(names)))
+    for a, b, w in edges:
+        m[names.index(a), names.index(b)] += w
+    mean, back = m / np.maximum(m.sum(1, keepdims=True), 1), m.T.copy()
+    back[back.sum(1) == 0] = np.eye(len(names))[back.sum(1) == 0]
+    back /= back.sum(1, keepdims=True)
+    averaged, dealt = seed, seed
+    for _ in range(400):
+        averaged, dealt = seed + 0.85 * np.maximum(mean @ averaged - seed, 0), 0.15 * seed + 0.85 * dealt @ back
+    for how, want in ((True, averaged), (False, dealt)):
+        got = {r.host: r.distrust for r in urls.propagate(seeds, links, averaged=how).collect()}
+        assert np.abs(np.array([got.get(h, 0.0) for h in names]) - want).max() < 2e-6
+
+
+def test_a_verdict_at_the_threshold_is_that_of_the_limit(spark):
+    """Two sites that share their distrust: 0.5 is reached in the limit only."""
+    share = (1 - 0.85**2 / 2) * 2 * 0.5 / 0.85
+    seeds = spark.createDataFrame([("bad", 0.0, share), ("x", 0.0, 0.0), ("y", 0.0, 0.0)], "host string, trust double, distrust double")
+    links = spark.createDataFrame([("x", "bad", 1.0), ("x", "y", 1.0), ("y", "x", 1.0)], "src string, dst string, weight double")
+    got = {r.host: r.distrust for r in urls.propagate(seeds, links, averaged=True).collect()}
+    assert 0 <= 0.5 - got["x"] < 2e-6 and round(got["x"], 5) == 0.5
