@@ -51,17 +51,20 @@ def exact_groups(media: DataFrame, min_rows: int | None = None) -> DataFrame:
 
 def verify_video_groups(
     groups: DataFrame,
-    sampled: DataFrame,
+    sampled: DataFrame | Callable[[DataFrame], DataFrame],
     min_rows: int | None = None,
     full: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Split video groups by sampled hash, then by content; image groups pass.
 
-    ``sampled`` is (photo_id, sampled_hash) for at least the video members. It is a filter:
-    files that agree in the samples may differ between them. ``full`` maps the (photo_id) of
+    ``sampled`` is (photo_id, sampled_hash) for at least the video members, or maps their
+    (photo_id) to it. It is a filter: files that agree in the samples may differ between them. ``full`` maps the (photo_id) of
     those that are still together to (photo_id, full_hash), read from whole files, and splits
     them for good. Members without a hash and subgroups of one drop out.
     """
+    if callable(sampled):
+        groups = materialize(groups, "to_verify")
+        sampled = sampled(groups.filter(F.col("media_type") == "video").select("photo_id"))
     images = groups.filter(F.col("media_type") != "video")
     hashed = (
         groups.filter(F.col("media_type") == "video")
@@ -104,7 +107,7 @@ def exact_groups_incremental(
     hashes: DataFrame,
     frame_hashes: DataFrame,
     members: DataFrame,
-    sampled: DataFrame | None = None,
+    sampled: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     full: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(new members, new groups) after an ingest.

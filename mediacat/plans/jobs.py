@@ -49,9 +49,18 @@ def hash_video_candidates(media: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     Only these are read, at most three chunks each. ``ingest.hash_backfill`` stores them.
     """
     candidates = exact_groups(media).filter(F.col("media_type") == "video").select("photo_id")
-    files = candidates.join(media.selectExpr("id as photo_id", "path", "file_size as length"), "photo_id")
-    files = materialize(files, "candidates")
-    return files.join(sampled_hash_files(files, chunk), "path").select("photo_id", "sampled_hash")
+    return sampled_hashes(media, chunk)(candidates)
+
+
+def sampled_hashes(media: DataFrame, chunk: int = 1 << 20) -> Callable[[DataFrame], DataFrame]:
+    """For ``verify_video_groups``: reads at most three chunks of the files of the (photo_id) it is given."""
+
+    def read(ids: DataFrame) -> DataFrame:
+        files = ids.join(media.selectExpr("id as photo_id", "path", "file_size as length"), "photo_id")
+        files = materialize(files, "candidates")
+        return files.join(sampled_hash_files(files, chunk), "path").select("photo_id", "sampled_hash")
+
+    return read
 
 
 def full_hashes(media: DataFrame) -> Callable[[DataFrame], DataFrame]:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from mediacat.functions.paths import media_type
 from mediacat.plans import fixtures as fx
 from mediacat.plans.registry import query
 from mediacat.runtime import scratch_folder
@@ -74,16 +75,30 @@ STREAM_MEDIA = (
 
 
 def _read_files(files):
-    """Stands in for reading the files: their length is their content."""
-    nothing = {"frame_hash": "string", "deleted_at": "timestamp_ntz", "latitude": "double", "longitude": "double",
+    """Stands in for reading the files: their length is their content; all videos open with the same frame."""
+    nothing = {"deleted_at": "timestamp_ntz", "latitude": "double", "longitude": "double",
                "width": "int", "height": "int"}
     return files.select(
         "path",
         F.md5(F.col("length").cast("string")).alias("file_hash"),
+        F.when(media_type(F.col("path")) == "video", F.md5(F.lit("black"))).alias("frame_hash"),
         *[F.lit(None).cast(kind).alias(name) for name, kind in nothing.items()],
     )
 
 
+def _read_samples(media):
+    """Stands in for reading samples: half of the videos agree in them."""
+    paths = media.select(F.col("id").alias("photo_id"), "path")
+    alike = F.when(F.crc32("path") % 2 == 0, F.lit("")).otherwise(F.col("path"))
+    return lambda ids: ids.join(paths, "photo_id").select("photo_id", F.md5(alike).alias("sampled_hash"))
+
+
+def _read_whole(media):
+    """Stands in for reading whole files: no two videos are equal."""
+    paths = media.select(F.col("id").alias("photo_id"), "path")
+    return lambda ids: ids.join(paths, "photo_id").select("photo_id", F.md5("path").alias("full_hash"))
+
+
 @query(
     """, final AS (SELECT path, length + CASE WHEN path LIKE '%7.jpg' THEN 5 ELSE 0 END AS length FROM listing)
     SELECT path, length AS file_size, md5(length::VARCHAR) AS file_hash, CASE WHEN path LIKE '%.jpg' THEN
@@ -104,6 +119,8 @@ def s1_stream_ingest(spark, sf):
         save=lambda changes, n: jobs.write_changes(_columns(changes), f"{folder}/log", n),
         extract=_read_files,
         done=lambda: jobs.committed_batch(spark, f"{folder}/log"),
+        sampled=_read_samples,
+        full=_read_whole,
     )
     _finish(stream, folder)
     c = jobs.read_changes(spark, f"{folder}/log", STREAM_MEDIA)

@@ -18,6 +18,7 @@ from mediacat.operators.exact import duplicate_key, exact_groups_incremental
 from mediacat.operators.ingest import diff_listing, new_media
 from mediacat.operators.keeper import repick_keeper
 from mediacat.operators.maintain import prune_groups, purge
+from mediacat.plans.jobs import full_hashes, sampled_hashes
 from mediacat.runtime import materialize, scratch_scope
 from mediacat.schema import Catalog, utc, with_utc
 from mediacat.sources.tables import versions
@@ -32,6 +33,10 @@ def latest_listing(batch: DataFrame) -> DataFrame:
     )
 
 
+# From the media rows to what maps (photo_id) to (photo_id, hash), as ``sampled_hashes`` and ``full_hashes``.
+Reader = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
+
+
 class Changes(NamedTuple):
     """What one increment adds and removes; its size follows the increment, not the catalogue."""
 
@@ -43,12 +48,19 @@ class Changes(NamedTuple):
 
 
 def ingest_changes(
-    catalog: Catalog, batch: DataFrame, extract: Callable[[DataFrame], DataFrame], scan_id: str
+    catalog: Catalog,
+    batch: DataFrame,
+    extract: Callable[[DataFrame], DataFrame],
+    scan_id: str,
+    sampled: Reader = sampled_hashes,
+    full: Reader = full_hashes,
 ) -> Changes:
     """One increment of a scan: new and changed files of ``batch`` enter the catalogue and
     the exact groups; deletions need a full listing and stay with the batch scan.
 
-    ``extract`` maps (path, length, mtime) to (path, file_hash, frame_hash, ...).
+    ``extract`` maps (path, length, mtime) to (path, file_hash, frame_hash, ...). Videos that
+    share frame hash and size with a new one are confirmed by ``sampled``, then by ``full``,
+    which read the files unless others are given.
     """
     seen = latest_listing(batch)
     known = catalog.media.join(seen.select("path"), "path", "left_semi")
@@ -66,6 +78,8 @@ def ingest_changes(
         rows.filter(F.col("file_hash").isNotNull()).select("file_hash"),
         rows.filter(F.col("frame_hash").isNotNull()).select("frame_hash"),
         left.members.join(exact, "group_id", "left_semi"),
+        sampled(media),
+        full(media),
     )
     return Changes(rows, leaving.withColumnRenamed("id", "photo_id"), unlinked, members, groups)
 
@@ -139,19 +153,22 @@ def stream_ingest(
     save: Callable[[Changes, int], None],
     extract: Callable[[DataFrame], DataFrame],
     done: Callable[[], int],
+    sampled: Reader = sampled_hashes,
+    full: Reader = full_hashes,
 ) -> DataStreamWriter:
     """Incremental scan over an append-only listing log.
 
     ``load`` returns the catalogue as last committed, ``save`` commits the changes of a
     batch (a merge into a table format, or ``write_changes``) and ``done`` returns the last
     committed batch number, -1 at first. A batch that was committed before a crash is
-    skipped when replayed, so each takes effect once.
+    skipped when replayed, so each takes effect once. ``sampled`` and ``full`` are those of
+    ``ingest_changes``.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         if batch_id > done():
             with scratch_scope():  # once saved, a batch's intermediate tables go
-                save(ingest_changes(load(), batch, extract, f"stream-{batch_id}"), batch_id)
+                save(ingest_changes(load(), batch, extract, f"stream-{batch_id}", sampled, full), batch_id)
 
     return listing.writeStream.foreachBatch(apply)
 

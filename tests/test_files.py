@@ -257,3 +257,28 @@ def test_replayed_batch_takes_effect_once(spark, tmp_path):
         linked.setdefault(r["group_id"], []).append(by_id[r["photo_id"]])
     assert sorted(sorted(v) for v in linked.values()) == [["/a/2.jpg", "/a/5.jpg"], ["/a/4.jpg", "/a/6.jpg"]]
     assert rows_of(first.groups, "group_id") == sorted((g,) for g in linked)
+
+
+def test_ingested_videos_are_confirmed_by_content(spark, tmp_path):
+    """Equal size and first frame: b is a's copy, c differs in the samples, d between them; e, a copy, comes later."""
+    from mediacat.plans.queries_streaming import STREAM_MEDIA, _columns
+
+    size = 10_000_000
+    for name, at in (("a", None), ("b", None), ("c", 0), ("d", 2_000_000), ("e", None)):
+        body = bytearray(size)
+        if at is not None:
+            body[at] = 1
+        (tmp_path / f"{name}.mp4").write_bytes(body)
+    kinds = [c.split(" ", 1) for c in STREAM_MEDIA.split(", ")]
+    given = ("id", "path", "filename", "media_type", "file_size", "taken_at", "modified_time")
+    extract = lambda files: files.select(
+        "path", *[F.lit("f" if n == "frame_hash" else None).cast(k).alias(n) for n, k in kinds if n not in given]
+    )
+    log = str(tmp_path / "log")
+    for n, names in enumerate(("abcd", "e")):
+        batch = table(spark, "path string, length bigint, mtime timestamp_ntz", *[(str(tmp_path / f"{x}.mp4"), size, dt.datetime(2024, 1, 1)) for x in names])
+        state = jobs.read_changes(spark, log, STREAM_MEDIA)
+        jobs.write_changes(_columns(jobs.ingest_changes(state, batch, extract, f"s{n}")), log, n)
+        state = jobs.read_changes(spark, log, STREAM_MEDIA)
+        found = state.members.join(state.media.selectExpr("id as photo_id", "filename"), "photo_id")
+        assert rows_of(found, "filename") == [("a.mp4",), ("b.mp4",)] + [("e.mp4",)] * n and state.groups.count() == 1
