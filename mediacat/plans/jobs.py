@@ -29,15 +29,19 @@ def scan_folder(catalog: Catalog, folder_id, listing: DataFrame, extract, scan_i
     return apply_scan(catalog, diff, rows), diff
 
 
-def exact_report(media: DataFrame, sampled: DataFrame | None = None, full=None) -> tuple[DataFrame, DataFrame]:
+def exact_report(
+    media: DataFrame, sampled: DataFrame | None = None, full=None, unverified: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(members, groups) of the exact reason from scratch.
 
-    ``sampled`` and ``full`` are those of ``verify_video_groups``; ``full_hashes(media)``
-    reads the whole of the few files that still look alike.
+    ``sampled`` and ``full`` are those of ``verify_video_groups``. Without them the files are
+    read: samples of the videos that share frame hash and size, then the whole of those that
+    still look alike. ``unverified`` reads nothing and rests on frame hash and size.
     """
     found = exact_groups(media)
-    if sampled is not None:
-        found = verify_video_groups(found, sampled, full=full)
+    if not unverified:
+        sampled = sampled_hashes(media) if sampled is None else sampled
+        found = verify_video_groups(found, sampled, full=full_hashes(media) if full is None else full)
     members = materialize(found.select("group_id", "photo_id"), "exact")
     groups = pick_keeper(members, media).withColumn("reason", F.lit("exact"))
     return members, groups.select("group_id", "reason", "keeper_id")
@@ -74,8 +78,11 @@ def full_hashes(media: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return read
 
 
-def rebuild_exact(media: DataFrame, base: str, sampled: DataFrame | None = None, full=None) -> None:
-    members, groups = exact_report(media, sampled, full)
+def rebuild_exact(
+    media: DataFrame, base: str, sampled: DataFrame | None = None, full=None, unverified: bool = False
+) -> None:
+    """Replace the stored exact groups by those of ``exact_report``."""
+    members, groups = exact_report(media, sampled, full, unverified)
     rebuild_groups(members, groups, base, "exact")
 
 

@@ -282,3 +282,25 @@ def test_ingested_videos_are_confirmed_by_content(spark, tmp_path):
         state = jobs.read_changes(spark, log, STREAM_MEDIA)
         found = state.members.join(state.media.selectExpr("id as photo_id", "filename"), "photo_id")
         assert rows_of(found, "filename") == [("a.mp4",), ("b.mp4",)] + [("e.mp4",)] * n and state.groups.count() == 1
+
+
+def test_rebuilt_groups_rest_on_content(spark, tmp_path):
+    """Equal size, first frame and, for c, samples: only a and b are equal."""
+    from mediacat.sources import tables
+
+    size = 10_000_000
+    for name, at in (("a", None), ("b", None), ("c", 2_000_000), ("d", 0)):
+        body = bytearray(size)
+        if at is not None:
+            body[at] = 1
+        (tmp_path / f"{name}.mp4").write_bytes(body)
+    rows = media(spark, *[
+        {"id": n, "path": str(tmp_path / f"{n}.mp4"), "media_type": "video", "frame_hash": "f", "file_size": size} for n in "abcd"
+    ])
+    jobs_plan.rebuild_exact(rows, str(tmp_path / "groups"))
+    groups, members = tables.read_groups(spark, str(tmp_path / "groups"))
+    assert rows_of(members, "photo_id") == [("a",), ("b",)] and groups.count() == 1
+    members, _ = jobs_plan.exact_report(rows, jobs_plan.hash_video_candidates(rows))
+    assert rows_of(members, "photo_id") == [("a",), ("b",)]
+    members, _ = jobs_plan.exact_report(rows, unverified=True)
+    assert members.count() == 4
