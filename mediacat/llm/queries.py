@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm import bpe, jaccard, lines, mixing, neighbours, quality, secrets, substrings, urls, warc
+from mediacat.llm import bpe, jaccard, lines, mixing, neighbours, packing, quality, secrets, structure, substrings, trie, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -211,3 +211,67 @@ URL_RULES = [
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+# CRC-32 of a short ASCII string, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+@query(
+    f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS nth
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, {CRC32.format("conv_id::VARCHAR")} % 9 AS h FROM t GROUP BY conv_id
+), r AS (
+  SELECT c.conv_id, 0 AS part, t.nth, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.nth < c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.nth, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.nth >= c.h
+), m AS (
+  SELECT conv_id, row_number() OVER w AS depth, md5(string_agg(md5(role) || md5(text), '') OVER w) AS node, strlen(text) AS n_bytes
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, nth ROWS UNBOUNDED PRECEDING)
+  UNION ALL
+  SELECT conv_id, 0, '', 0 FROM c
+), p AS (
+  SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, max(depth) OVER (PARTITION BY conv_id) AS length FROM m
+), n AS (
+  SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, max(n_bytes) AS n_bytes, min(parent) AS parent,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = length), '')) AS ends_sha256
+  FROM p GROUP BY depth, node
+), k AS (
+  SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM n GROUP BY depth, parent
+), v AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON n.depth = k.depth AND n.node = k.node
+), s AS (
+  SELECT m.depth, m.node, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.n_bytes) AS saved
+  FROM v JOIN m ON m.conv_id = v.conv_id AND m.depth <= v.depth GROUP BY m.depth, m.node
+)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, v.ends_sha256
+FROM v JOIN s ON s.depth = v.depth AND s.node = v.node LEFT JOIN v AS u ON u.depth = v.depth - 1 AND u.node = v.parent
+"""
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.crc32(F.col("conv_id").cast("string")) % 9
+    nodes, ends = trie.prefix_trie(conversations(spark, sf_dir), head, F.col("conv_id") - F.col("conv_id") % 5)
+    return trie.with_ends_hash(nodes, ends)
+
+
+@query()
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    out = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step"]
+    return pieces.select(*out)
+
+
+@query()
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations(spark, sf_dir)
+    found, lines_left = structure.repair(structure.damage(rows), rows)
+    return structure.with_repaired_hash(found, lines_left)

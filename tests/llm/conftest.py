@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark labels".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="session")
