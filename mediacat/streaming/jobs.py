@@ -1,7 +1,8 @@
-"""Structured Streaming jobs: ingest, duplicate alert, timeline.
+"""Structured Streaming jobs: duplicate alert, timeline, and increments of a given catalogue.
 
-Each job takes a streaming DataFrame, so the source (file log, Kafka, ...) is the
-caller's choice, and returns a DataStreamWriter to start with a checkpoint and trigger.
+Each streaming job takes a streaming DataFrame, so the source (file log, Kafka, ...) is the
+caller's choice, and returns a DataStreamWriter to start with a checkpoint and trigger. The
+streaming scan with keyed state is in ``scan``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from mediacat.operators.ingest import diff_listing, new_media
 from mediacat.operators.keeper import repick_keeper
 from mediacat.operators.maintain import prune_groups, purge
 from mediacat.plans.jobs import full_hashes, sampled_hashes
-from mediacat.runtime import materialize, scratch_scope
+from mediacat.runtime import materialize
 from mediacat.schema import Catalog, utc, with_utc
 from mediacat.sources.tables import versions
 
@@ -147,37 +148,12 @@ def read_changes(spark: SparkSession, path: str, media_schema, id_type: str = "s
     return Catalog(media, groups, members, vectors)
 
 
-def stream_ingest(
-    listing: DataFrame,
-    load: Callable[[], Catalog],
-    save: Callable[[Changes, int], None],
-    extract: Callable[[DataFrame], DataFrame],
-    done: Callable[[], int],
-    sampled: Reader = sampled_hashes,
-    full: Reader = full_hashes,
-) -> DataStreamWriter:
-    """Incremental scan over an append-only listing log.
-
-    ``load`` returns the catalogue as last committed, ``save`` commits the changes of a
-    batch (a merge into a table format, or ``write_changes``) and ``done`` returns the last
-    committed batch number, -1 at first. A batch that was committed before a crash is
-    skipped when replayed, so each takes effect once. ``sampled`` and ``full`` are those of
-    ``ingest_changes``.
-    """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch_id > done():
-            with scratch_scope():  # once saved, a batch's intermediate tables go
-                save(ingest_changes(load(), batch, extract, f"stream-{batch_id}", sampled, full), batch_id)
-
-    return listing.writeStream.foreachBatch(apply)
-
-
 def duplicate_alerts(media: DataFrame) -> DataFrame:
     """Per content key seen so far: copies, first file and latest file, by capture of arrival.
 
     On a stream (update mode) each trigger emits the keys it touched; a key with more than
-    one copy is an alert. Copies combine before the shuffle and the state is one small row
+    one copy is an alert. No key expires, since a copy may come at any time: a key that returns
+    takes up its stored count. ``scan.keyed_state`` keeps the state on disk in bounded memory. Copies combine before the shuffle and the state is one small row
     per key, so one endlessly repeated file is no burden. Columns: media_type, id, arrived.
     """
     arrived = F.struct(utc(media, "arrived").alias("at"), F.col("id").alias("id"))
