@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,8 +28,15 @@ PROMPT_SUFFIX_CJK = " 的照片"
 CJK = r"[\x{4E00}-\x{9FA5}]"
 DEFAULT_LIMIT, MAX_LIMIT = 50, 500  # the second is for callers to apply; no limit is cut here
 
-# Plans scored in one pass; their matrix is what each task receives.
-PLANS_PER_PASS = 2_048
+# Plans of one query block.
+PLANS_PER_PASS = 1_024
+# Bytes of one block of float vectors, and how many blocks a task sorts by norm together.
+BLOCK_BYTES, BLOCKS_TOGETHER = 1 << 21, 8
+# Query blocks up to this size are broadcast.
+BROADCAST_BYTES = 1 << 25
+# Scores that a task remembers to raise its bounds.
+STATE_SCORES = 1 << 22
+NO_LIMIT = 1 << 62
 
 
 def plan_queries(queries: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -74,61 +82,182 @@ def plan_queries(queries: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
     )
 
 
-def _passes(plans: DataFrame) -> Iterator[pd.DataFrame]:
-    """Plans in slices of bounded size, all plans of a query in one slice.
+def _id_type(kind: T.DataType) -> T.DataType:
+    return T.StringType() if isinstance(kind, T.StringType) else T.LongType()
 
-    A query with more plans than fit a slice makes its slice as large as it needs.
+
+def _query_blocks(plans: DataFrame) -> DataFrame:
+    """Plans as matrices, all plans of a query in one block: (queries, starts, thresholds, matrix, dims, reach, floor).
+
+    A block has up to PLANS_PER_PASS plans, or those of one query. ``reach`` is the largest
+    plan's norm, ``floor`` the least threshold: a vector whose norm times ``reach`` stays below
+    ``floor`` hits no query of the block.
     """
-    total = plans.count()
-    slices = -(-total // PLANS_PER_PASS) or 1
-    rows = plans.select("query_id", "embedding", "threshold")
-    if slices == 1:
-        yield rows.toPandas()
-        return
-    # twice as many slices as needed keeps each near half the bound
-    part = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(2 * slices))
-    rows = materialize(rows.withColumn("__part", part), "plans")
-    for number in range(2 * slices):
-        yield rows.filter(F.col("__part") == number).drop("__part").toPandas()
-
-
-def _scorer(pdf: pd.DataFrame, limit: int, id_field: T.DataType):
-    """mapInArrow body: best hits of every query within each batch."""
-    pdf = pdf.sort_values("query_id", kind="stable").reset_index(drop=True)
-    vectors = [np.nan_to_num(np.asarray(v, dtype="float64")) for v in pdf["embedding"]]
-    dims = max((len(v) for v in vectors), default=0)
-    matrix = np.zeros((dims, len(vectors)))
-    for i, v in enumerate(vectors):
-        matrix[: len(v), i] = v
-    thresholds = pdf["threshold"].to_numpy(dtype="float64")
-    queries, starts = np.unique(pdf["query_id"].to_numpy(), return_index=True)
-    id_type = pa.string() if isinstance(id_field, T.StringType) else pa.int64()
-    query_type = pa.array(queries).type if len(queries) else pa.int64()
-
-    def score(batches):
+    query_type = _id_type(plans.schema["query_id"].dataType)
+    id_type = pa.string() if isinstance(query_type, T.StringType) else pa.int64()
+
+    def block(ids: list, vectors: list, thresholds: list) -> pa.RecordBatch:
+        rows = [np.nan_to_num(np.asarray(v if v is not None else [], dtype="float64")) for v in vectors]
+        dims = max(map(len, rows))
+        matrix = np.zeros((dims, len(rows)))
+        for i, v in enumerate(rows):
+            matrix[: len(v), i] = v
+        starts = [i for i, q in enumerate(ids) if i == 0 or q != ids[i - 1]]
+        reach = float(np.linalg.norm(matrix, axis=0).max()) if dims else 0.0
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([[ids[i] for i in starts]], pa.list_(id_type)), pa.array([starts], pa.list_(pa.int32())),
+                pa.array([thresholds], pa.list_(pa.float64())), pa.array([matrix.tobytes()], pa.binary()),
+                pa.array([dims], pa.int32()), pa.array([reach], pa.float64()), pa.array([min(thresholds)], pa.float64()),
+            ],
+            ["queries", "starts", "thresholds", "matrix", "dims", "reach", "floor"],
+        )
+
+    limit = PLANS_PER_PASS
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, thresholds = [], [], []
         for batch in batches:
-            sims = dense(batch.column("embedding"), dims) @ matrix
-            best = np.maximum.reduceat(sims, starts, axis=1)
-            hits = np.logical_or.reduceat(sims >= thresholds, starts, axis=1)
-            picked_q, picked_row = [], []
-            for q in range(len(queries)):
-                rows = np.flatnonzero(hits[:, q])
-                if len(rows) > limit:
-                    # keep every row tied with the limit-th best: ids decide later
-                    edge = np.partition(best[rows, q], len(rows) - limit)[len(rows) - limit]
-                    rows = rows[best[rows, q] >= edge]
-                picked_q.append(np.full(len(rows), q))
-                picked_row.append(rows)
-            q = np.concatenate(picked_q)
-            row = np.concatenate(picked_row)
+            for q, v, t in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                if len(ids) >= limit and q != ids[-1]:
+                    yield block(ids, vectors, thresholds)
+                    ids, vectors, thresholds = [], [], []
+                ids.append(q)
+                vectors.append(v)
+                thresholds.append(t)
+        if ids:
+            yield block(ids, vectors, thresholds)
+
+    rows = plans.select(F.col("query_id").cast(query_type).alias("query_id"), "embedding", F.col("threshold").cast("double"))
+    rows = rows.repartition("query_id").sortWithinPartitions("query_id")
+    fields = (
+        f"queries array<{query_type.simpleString()}>, starts array<int>, thresholds array<double>, "
+        "matrix binary, dims int, reach double, floor double"
+    )
+    return materialize(rows.mapInArrow(pack, fields), "query_blocks")
+
+
+def _vector_blocks(embeddings: DataFrame, slots: int) -> DataFrame:
+    """Vectors in blocks of about BLOCK_BYTES and of similar norms: (ids, lengths, components, norm, slot).
+
+    A task sorts BLOCKS_TOGETHER blocks' worth of vectors by norm and cuts them; no single vector
+    is shuffled. ``norm`` is the largest of a block, ``slot`` where it meets the query blocks.
+    """
+    id_type = _id_type(embeddings.schema["photo_id"].dataType)
+    ids_type = pa.string() if isinstance(id_type, T.StringType) else pa.int64()
+    most = BLOCK_BYTES // 4  # components
+
+    def cut(table: pa.Table, number: int) -> Iterator[pa.RecordBatch]:
+        column = table.column("embedding").combine_chunks()
+        lengths = np.asarray(column.value_lengths().fill_null(0)).astype("int64")
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        flat = flat.astype("float32" if flat.dtype == np.float32 else "float64")
+        upto = np.concatenate(([0], np.cumsum(lengths)))
+        squares = np.concatenate(([0.0], np.cumsum(np.nan_to_num(flat.astype("float64"), posinf=np.inf, neginf=-np.inf) ** 2)))
+        norms = np.sqrt(np.maximum(squares[upto[1:]] - squares[upto[:-1]], 0)) if np.isfinite(squares[-1]) else np.full(len(lengths), np.inf)
+        # the difference of running sums is off by the rounding of the sum
+        norms = norms + np.sqrt(squares[-1] * 1e-12) if np.isfinite(squares[-1]) else norms
+        order = np.argsort(-norms, kind="stable")
+        size = np.cumsum(lengths[order] + 1)
+        edges = [0, *np.flatnonzero(np.diff(size // most)) + 1, len(order)]
+        ids = table.column("photo_id").combine_chunks().cast(ids_type)
+        for first, last in zip(edges, edges[1:]):
+            own, number = order[first:last], number + 1
+            if not len(own):
+                continue
+            at = np.repeat(upto[own], lengths[own])
+            place = np.arange(len(at)) - np.repeat(np.cumsum(lengths[own]) - lengths[own], lengths[own])
+            values = flat[at + place]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(queries[q], type=query_type),
-                    batch.column("photo_id").take(pa.array(row)).cast(id_type),
-                    pa.array(best[row, q], type=pa.float64()),
+                    pa.array([ids.take(pa.array(own)).to_pylist()], pa.list_(ids_type)),
+                    pa.array([lengths[own].astype("<i4").tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary()),
+                    pa.array([values.dtype.itemsize], pa.int32()), pa.array([float(norms[own].max())], pa.float64()),
+                    pa.array([number % slots], pa.int32()),
                 ],
-                names=["query_id", "photo_id", "similarity"],
-            )
+                ["ids", "lengths", "components", "width", "norm", "slot"],
+            )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, number = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            step = max(1, min(batch.num_rows, most * batch.num_rows // max(1, len(batch.column("embedding").flatten()))))
+            for at in range(0, batch.num_rows, step):
+                held.append(batch.slice(at, step))
+                size += len(held[-1].column("embedding").flatten())
+                if size >= most * BLOCKS_TOGETHER:
+                    yield from cut(pa.Table.from_batches(held), number)
+                    held, size, number = [], 0, number + 2 * BLOCKS_TOGETHER
+        if held:
+            yield from cut(pa.Table.from_batches(held), number)
+
+    rows = embeddings.select(F.col("photo_id").cast(id_type).alias("photo_id"), "embedding")
+    return rows.mapInArrow(
+        pack, f"ids array<{id_type.simpleString()}>, lengths binary, components binary, width int, norm double, slot int"
+    )
+
+
+def _components(row: dict, dims: int) -> np.ndarray:
+    """A block's vectors as a float64 matrix, cut or zero-padded to ``dims``."""
+    values = np.frombuffer(row["components"], "<f4" if row["width"] == 4 else "<f8")
+    lengths = np.frombuffer(row["lengths"], "<i4")
+    offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+    return dense(pa.ListArray.from_arrays(offsets, pa.array(values)), dims)
+
+
+def _tile_scorer(limit: int, id_type: pa.DataType, query_type: pa.DataType):
+    """mapInArrow body over tiles: the hits of a query block in a vector block.
+
+    With a limit, a task remembers the best scores it has seen for each query. A tile whose
+    bound lies below a query's limit-th best skips that query, and only rows that may still be
+    among the best leave. STATE_SCORES bounds what is remembered; forgetting costs rows only.
+    """
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, np.ndarray] = {}  # query block -> limit best scores per query, -inf at first
+        remembered = 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                queries, starts, dims = row["queries"], np.array(row["starts"]), row["dims"]
+                thresholds = np.array(row["thresholds"])
+                matrix = np.frombuffer(row["matrix"], "<f8").reshape(dims, len(thresholds))
+                open_ = np.ones(len(queries), bool)
+                top = None
+                if limit < NO_LIMIT:
+                    name = (queries[0], len(queries))
+                    if name not in best:
+                        if remembered + len(queries) * limit > STATE_SCORES:
+                            best.clear()
+                            remembered = 0
+                        best[name] = np.full((len(queries), limit), -np.inf)
+                        remembered += len(queries) * limit
+                    top = best[name]
+                    reach = np.maximum.reduceat(np.linalg.norm(matrix, axis=0), starts) * row["norm"] if dims else np.zeros(len(queries))
+                    with np.errstate(invalid="ignore"):
+                        open_ = ~(reach * (1 + 1e-9) < top.min(1))
+                if not open_.any():
+                    continue
+                sims = _components(row, dims) @ matrix
+                scores = np.maximum.reduceat(sims, starts, axis=1)
+                hits = np.logical_or.reduceat(sims >= thresholds, starts, axis=1)
+                picked_q, picked_row = [], []
+                for q in np.flatnonzero(open_):
+                    rows = np.flatnonzero(hits[:, q])
+                    if top is not None and len(rows):
+                        both = np.concatenate([top[q], scores[rows, q]])
+                        top[q] = np.partition(both, len(both) - limit)[len(both) - limit :]
+                        rows = rows[scores[rows, q] >= top[q].min()]  # ties stay: ids decide later
+                    picked_q.append(np.full(len(rows), q))
+                    picked_row.append(rows)
+                q, at = np.concatenate(picked_q), np.concatenate(picked_row)
+                if len(at):
+                    ids = pa.array(row["ids"], id_type)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(queries, query_type).take(pa.array(q)), ids.take(pa.array(at)), pa.array(scores[at, q], pa.float64())],
+                        names=["query_id", "photo_id", "similarity"],
+                    )
 
     return score
 
@@ -138,31 +267,27 @@ def score_all(plans: DataFrame, embeddings: DataFrame, limit: int | None = None)
 
     ``plans`` is (query_id, embedding, threshold), one or more rows per query. A vector
     hits a query if any plan reaches its own threshold; its similarity is the best over
-    the query's plans. The vectors are read once per slice of plans and never shuffled:
-    each Arrow batch is one matrix product, and with ``limit`` only rows that can still
-    be among the best leave it.
+    the query's plans. Plans and vectors are packed into blocks, and every tile of a query
+    block and a vector block is one matrix product. A join decides on the tiles by their bound
+    (largest norms multiplied, against the least threshold), so the plan of the job is the same
+    for any number of queries and the driver holds none. Query blocks of up to BROADCAST_BYTES
+    are sent to the vectors, which stay where they are; more of them are copied to as many slots
+    as there are shuffle partitions and meet the vector blocks there. With ``limit`` only rows
+    that can still be among the best leave a task.
     """
-    query_type = plans.schema["query_id"].dataType
-    id_type = embeddings.schema["photo_id"].dataType
-    wide = T.StringType() if isinstance(id_type, T.StringType) else T.LongType()
+    query_type, id_type = (_id_type(t.schema[c].dataType) for t, c in ((plans, "query_id"), (embeddings, "photo_id")))
     schema = T.StructType(
-        [
-            T.StructField("query_id", T.StringType() if isinstance(query_type, T.StringType) else T.LongType()),
-            T.StructField("photo_id", wide),
-            T.StructField("similarity", T.DoubleType()),
-        ]
+        [T.StructField("query_id", query_type), T.StructField("photo_id", id_type), T.StructField("similarity", T.DoubleType())]
     )
-    if not isinstance(query_type, T.StringType):
-        plans = plans.withColumn("query_id", F.col("query_id").cast("bigint"))
-    rows = embeddings.select(F.col("photo_id").cast(wide).alias("photo_id"), "embedding")
-    keep = limit if limit is not None else (1 << 62)
-    out = None
-    for pdf in _passes(plans):
-        if pdf.empty:
-            continue
-        part = rows.mapInArrow(_scorer(pdf, keep, wide), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else plans.sparkSession.createDataFrame([], schema)
+    asked = _query_blocks(plans)
+    size = asked.agg(F.sum(F.length("matrix") + F.length(F.to_json("queries")))).first()[0] or 0
+    slots = 1 if size <= BROADCAST_BYTES else int(plans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored = _vector_blocks(embeddings, slots)
+    met = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    near = (stored["slot"] == met["slot"]) & (stored["norm"] * met["reach"] * (1 + 1e-9) >= met["floor"])
+    tiles = stored.join(F.broadcast(met) if slots == 1 else met.hint("merge"), near).drop(met["slot"])
+    arrow = [pa.string() if isinstance(t, T.StringType) else pa.int64() for t in (id_type, query_type)]
+    return tiles.mapInArrow(_tile_scorer(NO_LIMIT if limit is None else limit, *arrow), schema)
 
 
 def top_k(scores: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:

@@ -137,6 +137,31 @@ def test_search_equals_brute_force(spark, monkeypatch, per_pass):
     assert rows_of(got, "query_id", "rank", "photo_id") == brute_search(plans, vectors, 10)
 
 
+@pytest.mark.parametrize("limit, remembered", [(None, 30), (7, 30), (7, 1 << 22)])
+def test_tiles_of_many_blocks(spark, monkeypatch, limit, remembered):
+    """Small blocks on both sides, dealt out instead of broadcast; vectors of very different norms."""
+    for name, value in (("PLANS_PER_PASS", 4), ("BLOCK_BYTES", 512), ("BLOCKS_TOGETHER", 3), ("BROADCAST_BYTES", 100), ("STATE_SCORES", remembered)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(4)
+    vectors = [(i, (rng.normal(size=8) * 10.0 ** rng.integers(-3, 2)).tolist()) for i in range(600)] + [(700, None), (701, [])]
+    plans = [(q, rng.normal(size=8).tolist(), float(rng.choice([0.5, 5.0, 50.0, 1000.0]))) for q in range(30) for _ in range(1 + q % 3)]
+    got = search.score_all(
+        table(spark, "query_id bigint, embedding array<double>, threshold double", *plans),
+        table(spark, "photo_id bigint, embedding array<double>", *vectors).repartition(3), limit,
+    )
+    want = brute_search(plans, [v for v in vectors if v[1]], limit or 10_000)
+    assert rows_of(search.top_k(got, limit or 10_000), "query_id", "rank", "photo_id") == want
+    hits = len(brute_search(plans, [v for v in vectors if v[1]], 10_000))
+    left = got.count()
+    assert left == hits if limit is None else left < hits if remembered == 30 else left < 0.7 * hits
+    one, many = (
+        search.score_all(table(spark, "query_id bigint, embedding array<double>, threshold double", *plans[:n]),
+                         table(spark, "photo_id bigint, embedding array<double>", *vectors))._jdf.queryExecution().logical().toString().count("MapInArrow")
+        for n in (1, len(plans))
+    )
+    assert one == many  # the plan does not grow with the queries
+
+
 def test_search_refills_queries_whose_best_files_are_trashed(spark):
     """Query 0's best 40 hits are trashed, query 1's are not, query 2 has fewer hits than asked."""
     vectors = [(i, [1.0 - i / 1000, 0.0, 0.0]) for i in range(100)] + [(200 + i, [0.0, 1.0 - i / 1000, 0.0]) for i in range(100)]
