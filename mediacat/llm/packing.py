@@ -294,10 +294,10 @@ def pack_documents(
     ends = first.filter("sequence_id IS NULL").withColumn("__block", F.expr(f"part div {TASKS_PER_BLOCK}"))
     second = materialize(ends.groupBy("__block").applyInArrow(_repacked(tiers), _schema(kind)), "ends")
     pieces = first.filter("sequence_id IS NOT NULL").unionByName(second)
-    # one row per task and tier
+    # one row per task that packed and tier, so its size is bounded by the tasks and it is broadcast
     sizes = pieces.filter("offset = 0").groupBy("part", "tier").agg(F.count("*").alias("__n"))
     earlier = W.partitionBy("tier").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     before = sizes.select("part", "tier", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     step = F.floor((F.col("__before") + F.col("nth")) * F.col("tier") / step_tokens).cast("long")
     out = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step", "ids"]
-    return pieces.join(before, ["part", "tier"]).withColumn("step", step).select(*out)
+    return pieces.join(F.broadcast(before), ["part", "tier"]).withColumn("step", step).select(*out)
