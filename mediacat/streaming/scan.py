@@ -49,6 +49,7 @@ def keyed_state(spark: SparkSession, memory_mb: int = 256) -> None:
     spark.conf.set(f"{conf}.rocksdb.boundedMemoryUsage", "true")
     spark.conf.set(f"{conf}.rocksdb.maxMemoryUsageMB", str(memory_mb))
     spark.conf.set(f"{conf}.rocksdb.changelogCheckpointing.enabled", "true")
+    spark.conf.set(f"{conf}.rocksdb.allowFAllocate", "false")  # many small stores: no disk is set aside
 
 
 def content_key(kind: str, length: int, found: dict[str, Any]) -> str | None:
