@@ -42,6 +42,8 @@ LONG_TEXT = 1 << 20
 ROWS_OUT = 4_000
 # Words a Python worker remembers: how many, and their characters.
 CACHED_WORDS, CACHED_CHARS = 1 << 20, 1 << 25
+# New words encoded as one text; the tokenizer takes more time a word for longer texts.
+WORDS_TOGETHER = 256
 # Texts are tokenized together up to this many characters.
 GROUP_CHARS = 1 << 19
 
@@ -81,8 +83,8 @@ class WordIds(dict):
         """Encode the new words as one text and deal its ids out by their places in it."""
         new, self._new = self._new, []
         flat, counts = [self._flat], []
-        for at in range(0, len(new), 4_000):
-            part = new[at : at + 4_000]
+        for at in range(0, len(new), WORDS_TOGETHER):
+            part = new[at : at + WORDS_TOGETHER]
             found = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
             lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
             places = np.array([o[0] for o in found.offsets], np.int64)
