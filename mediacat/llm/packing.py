@@ -16,6 +16,7 @@ token crosses.
 
 from __future__ import annotations
 
+import os
 import re
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
@@ -50,12 +51,37 @@ GROUP_CHARS = 1 << 19
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
 # What str.split takes for blank and a pattern's white space does not.
 _CONTROLS = re.compile(r"[\x1c-\x1f]")
+_MARKS = tuple(".,;:!?)")
 
 
 def _split(text: str) -> list[str]:
     return _BLANK.split(text) if _CONTROLS.search(text) else text.split()
 
 
+def _matches(word: str) -> int:
+    """1 for letters alone, 2 for letters and one mark, 0 for anything else."""
+    if word.isalpha() and (word.isascii() or word.lower().isalpha()):
+        return 1
+    return 2 if word[-1:] in _MARKS and _matches(word[:-1]) == 1 else 0
+
+
+class _Growing:
+    """An array that is extended in place."""
+
+    def __init__(self, kind: type):
+        self._data, self._n = np.zeros(1 << 12, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        end = self._n + len(more)
+        if end > len(self._data):
+            self._data = np.concatenate([self._data, np.zeros(max(end, len(self._data)), self._data.dtype)])
+        self._data[self._n : end] = more
+        self._n = end
+
+    def view(self) -> np.ndarray:
+        return self._data[: self._n]
+
+
 class WordIds(dict):
     """Token ids of words between blanks: word -> number, and all their ids in one array.
 
@@ -64,15 +90,23 @@ class WordIds(dict):
     """
 
     def __init__(self, file: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(file)
+        suffix = getattr(self._tokenizer.model, "end_of_word_suffix", None)
+        self._ends = None
+        if suffix:
+            vocabulary = self._tokenizer.get_vocab()
+            self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self._ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.clear()
         self._new: list[str] = []
-        self._flat, self._starts, self._chars = np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
+        self._flat, self._starts, self._chars = _Growing(np.uint32), _Growing(np.int64), 0
+        self._starts.extend(np.zeros(1, np.int64))
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
@@ -80,20 +114,42 @@ class WordIds(dict):
         return n
 
     def _learn(self) -> None:
-        """Encode the new words as one text and deal its ids out by their places in it."""
+        """Encode the new words, many as one text, and deal its ids out.
+
+        Letters alone are one match of the pattern, letters with one mark behind them are two, and a
+        match ends at a token with the end-of-word suffix. Other words, and texts where the
+        suffixes do not add up, are told apart by the places of their tokens, which takes longer.
+        """
         new, self._new = self._new, []
-        flat, counts = [self._flat], []
-        for at in range(0, len(new), WORDS_TOGETHER):
-            part = new[at : at + WORDS_TOGETHER]
-            found = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
-            lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
-            places = np.array([o[0] for o in found.offsets], np.int64)
-            owner = np.searchsorted(np.cumsum(lengths), places, "right")
-            flat.append(np.array(found.ids, np.uint32))
-            counts.append(np.bincount(owner, minlength=len(part)))
-            self._chars += int(lengths.sum())
-        self._flat = np.concatenate(flat)
-        self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum(np.concatenate(counts))])
+        matches = np.array([_matches(w) if self._ends is not None else 0 for w in new], np.int64)
+        counts = np.zeros(len(new), np.int64)
+        ids: list[np.ndarray | None] = [None] * len(new)
+        plain, odd = np.flatnonzero(matches), np.flatnonzero(matches == 0).tolist()
+        groups = [plain[at : at + WORDS_TOGETHER] for at in range(0, len(plain), WORDS_TOGETHER)]
+        texts = [" ".join([new[k] for k in group]) for group in groups]
+        for group, found in zip(groups, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            flat = np.array(found.ids, np.uint32)
+            ends = np.flatnonzero(self._ends[flat]) + 1
+            upto = np.cumsum(matches[group])
+            if len(ends) != upto[-1] or ends[-1] != len(flat):
+                odd += group.tolist()
+                continue
+            stops = ends[upto - 1]
+            counts[group] = np.diff(stops, prepend=0)
+            for k, part in zip(group.tolist(), np.split(flat, stops[:-1])):
+                ids[k] = part
+        for at in range(0, len(odd), WORDS_TOGETHER):
+            group = odd[at : at + WORDS_TOGETHER]
+            found = self._tokenizer.encode(" ".join([new[k] for k in group]), add_special_tokens=False)
+            edges = np.cumsum([len(new[k]) + 1 for k in group])
+            owner = np.searchsorted(edges, np.array([o[0] for o in found.offsets], np.int64), "right")
+            own = np.bincount(owner, minlength=len(group))
+            counts[group] = own
+            for k, part in zip(group, np.split(np.array(found.ids, np.uint32), np.cumsum(own)[:-1])):
+                ids[k] = part
+        self._chars += sum(map(len, new))
+        self._flat.extend(np.concatenate(ids))
+        self._starts.extend(self._starts.view()[-1] + np.cumsum(counts))
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words in turn, number of ids up to each word)."""
@@ -102,10 +158,11 @@ class WordIds(dict):
         codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self._new:
             self._learn()
-        starts = self._starts[codes]
-        lengths = self._starts[codes + 1] - starts
+        known = self._starts.view()
+        starts = known[codes]
+        lengths = known[codes + 1] - starts
         upto = np.concatenate([[0], np.cumsum(lengths)])
-        return self._flat[np.arange(upto[-1]) + np.repeat(starts - upto[:-1], lengths)], upto
+        return self._flat.view()[np.arange(upto[-1]) + np.repeat(starts - upto[:-1], lengths)], upto
 
     def _long(self, text: str) -> np.ndarray:
         out, at = [], 0
