@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.functions.geo import grid_precision
+from mediacat.functions.geo import FINEST_CELL, GRID_DEGREES, grid_precision
 from mediacat.operators.filters import in_bounds
 
 # Fixed value: from this zoom on every file is its own marker.
 SINGLE_ZOOM = 16
-
-
-# A view with at most this many grid cells may broadcast one row per cell.
-BROADCAST_CELLS = 500_000
+# Up to this zoom each grid halves that of the zoom before.
+NESTED_ZOOM = min(SINGLE_ZOOM - 1, math.floor(math.log2(GRID_DEGREES / FINEST_CELL)))
 
 
 def map_clusters(
@@ -22,9 +22,8 @@ def map_clusters(
     """cluster_lat, cluster_lon, count, representative_id, path, filename per grid cell.
 
     Grouping is on the whole-number cell index and combines map-side, so hot cells cost
-    nothing extra. Ids alone are aggregated, and the representatives' columns are looked up;
-    box and zoom bound the number of cells, and where they are few the lookup is a broadcast.
-    A repeated id gives the least path with the file name of that row.
+    nothing extra: one pass, whatever the box and zoom. The representative is the least id; a
+    repeated id gives the least path with the file name of that row.
     """
     rows = in_bounds(media, south, west, north, east)
     if zoom >= SINGLE_ZOOM:
@@ -41,26 +40,57 @@ def map_clusters(
         F.round(F.col("latitude") / p).cast("bigint").alias("__y"),
         F.round(F.col("longitude") / p).cast("bigint").alias("__x"),
     ]
-    height, width = min(north, 90) - max(south, -90), min(east, 180) - max(west, -180)
-    cells = rows.groupBy(*cell).agg(F.count("*").alias("count"), F.min("id").alias("id"))
-    few = (height / p + 2) * (width / p + 2) <= BROADCAST_CELLS
-    own = [F.col("__y").eqNullSafe(F.col("__cy")), F.col("__x").eqNullSafe(F.col("__cx")), F.col("id") == F.col("__id")]
-    cells = cells.select(F.col("__y").alias("__cy"), F.col("__x").alias("__cx"), F.col("id").alias("__id"), "count")
-    found = (
-        rows.select(*cell, "id", "path", "filename")
-        .join(F.broadcast(cells) if few else cells, own)
-        .groupBy("__y", "__x", "count", "id")
-        .agg(F.min(F.struct("path", "filename")).alias("__rep"))
-        .select("__y", "__x", "count", "id", "__rep.path", "__rep.filename")
-    )
-    return found.select(
+    cells = rows.groupBy(*cell).agg(F.count("*").alias("count"), F.min(F.struct("id", "path", "filename")).alias("__rep"))
+    return _clusters(cells, p)
+
+
+def _clusters(cells: DataFrame, p: float) -> DataFrame:
+    return cells.select(
         (F.col("__y") * p).alias("cluster_lat"),
         (F.col("__x") * p).alias("cluster_lon"),
         "count",
-        F.col("id").alias("representative_id"),
-        "path",
-        "filename",
+        F.col("__rep.id").alias("representative_id"),
+        "__rep.path",
+        "__rep.filename",
+    )
+
+
+def map_pyramid(media: DataFrame, zoom: int = NESTED_ZOOM) -> DataFrame:
+    """Half cells of the grid of ``zoom``, from which ``pyramid_clusters`` gives every coarser zoom.
+
+    A half cell is floor(2 * |x| / p) with the sign of x. Grids halve from zoom to zoom, so half
+    cells nest: a coarser one is the quotient by a power of two, and the cell that x is
+    rounded to, half away from zero, is (half cell + 1) div 2. ``zoom`` is at most NESTED_ZOOM. Columns: y, x, south, west (signs),
+    count, rep (id, path, filename). One row per half cell in use, however many files.
+    """
+    p = grid_precision(zoom)
+    rows = in_bounds(media, -90, -180, 90, 180)
+    half = {n: F.floor(F.abs(F.col(c)) / p * 2).cast("bigint") for n, c in (("y", "latitude"), ("x", "longitude"))}
+    signs = {"south": F.col("latitude") < 0, "west": F.col("longitude") < 0}
+    return rows.withColumns(half | signs).groupBy("y", "x", "south", "west").agg(
+        F.count("*").alias("count"), F.min(F.struct("id", "path", "filename")).alias("rep")
+    )
+
+
+def pyramid_clusters(pyramid: DataFrame, zoom: int, built: int = NESTED_ZOOM) -> DataFrame:
+    """The clusters of ``map_clusters`` over the whole world at a zoom up to that of the pyramid.
+
+    ``built`` is the zoom of ``map_pyramid``. A pyramid is read instead of the files, once it is
+    stored: its rows are cells, not files.
+    """
+    if not 0 <= zoom <= built:
+        raise ValueError(f"zoom must lie between 0 and {built}")
+    p = grid_precision(zoom)
+    nested = round(p / grid_precision(built))
+
+    def cell(half: str, negative: str):
+        own = F.expr(f"({half} div {nested} + 1) div 2")
+        return F.when(F.col(negative), -own).otherwise(own)
+
+    cells = pyramid.groupBy(cell("y", "south").alias("__y"), cell("x", "west").alias("__x")).agg(
+        F.sum("count").alias("count"), F.min("rep").alias("__rep")
     )
+    return _clusters(cells, p)
 
 
 def bounds(df: DataFrame, lat: str = "latitude", lon: str = "longitude", pad: float = 0.1) -> DataFrame:

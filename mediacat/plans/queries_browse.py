@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from mediacat.functions import geo
@@ -10,6 +12,7 @@ from mediacat.operators import browse, filters, groups, mapview, stats
 from mediacat.operators.filters import MediaFilter
 from mediacat.plans import fixtures as fx
 from mediacat.plans.registry import flat, query, rounded
+from mediacat.runtime import materialize
 from mediacat.sources import listing as listing_source
 from mediacat.sources import thumbnails
 
@@ -311,6 +314,23 @@ def g1_map_clusters(spark, sf):
     return rounded(mapview.map_clusters(fx.shipments(spark, sf), -30.5, -100, 70, 150.5, 10), "cluster_lat", "cluster_lon")
 
 
+@query(
+    " UNION ALL ".join(
+        f"SELECT {zoom} AS zoom, * FROM ({CLUSTER_SQL.format(p=f'(90.0::DOUBLE / {2**zoom})', s=-90, n=90, w=-180, e=180)})"
+        for zoom in (0, 4, 9, 12)
+    ),
+    "shipments",
+)
+def g1_map_pyramid(spark, sf):
+    """Four zooms out of one stored table of half cells."""
+    pyramid = materialize(mapview.map_pyramid(fx.shipments(spark, sf)), "pyramid")
+    views = [
+        rounded(mapview.pyramid_clusters(pyramid, zoom), "cluster_lat", "cluster_lon").select(F.lit(zoom).alias("zoom"), "*")
+        for zoom in (0, 4, 9, 12)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), views)
+
+
 @query(
     """SELECT latitude AS cluster_lat, longitude AS cluster_lon, 1::BIGINT AS "count", id AS representative_id, path, filename
     FROM active WHERE latitude BETWEEN -30.5 AND 70 AND longitude BETWEEN -100 AND 150.5""",

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mediacat.operators import audit, browse, exact, ingest, maintain
+from mediacat.functions.geo import grid_precision
+from mediacat.operators import audit, browse, exact, ingest, maintain, mapview
 from mediacat.operators.filters import MediaFilter
 from mediacat.plans import jobs
 from mediacat.runtime import with_group_position, with_position
@@ -246,3 +247,23 @@ def test_trash_results(spark):
     rows = media(spark, {"id": "a"}, {"id": "b", "deleted_at": dt.datetime(2024, 1, 1)})
     entries = table(spark, "id string, trash_path string", ("a", "/t/a"), ("a", "/t/a2"), ("b", "/t/b"), ("x", "/t/x"))
     assert rows_of(maintain.trash_results(rows, entries)) == [("a", "moved"), ("b", "already trashed"), ("x", "unknown")]
+
+
+def test_every_zoom_out_of_one_pyramid(spark):
+    """Points on and beside the edges of cells, of either sign, and at the ends of the world."""
+    rng = random.Random(6)
+    points = [(0.0, 0.0), (-0.0, 0.0), (90.0, 180.0), (-90.0, -180.0)]
+    for zoom in range(0, mapview.NESTED_ZOOM + 1):
+        p = grid_precision(zoom)
+        for _ in range(12):
+            lat, lon = ((rng.randint(-2, 2) + 0.5 * rng.randint(0, 1)) * p for _ in range(2))
+            points.append((max(-90.0, min(90.0, lat + rng.choice([0, 0, 1e-12]))), max(-180.0, min(180.0, lon - rng.choice([0, 0, 1e-12])))))
+    points += [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(100)]
+    rows = [{"id": f"{i:04}", "latitude": a, "longitude": b} for i, (a, b) in enumerate(points)] + [{"id": "x"}, {"id": "y", "latitude": 1.0}]
+    files = media(spark, *rows).coalesce(2)
+    pyramid = spark.createDataFrame(mapview.map_pyramid(files).collect(), mapview.map_pyramid(files).schema)
+    for zoom in range(0, mapview.NESTED_ZOOM + 1, 3):
+        direct = mapview.map_clusters(files, -90, -180, 90, 180, zoom)
+        assert rows_of(mapview.pyramid_clusters(pyramid, zoom)) == rows_of(direct)
+    with pytest.raises(ValueError):
+        mapview.pyramid_clusters(pyramid, mapview.NESTED_ZOOM + 1)
