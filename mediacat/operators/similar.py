@@ -11,8 +11,9 @@ Neither mode has a bucket limit or lists all pairs of a crowd:
   picture that makes up a third of the catalogue is one node;
 * first, each node is only linked to the pivot of some of its buckets, and the components
   of these links are contracted; a dense crowd becomes one component at linear cost;
-* then nodes of different components are compared, one link per pair of components is
-  kept, and only the contracted graph is solved;
+* then nodes of different components are compared, in batches of choices: buckets held by
+  one component leave first, one link per pair of components is kept, and the contracted
+  graph is solved before the next batch;
 * in a bucket beyond ``CROWD`` nodes that comparison runs on a finer, salted key, between
   the nodes outside its leading component and the rest.
 
@@ -21,6 +22,7 @@ Every step drops only comparisons whose outcome cannot change a component.
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -45,6 +47,8 @@ CROWD = 2_000
 STAR_CHOICES = 12
 # Candidate rows per task of a self-join.
 ROWS_PER_TASK = 500_000
+# Keyed rows (nodes times choices) that one batch shuffles.
+BATCH_ROWS = 2_000_000_000
 
 
 def fingerprints(media: DataFrame) -> DataFrame:
@@ -199,14 +203,45 @@ def _side(rows: DataFrame, side: str, keys: list[str]) -> DataFrame:
     return rows.select(*[F.col(c) if c in keys else F.col(c).alias(f"{c}_{side}") for c in rows.columns])
 
 
-def _star_links(in_buckets: DataFrame, keys: list[str], near: Column, hot: DataFrame | None) -> DataFrame:
-    """Links from the least node of each bucket to the others it is near to."""
+def _star_links(in_buckets: DataFrame, keys: list[str], near: Column) -> DataFrame:
+    """(label_a, label_b): links from the least node of each bucket to the others it is near to."""
+    rest = [c for c in in_buckets.columns if c not in (*keys, "nid")]
     pivot = in_buckets.groupBy(*keys).agg(
-        F.min("nid").alias("nid_a"), *[F.min_by(c, "nid").alias(f"{c}_a") for c in ("bits", "lo", "hi")]
+        F.min("nid").alias("nid_a"), *[F.min_by(c, "nid").alias(f"{c}_a") for c in rest], F.count("*").alias("n")
     )
-    rows = join_lookup(_side(in_buckets, "b", keys), pivot, keys, hot)
-    return rows.filter((F.col("nid_a") != F.col("nid_b")) & near).select(
-        F.col("nid_a").alias("src"), F.col("nid_b").alias("dst")
+    pivot = materialize(pivot.filter(F.col("n") > 1), "pivots")
+    hot = written_hot_keys(pivot, keys, "n")
+    rows = join_lookup(_side(in_buckets, "b", keys), pivot.drop("n"), keys, hot)
+    return rows.filter((F.col("nid_a") != F.col("nid_b")) & near).select("label_a", "label_b")
+
+
+def _merged(labelled: DataFrame, links: DataFrame) -> DataFrame:
+    """``labelled`` with the labels of linked components replaced by their least."""
+    # links between components repeat: they combine in the task that finds them
+    top = connected_components(links.distinct(), "label_a", "label_b")
+    if top.isEmpty():
+        return labelled
+    top = top.select(F.col("node").alias("label"), F.col("component").alias("__top"))
+    counts = labelled.groupBy("label").agg(F.count("*").alias("n")).join(top, "label")
+    renamed = materialize(counts.select("label", "__top", "n"), "renamed")
+    hot = written_hot_keys(renamed, ["label"], "n")
+    moved = join_lookup(labelled, renamed.drop("n"), ["label"], hot, "left")
+    moved = moved.withColumn("label", F.coalesce("__top", "label")).select(*labelled.columns)
+    return materialize(moved, "labelled")
+
+
+def key_masks(blocks: int, pick: int) -> tuple[list[list[int]], list[tuple], list[int]]:
+    """(bit positions of each block, choices of ``pick`` blocks, mask of each choice)."""
+    cuts = _cut(list(range(BITS)), blocks)
+    choices = list(combinations(range(blocks), pick))
+    return cuts, choices, [_signed(_mask(p for b in c for p in cuts[b])) for c in choices]
+
+
+def _keyed(rows: DataFrame, masks: list[int], numbers) -> DataFrame:
+    """One row per choice in ``numbers``, with its number and the bits it keeps."""
+    picked = F.array(*[F.struct(F.lit(i).alias("choice"), F.lit(masks[i]).alias("mask")) for i in numbers])
+    return rows.select("*", F.explode(picked).alias("c")).select(
+        *rows.columns, "c.choice", F.col("bits").bitwiseAND(F.col("c.mask")).alias("key")
     )
 
 
@@ -217,64 +252,64 @@ def near_components(
     blocks: int | None = None,
     crowd: int = CROWD,
     bands: int | None = None,
+    batch_rows: int = BATCH_ROWS,
 ) -> DataFrame:
     """(nid, label): the components of all similar pairs of ``nodes`` (nid, bits, lo, hi).
 
     With ``bands``, only of pairs that agree on one of so many bands with a bit set in it.
+    The choices of blocks are worked off in batches of at most ``batch_rows`` keyed rows (at
+    least one choice), and each batch contracts what it linked before the next one starts:
+    buckets whose nodes all have one label by then leave before the self-join.
     """
     total = nodes.count()
     blocks = bands or blocks or blocks_for(total, threshold)
     pick = 1 if bands else blocks - (threshold - 1)
-    cuts = _cut(list(range(BITS)), blocks)
-    choices = list(combinations(range(blocks), pick))
-    masks = [_signed(_mask(p for b in c for p in cuts[b])) for c in choices]
+    cuts, choices, masks = key_masks(blocks, pick)
     keys = ["choice", "key"]
 
-    def keyed(rows: DataFrame, step: int = 1) -> DataFrame:
-        picked = [F.struct(F.lit(i).alias("choice"), F.lit(masks[i]).alias("mask")) for i in range(0, len(masks), step)]
-        out = rows.select("*", F.explode(F.array(*picked)).alias("c")).select(
-            *rows.columns, "c.choice", F.col("bits").bitwiseAND(F.col("c.mask")).alias("key")
-        )
+    def keyed(rows: DataFrame, numbers) -> DataFrame:
+        out = _keyed(rows, masks, numbers)
         return out.filter(F.col("key") != 0) if bands else out
 
-    # one row per crowded bucket: at most nodes * choices / crowd
-    sizes = keyed(nodes).groupBy(*keys).agg(F.count("*").alias("n"))
-    crowded = materialize(sizes.filter(F.col("n") > crowd), "crowded")
-    no_crowd = crowded.isEmpty()
-    hot = written_hot_keys(crowded, keys, "n")
     near = _near("a", "b", threshold, size_ratio)
+    lasts = F.array(*[F.lit(max(c)) for c in choices])[F.col("choice")]
+    differing = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
+    first = _intact_before(differing, [_mask(c) for c in cuts], lasts, F.col("bits_a") if bands else None) == pick
 
-    # Pass 1: stars, in evenly spread choices and in all crowded buckets.
-    stars = _star_links(keyed(nodes, -(-len(choices) // STAR_CHOICES)), keys, near, hot)
-    if not no_crowd:
-        in_crowd = join_lookup(keyed(nodes), crowded.drop("n"), keys, hot)
-        stars = stars.unionByName(_star_links(in_crowd, keys, near, hot))
-    parts = connected_components(stars).select(F.col("node").alias("nid"), F.col("component").alias("label"))
+    # Pass 1: stars, in evenly spread choices.
+    spread = range(0, len(choices), -(-len(choices) // STAR_CHOICES))
+    stars = _star_links(keyed(nodes.withColumn("label", F.col("nid")), spread), keys, near)
+    parts = connected_components(stars, "label_a", "label_b")
+    parts = parts.select(F.col("node").alias("nid"), F.col("component").alias("label"))
     labelled = materialize(nodes.join(parts, "nid", "left").withColumn("label", F.coalesce("label", "nid")), "labelled")
 
     # Pass 2: compare across components; a pair counts at the first choice it agrees on.
-    lasts = F.array(*[F.lit(max(c)) for c in choices])[F.col("choice")]
-    differing = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
-    first = _intact_before(differing, [_mask(c) for c in cuts], lasts, F.col("bits_a") if bands else None) == pick
-    calm = keyed(labelled) if no_crowd else keyed(labelled).join(crowded, keys, "left_anti")
-    calm = _spread(calm, keys, total * len(choices))
-    across = (
-        _side(calm, "a", keys)
-        .join(_side(calm, "b", keys).hint("merge"), keys)
-        .filter((F.col("nid_a") < F.col("nid_b")) & (F.col("label_a") != F.col("label_b")) & near & first)
-        .select("label_a", "label_b")
-    )
-    if not no_crowd:
-        in_crowd = join_lookup(keyed(labelled), crowded.drop("n"), keys, hot)
-        across = across.unionByName(_crowded_links(in_crowd, cuts, choices, crowd, threshold, near))
-    # links between components repeat: they combine in the task that finds them
-    top = connected_components(across.distinct(), "label_a", "label_b")
-    top = top.select(F.col("node").alias("label"), F.col("component").alias("__top"))
-    counts = labelled.groupBy("label").agg(F.count("*").alias("n"))
-    renamed = counts.join(top, "label", "left").select("label", F.coalesce("__top", "label").alias("__top"), "n")
-    return join_lookup(labelled, renamed.drop("n"), ["label"], hot_keys(renamed, ["label"], "n")).select(
-        "nid", F.col("__top").alias("label")
-    )
+    width = max(1, min(len(choices), batch_rows // max(total, 1)))
+    for start in range(0, len(choices), width):
+        numbers = range(start, min(start + width, len(choices)))
+        sizes = keyed(labelled, numbers).groupBy(*keys).agg(
+            F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")
+        )
+        mixed = materialize(sizes.filter(F.col("least") < F.col("most")).select(*keys, "n"), "mixed")
+        rows = mixed.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+        if rows["rows"] is None:
+            continue
+        if rows["most"] > crowd:
+            crowded = mixed.filter(F.col("n") > crowd)
+            hot = written_hot_keys(crowded, keys, "n")
+            rows_of = partial(join_lookup, one=crowded.drop("n"), keys=keys, hot=hot)
+            labelled = _merged(labelled, _star_links(rows_of(keyed(labelled, numbers)), keys, near))
+            fine = _crowded_links(rows_of(keyed(labelled, numbers)), cuts, choices, crowd, threshold, near)
+            labelled = _merged(labelled, fine)
+        calm = keyed(labelled, numbers).join(mixed.filter(F.col("n") <= crowd).drop("n"), keys, "left_semi")
+        calm = _spread(calm, keys, rows["rows"])
+        across = (
+            _side(calm, "a", keys)
+            .join(_side(calm, "b", keys).hint("merge"), keys)
+            .filter((F.col("nid_a") < F.col("nid_b")) & (F.col("label_a") != F.col("label_b")) & near & first)
+        )
+        labelled = _merged(labelled, across.select("label_a", "label_b"))
+    return labelled.select("nid", "label")
 
 
 def _crowded_links(

@@ -133,6 +133,14 @@ def test_complete_mode_equals_all_pairs(spark, crowd):
     assert dict(rows_of(found)) == brute_components(rows)
 
 
+@pytest.mark.parametrize("crowd", [3, 2000])
+def test_batches_of_choices_contract_in_between(spark, crowd):
+    rows = near_fingerprints(120, seed=21)
+    fp = table(spark, "id bigint, file_size bigint, ph string", *rows)
+    found = similar.similar_components(fp, crowd=crowd, batch_rows=20 * len(rows))
+    assert dict(rows_of(found)) == brute_components(rows)
+
+
 def test_complete_mode_with_three_and_four_intact_blocks(spark):
     rows = near_fingerprints(150, seed=4, spread=5, centres=30)
     fp = table(spark, "id bigint, file_size bigint, ph string", *rows)
