@@ -33,7 +33,7 @@ from mediacat.functions.hashing import fingerprint_bits, hamming_bits, usable_fi
 from mediacat.operators.components import connected_components
 from mediacat.operators.filters import active
 from mediacat.operators.keeper import pick_keeper
-from mediacat.runtime import hot_keys, join_lookup, materialize, written_hot_keys
+from mediacat.runtime import hot_keys, join_lookup, materialize, with_running_sum, written_hot_keys
 
 # Limits of the similarity test.
 THRESHOLD = 10
@@ -83,7 +83,8 @@ def similar_pairs(
     """(id_a, id_b, distance) of all similar pairs that share a non-zero band.
 
     For callers that want the pairs themselves, whose number grows with the square of a
-    crowd; groups come from ``near_components``, which lists none.
+    crowd; ``similar_classes`` holds the same pairs in a row per file and one per pair of
+    different fingerprints, and groups come from ``near_components``, which lists none.
     """
     width = BITS // bands
     rows = _packed(fp)
@@ -359,6 +360,131 @@ def _crowded_links(
     )
 
 
+# --- factorised pairs ----------------------------------------------------------------
+
+
+def similar_classes(
+    fp: DataFrame,
+    threshold: int = THRESHOLD,
+    bands: int | None = BANDS,
+    size_ratio: int = SIZE_RATIO,
+    blocks: int | None = None,
+    crowd: int = CROWD,
+) -> tuple[DataFrame, DataFrame]:
+    """(members, links): the pairs of ``similar_pairs`` without those of equal fingerprints spelled out.
+
+    members: id, class_id (least id with the fingerprint), size; one row per usable file.
+    links: class_a <= class_b, distance; classes whose size ranges are comparable, a class
+    of several files with itself included. A pair of files is similar exactly if their
+    classes link and their sizes are comparable, so a burst costs a row per file and one
+    link. ``bands=None`` asks for no common band. Repeated ids stay repeated; no usable
+    file gives two empty tables.
+
+    Candidates meet on choices of intact blocks, as in the complete mode. A bucket beyond
+    ``crowd`` classes is cut into parts that meet in tiles of two.
+    """
+    rows = _packed(fp)
+    classes = materialize(
+        rows.groupBy("bits").agg(
+            F.min("id").alias("class_id"), F.min("size").alias("lo"), F.max("size").alias("hi"), F.count("*").alias("n")
+        ),
+        "classes",
+    )
+    hot = written_hot_keys(classes, ["bits"], "n")
+    members = join_lookup(rows, classes.select("bits", "class_id"), ["bits"], hot).select("id", "class_id", "size")
+
+    total = classes.count()
+    blocks = blocks or blocks_for(total, threshold)
+    pick = blocks - (threshold - 1)
+    cuts, choices, masks = key_masks(blocks, pick)
+    keys = ["choice", "key"]
+    keyed = _keyed(classes.drop("n"), masks, range(len(masks)))
+    shared = materialize(
+        keyed.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+        .withColumn("parts", F.ceil(F.col("n") / crowd).cast("int")),
+        "shared",
+    )
+    held = join_lookup(keyed, shared.select(*keys, "parts"), keys, written_hot_keys(shared, keys, "n"))
+    held = held.withColumn("part", F.pmod(F.xxhash64("class_id"), "parts").cast("int"))
+    tile = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    tiled = held.withColumn("other", tile).withColumns(
+        {"tile_lo": F.least("part", "other"), "tile_hi": F.greatest("part", "other")}
+    )
+    cells = [*keys, "tile_lo", "tile_hi"]
+    spread = shared.agg(F.sum(F.col("n") * F.col("parts")).alias("rows")).first()["rows"] or 0
+    tiled = _spread(tiled.drop("parts", "other"), cells, spread)
+    differing = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
+    lasts = F.array(*[F.lit(max(c)) for c in choices])[F.col("choice")]
+    once = (_intact_before(differing, [_mask(c) for c in cuts], lasts) == pick) & (
+        (F.col("tile_lo") == F.col("tile_hi")) | (F.col("part_a") != F.col("part_b"))
+    )
+    if bands:
+        in_band = _intact_before(differing, [_mask(c) for c in _cut(list(range(BITS)), bands)], F.lit(bands), F.col("bits_a"))
+        once = once & (in_band > 0)
+    across = (
+        _side(tiled, "a", cells)
+        .join(_side(tiled, "b", cells).hint("merge"), cells)
+        .filter((F.col("class_id_a") < F.col("class_id_b")) & _near("a", "b", threshold, size_ratio) & once)
+        .select(
+            F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b"),
+            F.bit_count(differing).alias("distance"),
+        )
+    )
+    own = classes.filter(F.col("n") > 1).select(
+        F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"), F.lit(0).alias("distance")
+    )
+    return members, own.unionByName(across)
+
+
+def expand_pairs(members: DataFrame, links: DataFrame, size_ratio: int = SIZE_RATIO) -> DataFrame:
+    """(id_a, id_b, distance): the pairs that ``similar_classes`` stands for."""
+    a = members.select(F.col("class_id").alias("class_a"), F.col("id").alias("x"), F.col("size").alias("size_x"))
+    b = members.select(F.col("class_id").alias("class_b"), F.col("id").alias("y"), F.col("size").alias("size_y"))
+    comparable = F.greatest("size_x", "size_y") <= size_ratio * F.least("size_x", "size_y")
+    once = (F.col("class_a") != F.col("class_b")) | (F.col("x") < F.col("y"))
+    return (
+        links.join(a, "class_a").join(b, "class_b").filter(comparable & once)
+        .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "distance")
+    )
+
+
+def link_counts(members: DataFrame, links: DataFrame, size_ratio: int = SIZE_RATIO) -> DataFrame:
+    """(id, class_id, n_links): how many files each file is similar to, with no pair listed.
+
+    The partners of a file of size s in a linked class are those with sizes from s / ratio
+    to s * ratio: a difference of two running sums over the classes' sizes.
+    """
+    sizes = materialize(members.groupBy("class_id", "size").agg(F.count("*").alias("n")), "sizes")
+    links = materialize(links.select("class_a", "class_b"), "links")
+    swapped = links.filter(F.col("class_a") != F.col("class_b")).select(
+        F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")
+    )
+    asks = links.unionByName(swapped).join(sizes.select(F.col("class_id").alias("class_a"), "size"), "class_a")
+    asks = materialize(asks, "asks")
+    below = F.when(F.col("size") > 0, F.expr(f"(size - 1) div {int(size_ratio)}")).otherwise(-1)
+    ends = F.explode(F.array(
+        F.struct((F.col("size") * size_ratio).alias("at"), F.lit(1).alias("sign")),
+        F.struct(below.cast("bigint").alias("at"), F.lit(-1).alias("sign")),
+    ))
+    points = asks.select("class_b", "size").distinct().withColumn("e", ends).select(
+        "class_b", "e.at", "e.sign", "size", F.lit(0).cast("bigint").alias("n")
+    )
+    # at one place the files come before the questions
+    given = sizes.select(
+        F.col("class_id").alias("class_b"), F.col("size").alias("at"), F.lit(-2).alias("sign"), "size", "n"
+    )
+    order = [F.col(c).asc() for c in ("class_b", "at", "sign", "size")]
+    summed = with_running_sum(given.unionByName(points), order, "n", "upto").filter(F.col("sign") >= -1)
+    partners = summed.groupBy("class_b", "size").agg(F.sum(F.col("upto") * F.col("sign")).alias("partners"))
+    found = asks.join(partners, ["class_b", "size"]).groupBy(F.col("class_a").alias("class_id"), "size").agg(
+        # a file is no partner of itself
+        F.sum(F.col("partners") - (F.col("class_a") == F.col("class_b")).cast("int")).alias("n_links")
+    )
+    found = sizes.join(found, ["class_id", "size"], "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    hot = written_hot_keys(sizes, ["class_id", "size"], "n")
+    return join_lookup(members, found.drop("n"), ["class_id", "size"], hot).select("id", "class_id", "n_links")
+
+
 # --- groups --------------------------------------------------------------------------
 
 

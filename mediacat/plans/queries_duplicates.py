@@ -113,6 +113,36 @@ def d3_similar_pairs(spark, sf):
     return similar.similar_pairs(fx.fingerprints(spark, sf))
 
 
+LINKS_SQL = """, usable AS (SELECT id, ph, min(id) OVER (PARTITION BY ph) AS class_id FROM fp WHERE ph <> repeat('0', 64)),
+ linked AS (SELECT id, count(*) AS n FROM (SELECT id_a AS id FROM near UNION ALL SELECT id_b FROM near) GROUP BY id)
+ SELECT u.id, u.class_id, coalesce(n, 0) AS n_links FROM usable u LEFT JOIN linked l ON l.id = u.id"""
+CLASS_LINKS_SQL = """, class AS (SELECT ph, min(id) AS class_id, min(file_size) AS lo, max(file_size) AS hi, count(*) AS n FROM fp
+  WHERE ph <> repeat('0', 64) GROUP BY ph),
+ class_band AS (SELECT *, i AS band, substr(ph, CAST(i * 8 + 1 AS INT), 8) AS val FROM (SELECT *, unnest(range(8)) AS i FROM class)
+  WHERE substr(ph, CAST(i * 8 + 1 AS INT), 8) <> '00000000')
+ SELECT DISTINCT a.class_id AS class_a, b.class_id AS class_b, CAST(hamming(a.ph, b.ph) AS INT) AS distance FROM class_band a JOIN class_band b
+  ON a.band = b.band AND a.val = b.val AND (a.class_id < b.class_id OR (a.class_id = b.class_id AND a.n > 1))
+  AND greatest(a.lo, b.lo) <= 2 * least(a.hi, b.hi) AND hamming(a.ph, b.ph) < 10"""
+
+
+@query(BANDED_SQL.format(rows="fp") + LINKS_SQL, "fp")
+def d3_similar_links(spark, sf):
+    """Number of similar files of each file."""
+    return similar.link_counts(*similar.similar_classes(fx.fingerprints(spark, sf)))
+
+
+@query(CLASS_LINKS_SQL, "fp")
+def d3_similar_class_links(spark, sf):
+    """Pairs of classes of equal fingerprints that stand for the pairs of files."""
+    return similar.similar_classes(fx.fingerprints(spark, sf))[1]
+
+
+@query(NEAR_SQL.format(rows="fp") + LINKS_SQL, "fp")
+def d4_similar_links(spark, sf):
+    """The same counts without a common band, in tiles of crowded buckets."""
+    return similar.link_counts(*similar.similar_classes(fx.fingerprints(spark, sf), bands=None, crowd=3))
+
+
 @query(BANDED_SQL.format(rows="fp") + COMPONENT_SQL + " SELECT id, component FROM comp", "fp")
 def d3_similar_pairs_small_buckets(spark, sf):
     """Files of banded pairs with every bucket of more than three nodes treated as crowded."""

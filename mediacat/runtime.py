@@ -233,6 +233,28 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     )
 
 
+def with_running_sum(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """The sum of ``value`` up to and including each row, without a single-partition window.
+
+    As in ``with_position``: rows are range-sorted and written once, each range is summed by
+    its own task, and the sums of the ranges before it are added. ``order`` must be unique.
+    """
+    slot, part = f"__{name}_slot", f"__{name}_part"
+    ranked = materialize(df.orderBy(*order).withColumn(slot, F.monotonically_increasing_id()), "summed")
+    ranked = ranked.withColumn(part, F.shiftright(F.col(slot), 33))
+    totals = ranked.groupBy(part).agg(F.sum(value).alias("__n"))
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.sum(value).over(W.partitionBy(part).orderBy(slot).rowsBetween(W.unboundedPreceding, 0))
+    # one row per sorted partition, so the offsets are bounded by the partition count
+    return (
+        ranked.withColumn("__inside", inside)
+        .join(F.broadcast(offsets), part)
+        .withColumn(name, F.col("__before") + F.col("__inside"))
+        .drop(slot, part, "__before", "__inside")
+    )
+
+
 def with_group_position(
     df: DataFrame, group: list[str], order: list[Column], name: str = "position"
 ) -> DataFrame:

@@ -1,6 +1,8 @@
 """Exact and similar groups, keepers, components."""
 
 import random
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,3 +216,32 @@ def test_banded_components_are_those_of_the_banded_pairs(spark):
     want = rows_of(connected_components(pairs, "id_a", "id_b"))
     for crowd in (3, 2000):
         assert rows_of(similar.similar_components(fp, mode="banded", crowd=crowd)) == want
+
+
+@pytest.mark.parametrize("crowd", [3, 2000])
+def test_classes_expand_to_the_pairs(spark, crowd):
+    rows = near_fingerprints(150, seed=5)
+    rows += [(1000 + i, i % 9 * 100, rows[0][2]) for i in range(40)]  # one burst of many sizes, size 0 included
+    rows += [(2000, None, rows[1][2]), (2001, 5, "0" * 64), (2002, 5, None)]
+    fp = table(spark, "id bigint, file_size bigint, ph string", *rows)
+    pairs = rows_of(similar.similar_pairs(fp), "id_a", "id_b", "distance")
+    members, links = similar.similar_classes(fp, crowd=crowd)
+    assert rows_of(similar.expand_pairs(members, links), "id_a", "id_b", "distance") == pairs
+    degree = Counter(i for a, b, _ in pairs for i in (a, b))
+    counts = rows_of(similar.link_counts(members, links), "id", "n_links")
+    assert counts == sorted((i, degree[i]) for i, _, ph in rows if ph and int(ph))
+
+
+def test_a_burst_is_a_row_per_file_and_one_link(spark):
+    rows = [(i, 1000 + i % 2500, "10" * 32) for i in range(5000)]
+    fp = table(spark, "id bigint, file_size bigint, ph string", *rows)
+    members, links = similar.similar_classes(fp)
+    assert members.count() == 5000 and rows_of(links) == [(0, 0, 0)]
+    ordered = sorted(s for _, s, _ in rows)
+    want = [(i, bisect_right(ordered, 2 * s) - bisect_left(ordered, -(-s // 2)) - 1) for i, s, _ in rows]
+    assert rows_of(similar.link_counts(members, links), "id", "n_links") == want
+
+
+def test_classes_of_nothing(spark):
+    members, links = similar.similar_classes(table(spark, "id bigint, file_size bigint, ph string"))
+    assert members.count() == links.count() == similar.link_counts(members, links).count() == 0
