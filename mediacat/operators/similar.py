@@ -451,38 +451,65 @@ def expand_pairs(members: DataFrame, links: DataFrame, size_ratio: int = SIZE_RA
 def link_counts(members: DataFrame, links: DataFrame, size_ratio: int = SIZE_RATIO) -> DataFrame:
     """(id, class_id, n_links): how many files each file is similar to, with no pair listed.
 
-    The partners of a file of size s in a linked class are those with sizes from s / ratio
-    to s * ratio: a difference of two running sums over the classes' sizes.
+    The partners of a file of size s are those of linked classes with sizes from s / ratio
+    to s * ratio: a difference of two running sums over sizes. Of two linked classes that
+    with fewer sizes does the work: it asks for its sizes in the other's sums, and adds its
+    own sizes to those of the other's neighbourhood, where the other asks once for all. So a
+    burst of many sizes that links with many classes costs their sum, not their product.
     """
     sizes = materialize(members.groupBy("class_id", "size").agg(F.count("*").alias("n")), "sizes")
+    widths = materialize(sizes.groupBy("class_id").agg(F.count("*").alias("width")), "widths")
     links = materialize(links.select("class_a", "class_b"), "links")
     swapped = links.filter(F.col("class_a") != F.col("class_b")).select(
         F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")
     )
-    asks = links.unionByName(swapped).join(sizes.select(F.col("class_id").alias("class_a"), "size"), "class_a")
-    asks = materialize(asks, "asks")
+    directed = links.unionByName(swapped)
+    for side in ("a", "b"):
+        width = widths.select(F.col("class_id").alias(f"class_{side}"), F.col("width").alias(f"width_{side}"))
+        directed = directed.join(width, f"class_{side}")
+    directed = materialize(directed, "directed")
+    asking = directed.filter(F.col("width_a") < F.col("width_b")).select("class_a", "class_b")
+    giving = directed.filter(F.col("width_a") >= F.col("width_b")).select("class_a", "class_b")
+
+    # own: the sizes of a class; all: those of its neighbourhood
+    asks = materialize(
+        asking.join(sizes.select(F.col("class_id").alias("class_a"), "size"), "class_a"), "asks"
+    )
+    around = giving.join(sizes.withColumnRenamed("class_id", "class_b"), "class_b").groupBy("class_a", "size").agg(
+        F.sum("n").alias("n")
+    )
+    own, every = F.lit("own").alias("sums"), F.lit("all").alias("sums")
+    given = sizes.select(own, F.col("class_id").alias("of"), F.col("size").alias("at"), F.lit(-2).alias("sign"), "size", "n")
+    given = given.unionByName(
+        around.select(every, F.col("class_a").alias("of"), F.col("size").alias("at"), F.lit(-2).alias("sign"), "size", "n")
+    )
     below = F.when(F.col("size") > 0, F.expr(f"(size - 1) div {int(size_ratio)}")).otherwise(-1)
     ends = F.explode(F.array(
         F.struct((F.col("size") * size_ratio).alias("at"), F.lit(1).alias("sign")),
         F.struct(below.cast("bigint").alias("at"), F.lit(-1).alias("sign")),
     ))
-    points = asks.select("class_b", "size").distinct().withColumn("e", ends).select(
-        "class_b", "e.at", "e.sign", "size", F.lit(0).cast("bigint").alias("n")
-    )
+    wanted = asks.select(own, F.col("class_b").alias("of"), "size").distinct()
+    wanted = wanted.unionByName(sizes.select(every, F.col("class_id").alias("of"), "size"))
+    points = wanted.withColumn("e", ends).select("sums", "of", "e.at", "e.sign", "size", F.lit(0).cast("bigint").alias("n"))
     # at one place the files come before the questions
-    given = sizes.select(
-        F.col("class_id").alias("class_b"), F.col("size").alias("at"), F.lit(-2).alias("sign"), "size", "n"
-    )
-    order = [F.col(c).asc() for c in ("class_b", "at", "sign", "size")]
+    order = [F.col(c).asc() for c in ("sums", "of", "at", "sign", "size")]
     summed = with_running_sum(given.unionByName(points), order, "n", "upto").filter(F.col("sign") >= -1)
-    partners = summed.groupBy("class_b", "size").agg(F.sum(F.col("upto") * F.col("sign")).alias("partners"))
-    found = asks.join(partners, ["class_b", "size"]).groupBy(F.col("class_a").alias("class_id"), "size").agg(
-        # a file is no partner of itself
-        F.sum(F.col("partners") - (F.col("class_a") == F.col("class_b")).cast("int")).alias("n_links")
+    partners = summed.groupBy("sums", "of", "size").agg(F.sum(F.col("upto") * F.col("sign")).alias("partners"))
+    partners = materialize(partners, "partners")
+    asked = asks.join(
+        partners.filter(F.col("sums") == "own").select(F.col("of").alias("class_b"), "size", "partners"), ["class_b", "size"]
+    )
+    found = asked.select(F.col("class_a").alias("class_id"), "size", "partners").unionByName(
+        partners.filter(F.col("sums") == "all").select(F.col("of").alias("class_id"), "size", "partners")
+    )
+    # a file is no partner of itself
+    selves = links.filter(F.col("class_a") == F.col("class_b")).select(F.col("class_a").alias("class_id"))
+    found = found.unionByName(
+        sizes.join(selves, "class_id", "left_semi").select("class_id", "size", F.lit(-1).cast("bigint").alias("partners"))
     )
-    found = sizes.join(found, ["class_id", "size"], "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    found = materialize(found.groupBy("class_id", "size").agg(F.sum("partners").alias("n_links")), "found")
     hot = written_hot_keys(sizes, ["class_id", "size"], "n")
-    return join_lookup(members, found.drop("n"), ["class_id", "size"], hot).select("id", "class_id", "n_links")
+    return join_lookup(members, found, ["class_id", "size"], hot).select("id", "class_id", "n_links")
 
 
 # --- groups --------------------------------------------------------------------------
