@@ -97,3 +97,13 @@ def phash_batches(batches):
                 "perceptual_hash": [next(bits) if good else ZERO_FINGERPRINT for good in ok],
             }
         )
+
+
+def file_fingerprint(content: bytes, decode) -> str:
+    """Fingerprint of one file's content; the zero fingerprint if ``decode`` finds no image in it."""
+    try:
+        height, width, channels, pixels = decode(content)
+        grid = shrink_to_grey(pixels, height, width, channels)
+    except Exception:  # decoders of foreign formats fail in ways of their own
+        return ZERO_FINGERPRINT
+    return median_bits(low_frequencies(grid[None]))[0]

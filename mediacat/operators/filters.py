@@ -121,6 +121,6 @@ def usable_phash(media: DataFrame) -> DataFrame:
     return active(media).filter(usable_fingerprint(F.col("perceptual_hash")))
 
 
-def phash_missing(media: DataFrame) -> DataFrame:
-    """Active rows whose fingerprint is still to be computed."""
-    return active(media).filter(F.col("perceptual_hash").isNull()).select("id", "path")
+def phash_missing(media: DataFrame, *more: str) -> DataFrame:
+    """id, path (and ``more`` columns) of active rows whose fingerprint is still to be computed."""
+    return active(media).filter(F.col("perceptual_hash").isNull()).select("id", "path", *more)

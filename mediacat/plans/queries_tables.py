@@ -15,6 +15,7 @@ from mediacat.plans import fixtures as fx
 from mediacat.plans.registry import flat, query, rounded
 from mediacat.runtime import materialize
 from mediacat.schema import Catalog
+from mediacat.sources.images import phash_tasks
 
 NOW = "2026-01-01 12:00:00"
 REPICK = """(latitude IS NOT NULL AND longitude IS NOT NULL) DESC, file_size DESC NULLS LAST, (taken_at IS NULL), taken_at, id"""
@@ -79,6 +80,16 @@ def i6_phash_missing(spark, sf):
     return phash_missing(fx.media(spark, sf))
 
 
+@query(
+    """SELECT id, path, coalesce(file_size, 0) AS length, CAST(floor((sum(coalesce(file_size, 0) + 1048576) OVER (ORDER BY id)
+      - coalesce(file_size, 0) - 1048576) / 8388608) AS BIGINT) AS task FROM active WHERE perceptual_hash IS NULL""",
+    "active",
+)
+def i6_phash_tasks(spark, sf):
+    """Files without fingerprint, dealt to tasks of 8 MB."""
+    return phash_tasks(fx.media(spark, sf), 8 << 20)
+
+
 @query(
     """SELECT id, CASE WHEN deleted_at IS NULL AND perceptual_hash IS NULL THEN ph ELSE perceptual_hash END AS perceptual_hash
     FROM media LEFT JOIN fp_base USING (id)""",

@@ -255,6 +255,17 @@ def with_running_sum(df: DataFrame, order: list[Column], value: str, name: str)
     )
 
 
+def balanced_tasks(df: DataFrame, order: list[Column], weight: str, per_task: int, name: str = "task") -> DataFrame:
+    """The rows with the number of the task they go to, about ``per_task`` of ``weight`` each.
+
+    A row belongs to the task in which its running sum begins, so neighbours stay together, a
+    task exceeds ``per_task`` by less than its last row, and numbers may be left out only
+    behind a row that is larger than a task. ``order`` must be unique.
+    """
+    summed = with_running_sum(df, order, weight, "__upto")
+    return summed.withColumn(name, F.floor((F.col("__upto") - F.col(weight)) / per_task)).drop("__upto")
+
+
 def with_group_position(
     df: DataFrame, group: list[str], order: list[Column], name: str = "position"
 ) -> DataFrame:

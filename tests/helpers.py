@@ -45,6 +45,17 @@ def png(width, height, pixel):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def decode_png(content):
+    """(height, width, channels, BGR bytes) of what ``png`` writes; None for anything else."""
+    if not content.startswith(b"\x89PNG"):
+        return None
+    width, height = struct.unpack(">II", content[16:24])
+    size = struct.unpack(">I", content[33:37])[0]
+    lines = zlib.decompress(content[41 : 41 + size])
+    rgb = b"".join(lines[y * (3 * width + 1) + 1 : (y + 1) * (3 * width + 1)] for y in range(height))
+    return height, width, 3, b"".join(rgb[i : i + 3][::-1] for i in range(0, len(rgb), 3))
+
+
 def components_of(pairs):
     """Union-find by hand: {node: least member}."""
     parent = {}

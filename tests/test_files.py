@@ -15,7 +15,7 @@ from mediacat.plans import fixtures
 from mediacat.plans import jobs as jobs_plan
 from mediacat.sources import images, listing, thumbnails
 from mediacat.streaming import jobs
-from tests.helpers import media, png, rows_of, table
+from tests.helpers import decode_png, media, png, rows_of, table
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +39,78 @@ def test_listing(spark, library):
     assert found == {"a.png", "b.PNG", "flat.png", "broken.jpg", "clip.MOV", "sub/in.jpg"}
 
 
+def test_listing_sees_hidden_files_and_follows_no_links(spark, library, tmp_path):
+    for name in (".dot.jpg", "_under.jpg", "_sub/x.JPG", "%41 b+.png", "only.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345")
+    (tmp_path / "up").symlink_to(tmp_path, target_is_directory=True)
+    (tmp_path / "link.jpg").symlink_to(library / "a.png")
+    got = listing.list_media(spark, f"file://{tmp_path}/")
+    assert rows_of(got, "path", "length") == [
+        (f"{tmp_path}/{n}", 5) for n in ("%41 b+.png", ".dot.jpg", "_sub/x.JPG", "_under.jpg")
+    ]
+    seen = {r["path"]: r["mtime"] for r in got.collect()}
+    for path, mtime in seen.items():
+        real = dt.datetime.fromtimestamp(Path(path).stat().st_mtime, dt.timezone.utc).replace(tzinfo=None)
+        assert dt.timedelta(0) <= real - mtime < dt.timedelta(milliseconds=1)
+    assert rows_of(listing.list_media(spark, [str(library / "a.png")]), "path") == [(str(library / "a.png"),)]
+
+
+def test_a_root_that_cannot_be_listed_is_not_an_empty_one(spark, library, tmp_path):
+    missing = str(tmp_path / "gone")
+    with pytest.raises(FileNotFoundError, match="gone"):
+        listing.list_media(spark, [str(library), missing])
+    kinds = listing.list_folders(spark, [str(library), missing]).filter("kind <> 'file'")
+    assert rows_of(kinds, "path", "kind") == sorted(
+        [(missing, "unreadable"), (str(library), "folder"), (f"{library}/sub", "folder")]
+    )
+    (tmp_path / "empty").mkdir()
+    assert listing.list_media(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_listing_of_many_folders_in_rounds(spark, tmp_path, monkeypatch):
+    want = []
+    for i in range(10_000):
+        folder = tmp_path / f"y{i % 10}" / f"m{i % 100}" / f"d{i}"
+        folder.mkdir(parents=True)
+        (folder / "p.jpg").write_bytes(b"x" * (i % 7))
+        want.append((str(folder / "p.jpg"), i % 7))
+    rounds = []
+    kept = listing.materialize
+    monkeypatch.setattr(listing, "materialize", lambda df, name: rounds.append(name) or kept(df, name))
+    got = listing.list_folders(spark, [str(tmp_path)], folders_per_task=20)
+    assert rows_of(got.filter("kind = 'file'"), "path", "length") == sorted(want)
+    assert got.filter("kind = 'folder'").count() == 10_000 + 100 + 10 + 1
+    assert 2 < len(rounds) < 60
+
+
+def test_only_files_without_fingerprint_are_opened(spark, library, tmp_path):
+    names = ["a.png", "b.PNG", "flat.png", "broken.jpg", "gone.png", "trash.png"]
+    rows = media(
+        spark,
+        *[{"id": n, "path": str(library / n), "file_size": 3 << 20 if n == "flat.png" else 10} for n in names[:5]],
+        {"id": "trash.png", "path": str(library / "a.png"), "deleted_at": dt.datetime(2024, 1, 1)},
+        {"id": "known", "path": str(library / "b.PNG"), "perceptual_hash": "1" * 64},
+        {"id": "unsized", "path": str(library / "a.png") + "/../a.png", "file_size": None},
+    )
+    opened = str(tmp_path)
+
+    def decode(content):
+        (Path(opened) / hashlib.md5(content).hexdigest()).write_bytes(b"")
+        return decode_png(content)
+
+    some = rows.filter("id not in ('b.PNG', 'unsized')")
+    got = dict(rows_of(images.phash_missing_files(some, decode, task_bytes=2 << 20), "path", "perceptual_hash"))
+    seen = {hashlib.md5((library / n).read_bytes()).hexdigest() for n in ("a.png", "flat.png", "broken.jpg")}
+    assert {p.name for p in tmp_path.iterdir()} == seen
+    assert {Path(p).name for p in got} == {"a.png", "flat.png", "broken.jpg"}
+    whole = dict(rows_of(images.phash_files(spark, str(library)), "path", "perceptual_hash"))
+    assert all(whole[p] == h for p, h in got.items())
+    tasks = dict(rows_of(images.phash_tasks(rows, 2 << 20), "id", "task"))
+    assert tasks == {"a.png": 0, "b.PNG": 0, "broken.jpg": 1, "flat.png": 1, "gone.png": 3, "unsized": 4}
+    assert images.phash_missing_files(rows.filter("id = 'known'"), decode).count() == 0
+
+
 def test_listing_below_a_hidden_root(spark):
     rows = table(spark, "path string", ("/x/.lib/a.jpg",), ("/x/.lib/.b/a.jpg",), ("/x/.lib/c/_a.JPG",))
     assert rows_of(listing.media_files(rows, ["/x/.lib/"])) == [("/x/.lib/a.jpg",), ("/x/.lib/c/_a.JPG",)]
