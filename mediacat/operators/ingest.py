@@ -73,15 +73,18 @@ def default_taken_at(kind: Column, tagged: Column, mtime: Column) -> Column:
 
 
 def insert_ignore(media: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
-    """Append rows whose id and path are both free; the first of rivals in a batch wins.
+    """Append rows whose id and path are both free; of rivals in a batch one wins.
 
-    A batch row loses only to a row that is really inserted. Rounds settle all rows that
-    come first for both their id and their path and strike out their rivals; an ordinary
-    batch needs one round, chains of rivals need more.
+    A batch row loses only to a row that is really inserted. With ``order`` the first of rivals
+    wins; without, the one whose hash comes first, the same on every run. Rounds settle all rows
+    that come first for both their id and their path and strike out their rivals. An ordinary
+    batch needs one round. Among hashes a chain of rivals falls apart everywhere at once, which
+    takes a logarithmic number of rounds; a given ``order`` must be followed along the chain.
     """
     # rivals equal in order, path and id differ in content: its hash settles them the same way every time
-    parts = [F.col(order)] if order else []
-    rank = F.struct(*parts, F.col("path"), F.col("id"), F.xxhash64(*new.columns).alias("content"))
+    content = F.xxhash64(*new.columns)
+    lead = F.col(order) if order else content.alias("chance")
+    rank = F.struct(lead, F.col("path"), F.col("id"), content.alias("content"))
     open_rows = without_taken(without_taken(new, media, "id"), media, "path").withColumn("__rank", rank)
     open_rows = materialize(open_rows, "batch")
     won = []

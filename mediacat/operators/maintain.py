@@ -10,7 +10,15 @@ from mediacat.functions.paths import split_extension
 from mediacat.operators.filters import trashed
 from mediacat.operators.groups import affected_groups, group_sizes
 from mediacat.operators.keeper import repick_keeper
-from mediacat.runtime import one_per_key, with_group_position
+from mediacat.runtime import (
+    join_lookup,
+    materialize,
+    one_per_key,
+    row_hot_keys,
+    with_group_position,
+    with_position,
+    with_running_sum,
+)
 from mediacat.schema import Catalog, instant
 
 
@@ -77,16 +85,14 @@ def restore(media: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]
     return updated, done
 
 
-NUMBERS_PER_ROW = 10_000
-
-
 def restore_paths(entries: DataFrame, taken: DataFrame) -> DataFrame:
     """(id, restored_path): a free path for each row that wants ``target``.
 
     The first takes the target if it is free, later ones ``name (1).ext``, ``name (2).ext``
     and so on, skipping names in ``taken`` (path) and names that another row wants. Rows
-    that want one target line up by id. Candidate numbers are rows, not arrays, so any
-    number of rows may want one target.
+    that want one target line up by id. No number is enumerated: below the i-th used number u
+    there are u - i free ones, so the k-th free number is k plus the count of used numbers with
+    u - i < k, which a running sum over slots and used numbers in one order gives.
     """
     stem, ext = split_extension(F.col("target"))
     wanted = entries.select("target").distinct()
@@ -98,38 +104,35 @@ def restore_paths(entries: DataFrame, taken: DataFrame) -> DataFrame:
         .select(F.concat(numbered, split_extension(F.col("path"))[1]).alias("target"), number.try_cast("bigint").alias("n"))
         .join(wanted, "target", "left_semi")
     )
+    # the place among the used numbers of all targets, and where those of each target begin
+    ranked = with_position(used, [F.col("target").asc(), F.col("n").asc()], "__rank")
+    begins = ranked.groupBy("target").agg(F.min("__rank").alias("__base"))
     target_taken = wanted.join(taken.select(F.col("path").alias("target")).distinct(), "target", "left_semi")
 
-    lined_up = with_group_position(entries.select("id", "target"), ["target"], [F.col("id").asc()], "place")
-    lined_up = lined_up.join(target_taken.withColumn("__shift", F.lit(1)), "target", "left").withColumn(
-        "slot", F.col("place") + F.coalesce("__shift", F.lit(0))
+    lined_up = materialize(
+        with_group_position(entries.select("id", "target"), ["target"], [F.col("id").asc()], "place"), "lined_up"
     )
+    hot = row_hot_keys(lined_up, ["target"])
+    shifts = target_taken.withColumn("__shift", F.lit(1))
+    facts = materialize(shifts.join(begins, "target", "full_outer"), "facts")
     # slot 0 is the target itself; slot k > 0 is the k-th free number
-    need = (
-        lined_up.groupBy("target")
-        .agg(F.max("slot").alias("slots"))
-        .join(used.groupBy("target").agg(F.count("*").alias("used")), "target", "left")
-        .withColumn("upto", F.col("slots") + F.coalesce("used", F.lit(0)))
-        .filter(F.col("slots") > 0)
+    slots = join_lookup(lined_up, facts, ["target"], hot, "left").select(
+        "id", "target", "__base", (F.col("place") + F.coalesce("__shift", F.lit(0))).alias("__key"),
+        F.lit(0).alias("__used"), F.lit(None).cast("bigint").alias("n"),
     )
-    blocks = need.select(
-        "target", "upto", F.explode(F.sequence(F.lit(0), F.floor((F.col("upto") - 1) / NUMBERS_PER_ROW))).alias("block")
+    fences = join_lookup(ranked, begins, ["target"], row_hot_keys(ranked, ["target"])).select(
+        F.lit(None).cast(entries.schema["id"].dataType).alias("id"), "target", "__base",
+        (F.col("n") - (F.col("__rank") - F.col("__base") + 1)).alias("__key"), F.lit(1).alias("__used"), "n",
     )
-    low = F.col("block") * NUMBERS_PER_ROW
-    numbers = blocks.select(
-        "target", F.explode(F.sequence(low + 1, F.least(low + NUMBERS_PER_ROW, F.col("upto")))).alias("n")
-    )
-    free = with_group_position(
-        numbers.join(used, ["target", "n"], "left_anti"), ["target"], [F.col("n").asc()], "slot"
-    ).withColumn("slot", F.col("slot") + 1)
-    return (
-        lined_up.join(free, ["target", "slot"], "left")
-        .select(
-            "id",
-            F.when(F.col("slot") == 0, F.col("target"))
-            .otherwise(F.concat(stem, F.lit(" ("), F.col("n").cast("string"), F.lit(")"), ext))
-            .alias("restored_path"),
-        )
+    # a slot comes before the used numbers of its own key: those lie above it
+    line = [F.col(c).asc() for c in ("target", "__key", "__used", "n")]
+    passed = with_running_sum(slots.unionByName(fences), line, "__used", "__passed").filter("__used = 0")
+    n = F.col("__key") + F.coalesce(F.col("__passed") - F.col("__base"), F.lit(0))
+    return passed.select(
+        "id",
+        F.when(F.col("__key") == 0, F.col("target"))
+        .otherwise(F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext))
+        .alias("restored_path"),
     )
 
 
@@ -142,7 +145,8 @@ def prune_groups(
     stay.
     """
     checked = groups.select("group_id") if only is None else only.select("group_id").distinct()
-    sized = checked.join(group_sizes(members), "group_id", "left")
+    theirs = members if only is None else members.join(checked, "group_id", "left_semi")
+    sized = checked.join(group_sizes(theirs), "group_id", "left")
     small = F.coalesce(F.col("count"), F.lit(0)) <= threshold
     doomed = sized.filter(small).select("group_id")
     kept = sized.filter(~small).select("group_id")

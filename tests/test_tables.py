@@ -106,6 +106,44 @@ def test_restore_of_many_rows_to_one_target(spark):
     assert got.filter("restored_path = '/a/x (12345).jpg'").count() == 1
 
 
+def test_restore_numbers_are_not_enumerated(spark):
+    """A used number far away costs nothing, and one target's rows stay in many tasks."""
+    entries = spark.range(300_000).select("id", F.lit("/a/x.jpg").alias("target"))
+    taken = spark.range(0, 300_000, 3).select(F.concat(F.lit("/a/x ("), F.col("id") + 1, F.lit(").jpg")).alias("path"))
+    taken = taken.unionByName(table(spark, "path string", ("/a/x (999999999).jpg",)))
+    got = maintain.restore_paths(entries, taken).withColumn("n", F.regexp_extract("restored_path", r"\((\d+)\)", 1).try_cast("int"))
+    # free numbers are 2, 3, 5, 6, ... below 300,001 and all from there on
+    want = F.when(F.col("id") == 0, None).when(
+        F.col("id") <= 200_000, F.col("id") + F.ceil(F.col("id") / 2)
+    ).otherwise(F.col("id") + 100_000).cast("int")
+    assert got.filter(~F.col("n").eqNullSafe(want)).count() == 0 and got.count() == 300_000
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 3 and max(sizes) < 150_000
+
+
+def test_a_chain_of_rivals_without_order_needs_few_rounds(spark, monkeypatch):
+    rounds = []
+    kept = ingest.materialize
+    monkeypatch.setattr(ingest, "materialize", lambda df, name: rounds.append(name) or kept(df, name))
+    chain = spark.range(1_000).selectExpr("cast((id + 1) div 2 as string) as id", "concat('/', id div 2) as path")
+    got = rows_of(ingest.insert_ignore(media(spark), chain), "id", "path")
+    assert rounds.count("settled") < 15
+    ids, paths = {i for i, _ in got}, {p for _, p in got}
+    assert len(ids) == len(paths) == len(got)
+    for i, p in rows_of(chain, "id", "path"):
+        assert i in ids or p in paths
+    assert got == rows_of(ingest.insert_ignore(media(spark), chain.repartition(3)), "id", "path")
+
+
+def test_pruning_some_groups_leaves_the_others(spark):
+    groups = table(spark, "group_id string, reason string, keeper_id string", ("a", "exact", "1"), ("b", "exact", "3"), ("c", "exact", "4"))
+    members = table(spark, "group_id string, photo_id string", ("a", "1"), ("a", "2"), ("b", "3"), ("c", "4"))
+    only = table(spark, "group_id string", ("a",), ("c",), ("gone",))
+    left, rows, kept = maintain.prune_groups(groups, members, 1, only)
+    assert rows_of(left, "group_id") == [("a",), ("b",)] and rows_of(kept) == [("a",)]
+    assert rows_of(rows) == [("a", "1"), ("a", "2"), ("b", "3")]
+
+
 def test_insert_ignore_only_loses_to_inserted_rows(spark):
     base = media(spark, {"id": "x", "path": "/x"})
     batch = table(
