@@ -2,12 +2,12 @@
 
 Rules name a host, with all its subdomains, and a path prefix; the longest that fits a URL
 decides it. Hosts whose pages are allowed by rules are trusted seeds, hosts whose pages are
-blocked are distrusted seeds, each in proportion to such pages. Trust follows the host links,
-distrust follows them backwards. A host's score is what a personalised PageRank walk that
-starts there (against the links for trust, along them for distrust) expects of the seeds it
-meets, and at least the host's own seed: a mean over its links, which neither more linkers nor
-a larger graph make smaller. A host is blocked if its distrust reaches a threshold and exceeds
-its trust.
+blocked are distrusted seeds, each in proportion to such pages. A personalised PageRank deals
+trust out along the host links, another deals distrust out against them. What reaches a host is
+divided by what would reach it if every host were a whole seed, so scores are shares that
+neither more linkers nor a larger graph make smaller; the mass that a host starts itself counts
+only if a rule says something about it. A host's own share of such pages is the least score it
+can have. A host is blocked if its distrust reaches a threshold and exceeds its trust.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule and
 the verdict allow; null html has no links; a null page_id is kept; rows repeated exactly get
@@ -102,11 +102,14 @@ def propagate(
     rounds: int | None = None,
     averaged: bool = False,
     tolerance: float = TOLERANCE,
+    stay: bool = True,
 ) -> DataFrame:
     """(host, trust, distrust) from seeds (host, trust, distrust) over links (src, dst, weight).
 
-    Trust goes along the links, distrust against them. By default a host deals its score out
-    and the sum is kept; a host without a way on keeps its score. ``averaged`` is the walk seen
+    Trust goes along the links, distrust against them; seeds that also have ``trust_mass`` and
+    ``distrust_mass`` have these walked the same two ways. By default a host deals its score out
+    and the sum is kept; a host without a way on keeps its score (with ``stay``, else its share
+    of the walk ends there). ``averaged`` is the walk seen
     from its start: a host takes the weighted mean of those its links come from (trust) or lead
     to (distrust), as far as that exceeds its own seed, so scores stay comparable with seeds.
     Each round is one join and one aggregate over the host graph, written to the shared folder.
@@ -115,16 +118,18 @@ def propagate(
     distance from the limit, is within ``tolerance``, or after ``rounds``, if given.
     """
     by = "dst" if averaged else "src"
-    kinds = [("trust", "src", "dst"), ("distrust", "dst", "src")]
+    kinds = [("trust", "src", "dst"), ("distrust", "dst", "src"), ("trust_mass", "src", "dst"), ("distrust_mass", "dst", "src")]
+    kinds = [k for k in kinds if k[0] in seeds.columns]
     ways = None
     for kind, a, b in kinds:
         one = links.select(F.lit(kind).alias("kind"), F.col(a).alias("src"), F.col(b).alias("dst"), "weight")
         ways = one if ways is None else ways.unionByName(one)
     total = ways.groupBy("kind", by).agg(F.sum("weight").alias("__all"))
-    stack = F.expr("stack(2, 'trust', trust, 'distrust', distrust) AS (kind, score)")
+    each = ", ".join(f"'{k}', {k}" for k, _, _ in kinds)
+    stack = F.expr(f"stack({len(kinds)}, {each}) AS (kind, score)")
     start = materialize(seeds.select("host", stack), "seeds")
     shares = ways.join(total, ["kind", by]).select("kind", "src", "dst", (F.col("weight") / F.col("__all")).alias("share"))
-    if not averaged:
+    if stay and not averaged:
         hosts = start.select("kind", F.col("host").alias("src")).unionByName(
             ways.select("kind", F.col("dst").alias("src"))
         ).distinct()
@@ -154,7 +159,32 @@ def propagate(
     def of(kind):
         return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
 
-    return score.groupBy("host").agg(of("trust"), of("distrust"))
+    return score.groupBy("host").agg(*[of(k) for k, _, _ in kinds])
+
+
+def normalised(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, **how) -> DataFrame:
+    """(host, trust, distrust) as shares between 0 and 1, for hosts of the seeds and the links.
+
+    ``seeds`` has host, trust, distrust and known (whether rules say anything about the host).
+    Each walk is divided by the same walk from every host at full strength, without the mass
+    that a host which is not known starts itself. The own seed is a floor.
+    """
+    hosts = links.select(F.col("src").alias("host")).unionByName(links.select(F.col("dst").alias("host"))).distinct()
+    nodes = materialize(
+        seeds.join(hosts, "host", "full_outer").select(
+            "host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
+            F.coalesce("known", F.lit(False)).alias("known"), F.lit(1.0).alias("trust_mass"), F.lit(1.0).alias("distrust_mass"),
+        ), "nodes",
+    )
+    walked = propagate(nodes.drop("known"), links, damping=damping, stay=False, **how)
+    own = nodes.select("host", F.col("trust").alias("own_trust"), F.col("distrust").alias("own_distrust"), "known")
+
+    def share(kind):
+        mass = F.col(f"{kind}_mass") - F.when(F.col("known"), 0.0).otherwise(1 - damping)
+        got = F.when(F.col(kind) > 0, F.least(F.col(kind) / mass, F.lit(1.0))).otherwise(0.0)
+        return F.greatest(got, F.col(f"own_{kind}")).alias(kind)
+
+    return walked.join(own, "host").select("host", share("trust"), share("distrust"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, block_at: float = BLOCK_AT, **how) -> DataFrame:
@@ -167,8 +197,9 @@ def judge(pages: DataFrame, rules: DataFrame, block_at: float = BLOCK_AT, **how)
     def share(verdict):
         return F.avg(F.when(F.col("rule_verdict") == verdict, 1.0).otherwise(0.0))
 
-    seeds = ruled.filter("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = propagate(seeds, host_links(pages.select("url", "html")), averaged=True, **how)
+    known = F.max(F.col("rule_verdict").isNotNull()).alias("known")
+    seeds = ruled.filter("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"), known)
+    scores = normalised(seeds, materialize(host_links(pages.select("url", "html")), "links"), **how)
     # sums of doubles differ in their last bits from run to run, and from the limit by TOLERANCE
     trust, distrust = F.round("trust", 5), F.round("distrust", 5)
     blocked = (distrust >= block_at) & (distrust > trust)
