@@ -3,15 +3,17 @@
 Largest inner products become nearest points by one more coordinate that gives every vector
 the same length. A few Gaussian projections keep the law of distances: squared projected
 over squared true distance is chi-square with as many degrees of freedom as projections. A
-kd-tree on the projections is laid over two levels: cells that Spark deals out, their tree
-built on a bounded sample and all rows sorted into it, and leaves inside a cell. A query
-verifies points leaf by leaf in the order of projected distance and stops when the next
-leaf is so far that, by the chi-square law, a point better than the k-th found would lie
-nearer with probability ``certainty``. The same test, on the k-th found in the few cells
-nearest to the query, decides which other cells see the query at all.
-
-Defined results: vectors that are null, zero, of another length than most, or hold null or
-non-finite components, and rows without vec_id take no part; rows with an equal vec_id
+kd-tree on the projections is laid over three levels: boxes of few rows, their tree built on a
+bounded sample and all rows sorted into it; cells of neighbouring boxes, which Spark deals out;
+and leaves inside a cell. A query verifies points leaf by leaf in the order of projected
+distance and stops when the next leaf is so far that, by the chi-square law, a point better
+than the k-th found would lie nearer with probability ``certainty``, which is therefore the
+recall to expect at least. The same test, on the k-th found in the few cells nearest to the
+query and on every box, decides which other cells see the query at all. A cell's vectors are
+sent once for each ``QUERY_BLOCK`` queries that visit it, and not at all if none does.
+
+Defined results: vectors that are null, zero, of another length than ``dims`` (by default the
+most frequent one), or hold null or non-finite components, and rows without vec_id take no part; rows with an equal vec_id
 count once, by the least vector; ties go to the smaller vec_id; a query with fewer
 candidates gets all of them that the test leaves; an empty table gives no rows.
 """
@@ -23,7 +25,7 @@ from math import ceil, exp, factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,12 +34,14 @@ from mediacat.runtime import materialize
 # Production parameters.
 NEIGHBOURS = 20
 PROJECTIONS = 8
-CERTAINTY = 0.999
-SAMPLE = 20_000  # vectors the tree of cells is built on; every row is sorted into it
+CERTAINTY = 0.997  # above the recall wanted: rows repeated exactly share one error of projection
+SAMPLE = 100_000  # about so many vectors build the tree of boxes; every row is sorted into it
+BOX_ROWS = 64  # aimed at; at least 16 rows of the sample make a box, so there are at most 6,250 or so
 CELL_ROWS = 512  # aimed at; larger cells are split further by a hash
 LEAF_ROWS = 128
 HOME_CELLS = 8  # nearest cells that give a query its first bound
 QUERY_BLOCK = 4096  # queries that meet a cell at a time
+ROUTE_ROWS = 256  # queries held against all boxes at a time
 _SEED = 20_240_601
 
 
@@ -76,6 +80,7 @@ class Space:
 
     def aimed(self, queries: np.ndarray) -> np.ndarray:
         """Queries at the common length: the nearest lifted row has the largest inner product."""
+        queries = queries / np.abs(queries).max(1, keepdims=True)  # squares of tiny components would vanish
         scale = self.longest / np.sqrt((queries**2).sum(1))
         return np.concatenate([queries * scale[:, None], np.zeros((len(queries), 1))], 1)
 
@@ -89,6 +94,14 @@ class Cells:
         self._nodes = 0
         self.cell_of: dict[int, int] = {}
         self.root = self._build(points, max(count, 1))
+        table = np.zeros((5, self._nodes))  # side, cut, left, right, number; a leaf leads to itself
+        table[2:4] = np.arange(self._nodes)
+        for node, *split in self.splits:
+            table[:4, node] = split
+        for node, number in self.cell_of.items():
+            table[4, node] = number
+        self.side, self.left, self.right, self.number = table[[0, 2, 3, 4]].astype(np.int64)
+        self.cut = table[1]
 
     def _build(self, points, count) -> int:
         node = self._nodes
@@ -109,15 +122,13 @@ class Cells:
         return node
 
     def assign(self, points: np.ndarray) -> np.ndarray:
-        at = np.full(len(points), self.root)
-        for node, side, cut, left, right in sorted(self.splits):  # parents come before children
-            here = np.flatnonzero(at == node)
-            if len(here):
-                at[here] = np.where(points[here, side] < cut, left, right)
-        cell = np.zeros(self._nodes, np.int64)
-        for node, number in self.cell_of.items():
-            cell[node] = number
-        return cell[at]
+        at, row = np.full(len(points), self.root), np.arange(len(points))
+        while len(points):
+            to = np.where(points[row, self.side[at]] < self.cut[at], self.left[at], self.right[at])
+            if (to == at).all():
+                break
+            at = to
+        return self.number[at]
 
 
 def gaps(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -209,69 +220,86 @@ def clean(vectors: DataFrame, key: str, column: str) -> DataFrame:
     )
     rows = vectors.select(key, column).withColumn("v", value).filter(usable)
     rows = rows.groupBy(F.col(key).alias("id")).agg(F.min("v").alias("v"))
-    return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).filter("norm2 > 0")
+    rows = rows.filter(F.exists("v", lambda x: x != 0))
+    return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
 
 
 def nearest(
     vectors: DataFrame, queries_where: str, key: str = "vec_id", column: str = "embedding",
-    k: int = NEIGHBOURS, certainty: float = CERTAINTY,
+    k: int = NEIGHBOURS, certainty: float = CERTAINTY, dims: int | None = None,
 ) -> DataFrame:
-    """(query_id, rank, id, score): the k rows of largest inner product found for each query row."""
+    """(query_id, rank, id, score): the k rows of largest inner product found for each query row.
+
+    ``certainty`` is the least recall to expect; ``dims`` the length of vectors that take part.
+    """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, id long, score double"
     rows = materialize(clean(vectors, key, column), "vectors")
-    most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if most is None:
-        return spark.createDataFrame([], schema)
-    dims = most["d"]
+    if dims is None:
+        most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+        dims = most["d"] if most else 0
     rows = rows.filter(F.size("v") == dims)
-    size = rows.agg(F.count("*").alias("n"), F.max("norm2").alias("m"), F.count_if(F.expr(queries_where)).alias("q")).first()
+    size = rows.agg(F.count("*").alias("n"), F.max("norm2").alias("m")).first()
+    if not size["n"]:
+        return spark.createDataFrame([], schema)
     space = Space(dims, float(np.sqrt(size["m"])))
-    drawn = rows.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toArrow()
-    sample = space.lifted(matrix(drawn["v"])) @ space.planes
-    cells = Cells(sample, min(ceil(size["n"] / CELL_ROWS), max(1, len(sample) // 16)))
-    stop = chi_square_quantile(certainty, PROJECTIONS)
     sides = range(PROJECTIONS)
+    names = [f"p{j}" for j in sides]
+    places = ", ".join(f"{p} double" for p in names)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = space.lifted(matrix(batch.column("v"))) @ space.planes
+            yield pa.RecordBatch.from_arrays([pa.array(points[:, j]) for j in sides], names)
+
+    # the same rows on every run; about SAMPLE of them, as ids are distinct
+    drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < F.lit(int(min(1.0, SAMPLE / size["n"]) * (1 << 31))))
+    drawn = drawn.select("v").mapInArrow(project, places).toArrow()
+    sample = np.stack([drawn[p].to_numpy() for p in names], 1) if len(drawn) else np.zeros((0, PROJECTIONS))
+    cells = Cells(sample, min(ceil(size["n"] / BOX_ROWS), max(1, len(sample) // 16)))
+    per_cell = max(1, ceil(cells.count * CELL_ROWS / size["n"]))  # boxes; their numbers follow the tree
+    stop = chi_square_quantile(certainty, PROJECTIONS)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = space.lifted(matrix(batch.column("v"))) @ space.planes
             extra = [pa.array(cells.assign(points), pa.int64())] + [pa.array(points[:, j]) for j in sides]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], ["id", "v", "cell", *[f"p{j}" for j in sides]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], ["id", "v", "box", *names])
 
     placed = materialize(
-        rows.select("id", "v").mapInArrow(place, "id long, v array<double>, cell long, " + ", ".join(f"p{j} double" for j in sides)),
-        "placed",
-    )
-    # one row per cell, and the number of cells is bounded by the sample
-    box = placed.groupBy("cell").agg(
-        F.count("*").alias("n"), *[F.min(f"p{j}").alias(f"a{j}") for j in sides], *[F.max(f"p{j}").alias(f"b{j}") for j in sides]
-    ).toPandas().sort_values("cell")
-    number, subs = box["cell"].to_numpy(), np.ceil(box["n"].to_numpy() / (2 * CELL_ROWS)).astype(int)
-    low, high = box[[f"a{j}" for j in sides]].to_numpy(), box[[f"b{j}" for j in sides]].to_numpy()
-    blocks = max(1, ceil(size["q"] / QUERY_BLOCK))
+        rows.select("id", "v").mapInArrow(place, f"id long, v array<double>, box long, {places}"), "placed"
+    ).withColumn("cell", F.expr(f"box div {per_cell}"))
+    # one row per box, and the number of boxes is bounded by the sample
+    box = placed.groupBy("box").agg(
+        F.count("*").alias("n"), *[F.min(p).alias(f"a{p}") for p in names], *[F.max(p).alias(f"b{p}") for p in names]
+    ).toPandas().sort_values("box")
+    low, high = box[[f"a{p}" for p in names]].to_numpy(), box[[f"b{p}" for p in names]].to_numpy()
+    number, begins = np.unique(box["box"].to_numpy() // per_cell, return_index=True)
+    subs = np.ceil(np.add.reduceat(box["n"].to_numpy(), begins) / (2 * CELL_ROWS)).astype(int)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (id, v, bound, cell, sub): for the cells nearest to a query, or for all within its bound."""
-        for batch in batches:
-            asked = matrix(batch.column("v"))
-            near = gaps(space.aimed(asked) @ space.planes, low, high)
-            if "bound" in batch.schema.names:
-                bound = batch.column("bound").to_numpy()
-                hit = near <= stop * bound[:, None] + 1e-9 * space.longest**2
-                q, c = np.nonzero(hit)
-                q, c = np.repeat(q, subs[c]), np.repeat(c, subs[c])
-                fresh = np.r_[True, (q[1:] != q[:-1]) | (c[1:] != c[:-1])] if len(q) else np.zeros(0, bool)
-                at = np.arange(len(q))
-                sub = at - np.maximum.accumulate(np.where(fresh, at, 0)) if len(q) else at
-            else:
-                close = np.argsort(near, axis=1, kind="stable")[:, :HOME_CELLS]
-                q, c = np.repeat(np.arange(len(asked)), close.shape[1]), close.ravel()
-                bound = np.full(len(asked), np.inf)
-                sub = batch.column("id").to_numpy()[q] % subs[c]
-            taken = batch.select(["id", "v"]).take(pa.array(q))
-            extra = [pa.array(bound[q]), pa.array(number[c], pa.int64()), pa.array(sub, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*taken.columns, *extra], ["id", "v", "bound", "cell", "sub"])
+        """Rows (id, bound, cell, sub): for the cells nearest to a query, or for all with a box within its bound."""
+        for whole in batches:
+            for start in range(0, len(whole), ROUTE_ROWS):
+                batch = whole.slice(start, ROUTE_ROWS)
+                asked = matrix(batch.column("v"))
+                near = np.minimum.reduceat(gaps(space.aimed(asked) @ space.planes, low, high), begins, axis=1)
+                who = batch.column("id").to_numpy()
+                if "bound" in batch.schema.names:
+                    bound = batch.column("bound").to_numpy()
+                    q, c = np.nonzero(near <= stop * bound[:, None] + 1e-9 * space.longest**2)
+                    many = subs[c]
+                    q, c = np.repeat(q, many), np.repeat(c, many)
+                    sub = np.arange(len(q)) - np.repeat(np.cumsum(many) - many, many)
+                else:
+                    close = np.argsort(near, axis=1, kind="stable")[:, :HOME_CELLS]
+                    q, c = np.repeat(np.arange(len(asked)), close.shape[1]), close.ravel()
+                    bound = np.full(len(asked), np.inf)
+                    sub = who[q] % subs[c]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(who[q]), pa.array(bound[q]), pa.array(number[c], pa.int64()), pa.array(sub, pa.int64())],
+                    ["id", "bound", "cell", "sub"],
+                )
 
     def looked_up(cell_rows: pa.Table, asked: pa.Table):
         who = asked["id"].to_numpy()
@@ -299,20 +327,32 @@ def nearest(
         hits = pa.ListArray.from_arrays(pa.array(np.r_[first, len(q)], pa.int32()), values)
         return pa.Table.from_arrays([pa.array(who[some]), hits], names)
 
-    split = F.element_at(F.array(*[F.lit(int(s)) for s in subs]), (F.array_position(F.array(*[F.lit(int(c)) for c in number]), F.col("cell"))).cast("int"))
-    parts = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), split).alias("sub"))
-    queries = placed.filter(F.expr(queries_where)).select("id", "v")
-    visit_schema = "id long, v array<double>, bound double, cell long, sub long"
-    home = queries.mapInArrow(visits, visit_schema)
+    def of_cell(values) -> Column:
+        filled = np.zeros(number[-1] + 1, int)
+        filled[number] = values
+        return F.get(F.array(*[F.lit(int(x)) for x in filled]), F.col("cell").cast("int"))
+
+    parts = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), of_cell(subs)).cast("long").alias("sub"))
+    queries = materialize(placed.filter(F.expr(queries_where)).select("id", "v"), "queries")
+    visit_schema = "id long, bound double, cell long, sub long"
+    home = queries.mapInArrow(visits, visit_schema).join(queries, "id")
     first = parts.groupBy("cell", "sub").cogroup(home.groupBy("cell", "sub")).applyInArrow(measure, "query_id long, apart array<double>")
     # a row for each of the few home cells
     nearby = first.groupBy(F.col("query_id").alias("__q")).agg(F.array_sort(F.flatten(F.collect_list("apart"))).alias("apart"))
     bounded = queries.join(nearby, F.col("id") == F.col("__q"), "left").select(
         "id", "v", F.coalesce(F.get("apart", F.lit(k - 1)), F.lit(float("inf"))).alias("bound")
     )
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
-    sent = bounded.mapInArrow(visits, visit_schema).select("*", block)
-    every = parts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    sent = materialize(bounded.mapInArrow(visits, visit_schema), "visits")
+    # a cell's vectors are repeated for each block of its queries; one row per cell
+    asked_of = sent.groupBy("cell", "sub").count().groupBy("cell").agg(F.max("count").alias("n")).toPandas()
+    blocks = np.zeros(number[-1] + 1, int)
+    blocks[asked_of["cell"]] = np.ceil(asked_of["n"] / QUERY_BLOCK)
+    blocks = of_cell(blocks[number])
+    sent = sent.join(queries, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("long"))
+    every = (
+        parts.withColumn("blocks", blocks).filter("blocks > 0")
+        .withColumn("block", F.explode(F.expr("sequence(0L, cast(blocks as bigint) - 1)"))).drop("blocks")
+    )
     keys = ["cell", "sub", "block"]
     met = every.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(meet, "query_id long, hits array<struct<id:long,score:double>>")
     found = met.select("query_id", F.inline("hits"))

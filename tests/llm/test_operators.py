@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -221,6 +222,40 @@ def test_neighbours_of_a_crowd_of_equal_vectors(spark, monkeypatch):
     assert hits >= 0.95 * 5 * 30
 
 
+def test_clustered_vectors_are_found_in_few_cells(spark, tmp_path, monkeypatch):
+    """50,000 unit vectors around 200 centres: recall by brute force, and the share of cells that queries see."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((200, 32))
+    rows = centres[rng.integers(0, 200, 50_000)] + 0.15 * rng.standard_normal((50_000, 32))
+    rows = (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), 32).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": np.arange(50_000), "embedding": vectors}), tmp_path / "v.parquet")
+    steps = {}
+    kept = neighbours.materialize
+    monkeypatch.setattr(neighbours, "materialize", lambda df, name: steps.setdefault(name, kept(df, name)))
+    found = neighbours.nearest(spark.read.parquet(str(tmp_path / "v.parquet")), "id % 100 = 0").collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, set()).add(r.id)
+    rows, hits = rows.astype(float), 0
+    for q in range(0, 50_000, 100):
+        score = rows @ rows[q]
+        score[q] = -np.inf
+        hits += len(set(np.argpartition(-score, 20)[:20].tolist()) & got[q])
+    assert hits >= 0.95 * 20 * 500
+    seen, cells = steps["visits"].count(), steps["visits"].select("cell", "sub").distinct().count()
+    assert cells > 80 and seen <= 0.15 * 500 * cells
+
+
+def test_vectors_of_a_named_length(spark):
+    rows = [(0, [1.0, 0.0]), (20, [1e-200, 1e-200]), (1, [1.0, 2.0]), (2, [1.0]), (3, [2.0]), (4, [3.0]), (40, [1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.query_id for r in neighbours.nearest(table, "id % 20 = 0").collect()} == {40}
+    got = neighbours.nearest(table, "id % 20 = 0", dims=2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id) for r in got] == [(0, 1), (0, 20), (20, 1), (20, 0)]
+    assert neighbours.nearest(table, "id % 20 = 0", dims=7).count() == 0
+
+
 def test_chi_square_quantile():
     sample = (np.random.default_rng(2).standard_normal((200_000, 8)) ** 2).sum(1)
     assert abs((sample < neighbours.chi_square_quantile(0.9, 8)).mean() - 0.9) < 0.005
