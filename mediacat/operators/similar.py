@@ -14,15 +14,15 @@ Neither mode has a bucket limit or lists all pairs of a crowd:
 * then nodes of different components are compared, in batches of choices: buckets held by
   one component leave first, one link per pair of components is kept, and the contracted
   graph is solved before the next batch;
-* in a bucket beyond ``CROWD`` nodes that comparison runs on a finer, salted key, between
-  the nodes outside its leading component and the rest.
+* in a bucket beyond ``CROWD`` nodes that comparison runs on a salted key, between the nodes
+  outside its leading component and the rest; beyond ``FINE`` nodes the key is finer as well.
 
 Every step drops only comparisons whose outcome cannot change a component.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -43,10 +43,17 @@ SIZE_RATIO = 2
 BITS = 64
 # A bucket with more nodes than this is crowded.
 CROWD = 2_000
+# Rows of a crowded bucket that meet in one part; every further part repeats rows.
+TILE = 2_000
+# A crowded bucket beyond this gets finer keys, which repeat each of its rows 55 times: below,
+# comparing its nodes costs less than that.
+FINE = 10_000
 # Choices of intact blocks whose buckets get pivot links.
 STAR_CHOICES = 12
 # Candidate rows per task of a self-join.
 ROWS_PER_TASK = 500_000
+# Comparisons per task of a join inside crowded buckets.
+PAIRS_PER_TASK = 100_000_000
 # Keyed rows (nodes times choices) that one batch shuffles.
 BATCH_ROWS = 2_000_000_000
 
@@ -254,6 +261,8 @@ def near_components(
     crowd: int = CROWD,
     bands: int | None = None,
     batch_rows: int = BATCH_ROWS,
+    tile: int = TILE,
+    fine: int = FINE,
 ) -> DataFrame:
     """(nid, label): the components of all similar pairs of ``nodes`` (nid, bits, lo, hi).
 
@@ -261,6 +270,9 @@ def near_components(
     The choices of blocks are worked off in batches of at most ``batch_rows`` keyed rows (at
     least one choice), and each batch contracts what it linked before the next one starts:
     buckets whose nodes all have one label by then leave before the self-join.
+
+    A bucket beyond ``crowd`` nodes is compared in parts of about ``tile`` nodes, and beyond
+    ``fine`` nodes on finer keys. ``crowd`` alone repeats no row, however small it is.
     """
     total = nodes.count()
     blocks = bands or blocks or blocks_for(total, threshold)
@@ -298,10 +310,17 @@ def near_components(
         if rows["most"] > crowd:
             crowded = mixed.filter(F.col("n") > crowd)
             hot = written_hot_keys(crowded, keys, "n")
-            rows_of = partial(join_lookup, one=crowded.drop("n"), keys=keys, hot=hot)
-            labelled = _merged(labelled, _star_links(rows_of(keyed(labelled, numbers)), keys, near))
-            fine = _crowded_links(rows_of(keyed(labelled, numbers)), cuts, choices, crowd, threshold, near)
-            labelled = _merged(labelled, fine)
+            rows_of = partial(join_lookup, keys=keys, hot=hot)
+            stars = _star_links(rows_of(keyed(labelled, numbers), crowded.drop("n")), keys, near)
+            labelled = _merged(labelled, stars)
+            links = []
+            plain = crowded.filter(F.col("n") <= fine).drop("n")
+            links.append(_crowded_links(rows_of(keyed(labelled, numbers), plain), keys, tile, near))
+            if rows["most"] > fine:
+                large = rows_of(keyed(labelled, numbers), crowded.filter(F.col("n") > fine).drop("n"))
+                finer, finer_keys = _finer(large, cuts, choices, threshold)
+                links.append(_crowded_links(finer, finer_keys, tile, near))
+            labelled = _merged(labelled, reduce(DataFrame.unionByName, links))
         calm = keyed(labelled, numbers).join(mixed.filter(F.col("n") <= crowd).drop("n"), keys, "left_semi")
         calm = _spread(calm, keys, rows["rows"])
         across = (
@@ -313,15 +332,13 @@ def near_components(
     return labelled.select("nid", "label")
 
 
-def _crowded_links(
-    in_crowd: DataFrame, cuts: list[list[int]], choices: list[tuple], crowd: int, threshold: int, near: Column
-) -> DataFrame:
-    """(label_a, label_b) of similar pairs inside crowded buckets.
+def _finer(
+    in_crowd: DataFrame, cuts: list[list[int]], choices: list[tuple], threshold: int
+) -> tuple[DataFrame, list[str]]:
+    """(rows, keys): buckets cut by two intact parts of the bits outside their key.
 
-    The bits outside a bucket's key are cut again and two intact parts of them join the
-    key, so even one enormous bucket spreads over thousands of finer ones. A finer bucket
-    held by one component has nothing left to find; in a mixed one the nodes outside its
-    leading component meet all others, which covers every cross pair.
+    So even one enormous bucket spreads over thousands of finer ones, and every similar pair
+    still meets in one of them.
     """
     parts, pick = threshold + 1, 2
     rows = []
@@ -332,29 +349,44 @@ def _crowded_links(
             rows.append((number, fine, _signed(_mask(p for b in two for p in pieces[b]))))
     # a fixed number of rows: choices times pairs of parts
     finer = F.broadcast(in_crowd.sparkSession.createDataFrame(rows, "choice int, fine int, fine_mask bigint"))
-    keys = ["choice", "key", "fine", "fine_key"]
     fine = (
         in_crowd.join(finer, "choice")
         .withColumn("fine_key", F.col("bits").bitwiseAND(F.col("fine_mask")))
         .drop("fine_mask")
     )
-    sizes = fine.groupBy(*keys, "label").agg(F.count("*").alias("n"))
+    return fine, ["choice", "key", "fine", "fine_key"]
+
+
+def _crowded_links(in_crowd: DataFrame, keys: list[str], tile: int, near: Column) -> DataFrame:
+    """(label_a, label_b) of similar pairs inside crowded buckets.
+
+    A bucket held by one component has nothing left to find; in a mixed one the nodes outside
+    its leading component meet all others, which covers every cross pair.
+    """
+    sizes = in_crowd.groupBy(*keys, "label").agg(F.count("*").alias("n"))
     lead = sizes.groupBy(*keys).agg(
-        F.max_by("label", "n").alias("lead"), F.count("*").alias("labels"), F.sum("n").alias("n")
+        F.max_by("label", "n").alias("lead"), F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("n").alias("top")
     )
-    # a finer bucket that is still large is split: its rows get a salt, the minor ones meet all salts
-    splits = F.ceil(F.col("n") / crowd).cast("int").alias("splits")
-    mixed = materialize(lead.filter(F.col("labels") > 1).select(*keys, "lead", "n", splits), "mixed")
-    rows = join_lookup(fine, mixed.drop("n"), keys, written_hot_keys(mixed, keys, "n"))
+    # a bucket that is still large is split: its rows get a salt, the minor ones meet all salts
+    splits = F.ceil(F.col("n") / tile).cast("int").alias("splits")
+    mixed = materialize(lead.filter(F.col("labels") > 1).select(*keys, "lead", "n", "top", splits), "mixed")
+    minors = F.col("n") - F.col("top")
+    work = mixed.agg(
+        F.sum(F.col("n") + minors * F.col("splits")).alias("rows"), F.sum(F.col("n") * minors).alias("pairs")
+    ).first()
+    # sized by comparisons too: few rows can hold many
+    size = max(work["rows"] or 0, -(-(work["pairs"] or 0) // PAIRS_PER_TASK) * ROWS_PER_TASK)
+    rows = join_lookup(in_crowd, mixed.drop("n", "top"), keys, written_hot_keys(mixed, keys, "n"))
     salted = [*keys, "salt"]
     salt = F.pmod(F.xxhash64("nid"), F.col("splits")).cast("int")
-    whole = _side(rows.withColumn("salt", salt).drop("lead", "splits"), "b", salted)
+    whole = _spread(rows.withColumn("salt", salt).drop("lead", "splits"), salted, size)
     minor = rows.filter(F.col("label") != F.col("lead")).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))
     )
+    minor = _spread(minor.drop("lead", "splits"), salted, size)
     return (
-        _side(minor.drop("lead", "splits"), "a", salted)
-        .join(whole.hint("merge"), salted)
+        _side(minor, "a", salted)
+        .join(_side(whole, "b", salted).hint("merge"), salted)
         .filter((F.col("label_a") != F.col("label_b")) & near)
         .select("label_a", "label_b")
     )

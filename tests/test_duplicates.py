@@ -245,3 +245,46 @@ def test_a_burst_is_a_row_per_file_and_one_link(spark):
 def test_classes_of_nothing(spark):
     members, links = similar.similar_classes(table(spark, "id bigint, file_size bigint, ph string"))
     assert members.count() == links.count() == similar.link_counts(members, links).count() == 0
+
+
+def _one_band_apart(count, seed=3):
+    """Fingerprints that agree on their first three bytes and on little else."""
+    rng = random.Random(seed)
+    return [(i, 1000, format(0xA5C396 << 40 | rng.getrandbits(40), "064b")) for i in range(count)]
+
+
+def _recorded(monkeypatch, function, measure):
+    seen, real = [], getattr(similar, function)
+
+    def wrapped(*args, **kwargs):
+        out = real(*args, **kwargs)
+        seen.append(measure(args, out))
+        return out
+
+    monkeypatch.setattr(similar, function, wrapped)
+    return seen
+
+
+@pytest.mark.parametrize("mode, choices", [("complete", 55)])
+def test_a_low_crowd_limit_does_not_multiply_rows(spark, monkeypatch, mode, choices):
+    """Crowded buckets are compared as they are: no finer keys, a row per node and choice."""
+    rows = _one_band_apart(300)
+    fp = table(spark, "id bigint, file_size bigint, ph string", *rows)
+
+    def in_mixed(args, out):
+        return out.agg(F.sum("n")).first()[0] or 0 if args[1] == "mixed" else 0
+
+    seen = _recorded(monkeypatch, "materialize", in_mixed)
+    found = similar.similar_components(fp, mode=mode, crowd=3)
+    assert dict(rows_of(found)) == brute_components(rows)
+    # once when the buckets are counted, once when they are compared
+    assert 0 < sum(seen) <= 2 * len(rows) * choices
+
+
+@pytest.mark.parametrize("mode", ["complete"])
+@pytest.mark.parametrize("limits", [{"tile": 2}, {"tile": 2, "fine": 10}, {"fine": 3}])
+def test_small_tiles_and_finer_keys_change_no_component(spark, mode, limits):
+    rows = near_fingerprints(150, seed=14, spread=7, centres=20)
+    fp = table(spark, "id bigint, file_size bigint, ph string", *rows)
+    want = rows_of(similar.similar_components(fp, mode=mode))
+    assert rows_of(similar.similar_components(fp, mode=mode, crowd=3, **limits)) == want
