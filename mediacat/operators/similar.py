@@ -402,6 +402,7 @@ def similar_classes(
     size_ratio: int = SIZE_RATIO,
     blocks: int | None = None,
     crowd: int = CROWD,
+    tile: int = TILE,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): the pairs of ``similar_pairs`` without those of equal fingerprints spelled out.
 
@@ -413,7 +414,8 @@ def similar_classes(
     file gives two empty tables.
 
     Candidates meet on choices of intact blocks, as in the complete mode. A bucket beyond
-    ``crowd`` classes is cut into parts that meet in tiles of two.
+    ``crowd`` classes is cut into parts that meet in tiles of two. As each row is repeated for
+    every part, there are two of them, or more only where they would exceed ``tile`` classes.
     """
     rows = _packed(fp)
     classes = materialize(
@@ -433,7 +435,7 @@ def similar_classes(
     keyed = _keyed(classes.drop("n"), masks, range(len(masks)))
     shared = materialize(
         keyed.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-        .withColumn("parts", F.ceil(F.col("n") / crowd).cast("int")),
+        .withColumn("parts", F.when(F.col("n") <= crowd, 1).otherwise(F.greatest(F.lit(2), F.ceil(F.col("n") / tile))).cast("int")),
         "shared",
     )
     held = join_lookup(keyed, shared.select(*keys, "parts"), keys, written_hot_keys(shared, keys, "n"))

@@ -281,6 +281,16 @@ def test_a_low_crowd_limit_does_not_multiply_rows(spark, monkeypatch, mode, choi
     assert 0 < sum(seen) <= 2 * len(rows) * choices
 
 
+def test_a_low_crowd_limit_cuts_classes_in_two_parts(spark, monkeypatch):
+    rows = _one_band_apart(300) + near_fingerprints(100, seed=8, centres=3)
+    rows = [(i, size, ph) for i, (_, size, ph) in enumerate(rows)]
+    fp = table(spark, "id bigint, file_size bigint, ph string", *rows)
+    seen = _recorded(monkeypatch, "_spread", lambda args, out: out.count())
+    members, links = similar.similar_classes(fp, bands=None, crowd=3)
+    assert sum(seen) <= 2 * 55 * len(rows)
+    assert rows_of(links) == rows_of(similar.similar_classes(fp, bands=None)[1])
+
+
 @pytest.mark.parametrize("mode", ["complete"])
 @pytest.mark.parametrize("limits", [{"tile": 2}, {"tile": 2, "fine": 10}, {"fine": 3}])
 def test_small_tiles_and_finer_keys_change_no_component(spark, mode, limits):
@@ -288,3 +298,10 @@ def test_small_tiles_and_finer_keys_change_no_component(spark, mode, limits):
     fp = table(spark, "id bigint, file_size bigint, ph string", *rows)
     want = rows_of(similar.similar_components(fp, mode=mode))
     assert rows_of(similar.similar_components(fp, mode=mode, crowd=3, **limits)) == want
+
+
+def test_small_tiles_change_no_link(spark):
+    rows = near_fingerprints(150, seed=15, spread=7, centres=20)
+    fp = table(spark, "id bigint, file_size bigint, ph string", *rows)
+    want = rows_of(similar.similar_classes(fp)[1])
+    assert rows_of(similar.similar_classes(fp, crowd=3, tile=2)[1]) == want
