@@ -265,7 +265,7 @@ def _recorded(monkeypatch, function, measure):
     return seen
 
 
-@pytest.mark.parametrize("mode, choices", [("complete", 55)])
+@pytest.mark.parametrize("mode, choices", [("banded", 8), ("complete", 55)])
 def test_a_low_crowd_limit_does_not_multiply_rows(spark, monkeypatch, mode, choices):
     """Crowded buckets are compared as they are: no finer keys, a row per node and choice."""
     rows = _one_band_apart(300)
@@ -291,7 +291,7 @@ def test_a_low_crowd_limit_cuts_classes_in_two_parts(spark, monkeypatch):
     assert rows_of(links) == rows_of(similar.similar_classes(fp, bands=None)[1])
 
 
-@pytest.mark.parametrize("mode", ["complete"])
+@pytest.mark.parametrize("mode", ["banded", "complete"])
 @pytest.mark.parametrize("limits", [{"tile": 2}, {"tile": 2, "fine": 10}, {"fine": 3}])
 def test_small_tiles_and_finer_keys_change_no_component(spark, mode, limits):
     rows = near_fingerprints(150, seed=14, spread=7, centres=20)
