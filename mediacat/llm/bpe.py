@@ -24,8 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# A worker remembers the ids of recent short pre-tokens, in two generations of this many.
-REMEMBERED = 400_000
+# A worker remembers the ids of recent short pre-tokens, in two generations of this many: as
+# many as a table of 2^19 places holds, since the next size takes twice the memory.
+REMEMBERED = 349_525
 REMEMBERED_CHARS = 40
 
 
@@ -45,6 +46,8 @@ class Codec:
         self.byte_rank = [ranks[bytes([b])] for b in range(256)]
         top = max(ranks.values()) + 1
         self.shift = top.bit_length()
+        # ids are remembered in as few bytes as they need
+        self.kind = "<u2" if top <= 1 << 16 else "<u4"
         # every way to put a token together from two tokens
         self.pairs = {
             (ranks[token[:i]] << self.shift) | ranks[token[i:]]: rank
@@ -133,7 +136,7 @@ class Codec:
         if known is None:
             known = self.old.get(piece)
             if known is None:
-                known = np.array(self.merge(piece.encode()), "<u4").tobytes()
+                known = np.array(self.merge(piece.encode()), self.kind).tobytes()
             if len(piece) <= REMEMBERED_CHARS:
                 self.new[piece] = known
                 if len(self.new) >= REMEMBERED:
@@ -147,7 +150,7 @@ class Codec:
         found = [known.get(p) for p in pieces]
         if None in found:
             found = [k if k is not None else self._packed(p) for k, p in zip(found, pieces)]
-        return b"".join(found)
+        return np.frombuffer(b"".join(found), self.kind).astype("<u4").tobytes()
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))

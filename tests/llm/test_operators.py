@@ -282,6 +282,18 @@ def test_bpe_long_pre_tokens():
     assert CODEC.decode(CODEC.encode(long)) == long.encode()
 
 
+def test_bpe_remembers_ids_in_few_bytes():
+    """Two bytes an id below 65,536 ids, four beyond; a full generation stays in a table of 2^19 places."""
+    words = " ".join(f"qz{i}x" for i in range(500))
+    tool = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    ids = np.frombuffer(tool.encode(words), "<u4")
+    assert sum(map(len, tool.new.values())) == 2 * len(ids)
+    wide = bpe.Codec({**RANKS, b"no such token": 70_000}, public_tokenizers.PATTERN)
+    assert wide.encode(words) == tool.encode(words) == tool.encode(words)
+    assert wide.decode(wide.encode(words)) == words.encode() and tool.encode("") == b""
+    assert bpe.REMEMBERED <= 2**19 * 2 // 3
+
+
 def test_bpe_edges(odd, nothing):
     rows = bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN).collect()
     texts = sorted((brute.sha(r.text or ""), r.doc_id is None) for r in odd.collect())
