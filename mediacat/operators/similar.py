@@ -14,17 +14,21 @@ Neither mode has a bucket limit or lists all pairs of a crowd:
 * then nodes of different components are compared, in batches of choices: buckets held by
   one component leave first, one link per pair of components is kept, and the contracted
   graph is solved before the next batch;
-* in a bucket beyond ``CROWD`` nodes that comparison runs on a salted key, between the nodes
-  outside its leading component and the rest; beyond ``FINE`` nodes the key is finer as well.
+* a bucket beyond ``CROWD`` nodes is dealt out in cells of bounded size, and each is compared
+  as blocks of bits, the nodes outside the leading component with all others; only links that
+  join components leave a cell. Beyond ``FINE`` nodes the key is finer as well.
 
 Every step drops only comparisons whose outcome cannot change a component.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial, reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,15 +49,19 @@ BITS = 64
 CROWD = 2_000
 # Rows of a crowded bucket that meet in one part; every further part repeats rows.
 TILE = 2_000
+# Rows on either side of a cell of a crowded bucket of nodes, which one task holds at a time.
+CELL = 16_384
+# Comparisons made at once in a cell, which fit a core's cache.
+BLOCK = 1 << 17
 # A crowded bucket beyond this gets finer keys, which repeat each of its rows 55 times: below,
 # comparing its nodes costs less than that.
-FINE = 10_000
+FINE = 80_000
 # Choices of intact blocks whose buckets get pivot links.
 STAR_CHOICES = 12
 # Candidate rows per task of a self-join.
 ROWS_PER_TASK = 500_000
-# Comparisons per task of a join inside crowded buckets.
-PAIRS_PER_TASK = 100_000_000
+# Comparisons per task inside crowded buckets.
+PAIRS_PER_TASK = 500_000_000
 # Keyed rows (nodes times choices) that one batch shuffles.
 BATCH_ROWS = 2_000_000_000
 
@@ -261,7 +269,7 @@ def near_components(
     crowd: int = CROWD,
     bands: int | None = None,
     batch_rows: int = BATCH_ROWS,
-    tile: int = TILE,
+    tile: int = CELL,
     fine: int = FINE,
 ) -> DataFrame:
     """(nid, label): the components of all similar pairs of ``nodes`` (nid, bits, lo, hi).
@@ -271,8 +279,8 @@ def near_components(
     least one choice), and each batch contracts what it linked before the next one starts:
     buckets whose nodes all have one label by then leave before the self-join.
 
-    A bucket beyond ``crowd`` nodes is compared in parts of about ``tile`` nodes, and beyond
-    ``fine`` nodes on finer keys. ``crowd`` alone repeats no row, however small it is.
+    A bucket beyond ``crowd`` nodes is compared in cells of about ``tile`` nodes a side, and
+    beyond ``fine`` nodes on finer keys. ``crowd`` alone repeats no row, however small it is.
     """
     total = nodes.count()
     blocks = bands or blocks or blocks_for(total, threshold)
@@ -315,11 +323,11 @@ def near_components(
             labelled = _merged(labelled, stars)
             links = []
             plain = crowded.filter(F.col("n") <= fine).drop("n")
-            links.append(_crowded_links(rows_of(keyed(labelled, numbers), plain), keys, tile, near))
+            links.append(_crowded_links(rows_of(keyed(labelled, numbers), plain), keys, tile, threshold, size_ratio))
             if rows["most"] > fine:
                 large = rows_of(keyed(labelled, numbers), crowded.filter(F.col("n") > fine).drop("n"))
                 finer, finer_keys = _finer(large, cuts, choices, threshold)
-                links.append(_crowded_links(finer, finer_keys, tile, near))
+                links.append(_crowded_links(finer, finer_keys, tile, threshold, size_ratio))
             labelled = _merged(labelled, reduce(DataFrame.unionByName, links))
         calm = keyed(labelled, numbers).join(mixed.filter(F.col("n") <= crowd).drop("n"), keys, "left_semi")
         calm = _spread(calm, keys, rows["rows"])
@@ -357,39 +365,133 @@ def _finer(
     return fine, ["choice", "key", "fine", "fine_key"]
 
 
-def _crowded_links(in_crowd: DataFrame, keys: list[str], tile: int, near: Column) -> DataFrame:
-    """(label_a, label_b) of similar pairs inside crowded buckets.
+def _crowded_links(in_crowd: DataFrame, keys: list[str], tile: int, threshold: int, size_ratio: int) -> DataFrame:
+    """(label_a, label_b): links that join the components similar inside crowded buckets.
 
     A bucket held by one component has nothing left to find; in a mixed one the nodes outside
-    its leading component meet all others, which covers every cross pair.
+    its leading component, the minor ones, meet all others, which covers every cross pair. A
+    bucket is a grid of cells of about ``tile`` minor nodes by ``tile`` nodes, one cell if it
+    is no larger. The pairs of a cell are not rows: its task compares them in blocks.
     """
     sizes = in_crowd.groupBy(*keys, "label").agg(F.count("*").alias("n"))
     lead = sizes.groupBy(*keys).agg(
         F.max_by("label", "n").alias("lead"), F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("n").alias("top")
     )
-    # a bucket that is still large is split: its rows get a salt, the minor ones meet all salts
-    splits = F.ceil(F.col("n") / tile).cast("int").alias("splits")
-    mixed = materialize(lead.filter(F.col("labels") > 1).select(*keys, "lead", "n", "top", splits), "mixed")
     minors = F.col("n") - F.col("top")
+    mixed = materialize(
+        lead.filter(F.col("labels") > 1).select(
+            *keys, "lead", "n", "top",
+            F.ceil(minors / tile).cast("int").alias("minor_splits"), F.ceil(F.col("n") / tile).cast("int").alias("splits"),
+        ),
+        "mixed",
+    )
     work = mixed.agg(
-        F.sum(F.col("n") + minors * F.col("splits")).alias("rows"), F.sum(F.col("n") * minors).alias("pairs")
+        F.sum(F.col("n") * F.col("minor_splits") + minors * F.col("splits")).alias("rows"), F.sum(F.col("n") * minors).alias("pairs")
     ).first()
     # sized by comparisons too: few rows can hold many
     size = max(work["rows"] or 0, -(-(work["pairs"] or 0) // PAIRS_PER_TASK) * ROWS_PER_TASK)
     rows = join_lookup(in_crowd, mixed.drop("n", "top"), keys, written_hot_keys(mixed, keys, "n"))
-    salted = [*keys, "salt"]
-    salt = F.pmod(F.xxhash64("nid"), F.col("splits")).cast("int")
-    whole = _spread(rows.withColumn("salt", salt).drop("lead", "splits"), salted, size)
-    minor = rows.filter(F.col("label") != F.col("lead")).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))
+    rows = rows.select("*", (F.col("label") == F.col("lead")).alias("leads")).withColumns({
+        "minor_part": F.pmod(F.xxhash64("nid"), F.col("minor_splits")).cast("int"),
+        "part": F.pmod(F.xxhash64("nid"), F.col("splits")).cast("int"),
+    })
+
+    def cell(minor_part: Column, part: Column, asks: Column, held: Column) -> Column:
+        return F.struct(minor_part.alias("cell_minor"), part.alias("cell_part"), asks.alias("asks"), held.alias("held"))
+
+    # every node is held by the cells of its part; a minor one asks in those of its minor part
+    holding = F.transform(
+        F.sequence(F.lit(0), F.col("minor_splits") - 1), lambda i: cell(i, F.col("part"), F.lit(False), F.lit(True))
     )
-    minor = _spread(minor.drop("lead", "splits"), salted, size)
-    return (
-        _side(minor, "a", salted)
-        .join(_side(whole, "b", salted).hint("merge"), salted)
-        .filter((F.col("label_a") != F.col("label_b")) & near)
-        .select("label_a", "label_b")
+    asking = F.transform(
+        F.sequence(F.lit(0), F.col("splits") - 1),
+        lambda j: cell(F.col("minor_part"), j, F.lit(True), j == F.col("part")),
     )
+    elsewhere = F.filter(holding, lambda c: c["cell_minor"] != F.col("minor_part"))
+    cells = F.when(F.col("leads"), holding).otherwise(F.concat(asking, elsewhere))
+    by = [*keys, "cell_minor", "cell_part"]
+    dealt = rows.withColumn("c", F.explode(cells)).select(*keys, "c.*", "nid", "label", "bits", "lo", "hi", "leads")
+    dealt = _spread(dealt, by, size).sortWithinPartitions(*by)
+    kind = in_crowd.schema["label"].dataType.simpleString()
+    return dealt.mapInArrow(_cell_links(by, threshold, size_ratio), f"label_a {kind}, label_b {kind}")
+
+
+def _cell_links(by: list[str], threshold: int, size_ratio: int):
+    """Rows sorted by ``by`` -> (label_a, label_b); holds a cell and a batch of rows at a time."""
+
+    def links(cell: pa.Table) -> pa.RecordBatch:
+        nid, label, bits, lo, hi, asks, held, leads = [
+            cell.column(c).to_numpy() for c in ("nid", "label", "bits", "lo", "hi", "asks", "held", "leads")
+        ]
+        a, b = _joining(nid, label, bits.view(np.uint64), lo, hi, asks, held, leads, threshold, size_ratio)
+        kind = cell.schema.field("label").type
+        return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["label_a", "label_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_cell = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            if open_cell is not None:
+                rows = pa.concat_tables([open_cell, rows])
+            new = np.zeros(rows.num_rows - 1, bool)
+            for c in by:
+                key = rows.column(c).to_numpy()
+                new |= key[1:] != key[:-1]
+            starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            for start, stop in zip(starts, starts[1:]):
+                yield links(rows.slice(start, stop - start))
+            open_cell = rows.slice(starts[-1])
+        if open_cell is not None:
+            yield links(open_cell)
+
+    return run
+
+
+def _joining(
+    nid: np.ndarray, label: np.ndarray, bits: np.ndarray, lo: np.ndarray, hi: np.ndarray,
+    asks: np.ndarray, held: np.ndarray, leads: np.ndarray, threshold: int, size_ratio: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of labels that join what is similar in a cell, fewer than it has labels."""
+    order = np.argsort(nid)
+    asking, minor = order[asks[order]], order[(held & ~leads)[order]]
+    # two minor nodes meet where either asks: a block leaves out those before its first one
+    first = np.searchsorted(nid[minor], nid[asking], "right")
+    others = np.concatenate([minor, np.flatnonzero(held & leads)])
+    labels, code = np.unique(label, return_inverse=True)
+    root = np.arange(len(labels))
+    step = max(1, BLOCK // max(1, len(others)))
+    asking_bits, other_bits = bits[asking][:, None], bits[others]
+    for at in range(0, len(asking), step):
+        b = others[first[at] :]
+        differing = np.bitwise_count(asking_bits[at : at + step] ^ other_bits[first[at] :])
+        i, j = np.divmod(np.flatnonzero(differing < threshold), max(1, len(b)))
+        if not len(i):
+            continue
+        i, j = asking[at + i], b[j]
+        # lo <= size_ratio * hi without the product, which could overflow
+        fits = -(-np.maximum(lo[i], lo[j]) // size_ratio) <= np.minimum(hi[i], hi[j])
+        root = _united(root, code[i[fits]], code[j[fits]])
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return labels[moved], labels[root[moved]]
+
+
+def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root``, the least member of each component, after the pairs (a, b) are joined."""
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            return root
+        a, b = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        root = root.copy()
+        np.minimum.at(root, b, a)
+        while True:
+            further = root[root]
+            if np.array_equal(further, root):
+                break
+            root = further
 
 
 # --- factorised pairs ----------------------------------------------------------------

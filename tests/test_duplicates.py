@@ -305,3 +305,20 @@ def test_small_tiles_change_no_link(spark):
     fp = table(spark, "id bigint, file_size bigint, ph string", *rows)
     want = rows_of(similar.similar_classes(fp)[1])
     assert rows_of(similar.similar_classes(fp, crowd=3, tile=2)[1]) == want
+
+
+@pytest.mark.parametrize("limits", [{}, {"tile": 7}])
+def test_a_crowded_bucket_passes_on_each_link_of_components_once(spark, monkeypatch, limits):
+    """Pairs that agree on the first byte alone, seven bits apart, sizes at and beyond the limit."""
+    rng, rows = random.Random(16), []
+    for i in range(100):
+        base = 0xA5 << 56 | rng.getrandbits(56)
+        other = base ^ sum(1 << (8 * band + rng.randrange(8)) for band in range(7))
+        rows += [(2 * i, 1000, format(base, "064b")), (2 * i + 1, 2000 + i % 2, format(other, "064b"))]
+    fp = table(spark, "id bigint, file_size bigint, ph string", *rows)
+    want = brute_components(rows)
+    seen = _recorded(monkeypatch, "_crowded_links", lambda args, out: out.count())
+    found = similar.similar_components(fp, mode="banded", crowd=100, **limits)
+    assert dict(rows_of(found)) == want and len(want) == 100
+    # cells of a grid may each find a pair
+    assert sum(seen) <= (100 if limits else 50)
