@@ -16,6 +16,7 @@ token crosses.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from bisect import bisect_right, insort
@@ -24,6 +25,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -46,16 +48,42 @@ CACHED_WORDS, CACHED_CHARS = 1 << 20, 1 << 25
 # New words encoded as one text; the tokenizer takes more time a word for longer texts.
 WORDS_TOGETHER = 256
 # Texts are tokenized together up to this many characters.
-GROUP_CHARS = 1 << 19
+GROUP_CHARS = 1 << 20
 
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
-# What str.split takes for blank and a pattern's white space does not.
-_CONTROLS = re.compile(r"[\x1c-\x1f]")
 _MARKS = tuple(".,;:!?)")
-
-
-def _split(text: str) -> list[str]:
-    return _BLANK.split(text) if _CONTROLS.search(text) else text.split()
+# Letters without combining marks, each with one lower-case letter, and marks that make one match
+# of the pattern below behind them.
+_LETTERS, _TAIL = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f", ".,;:!?)$%&#*"
+_SIMPLE = rf"\A[{_LETTERS}]+[{_TAIL}]*\z"
+# The steps before the model under which a word of such letters and marks has the ids of its
+# lower-case letters and those of the marks.
+_STEPS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split", "behavior": "Removed", "invert": True,
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def _cuts_words(file: str) -> bool:
+    """Whether the file has these steps and no token of its own that such a word could hold."""
+    with open(file, encoding="utf-8") as f:
+        spec = json.load(f)
+    own = [t["content"] for t in spec.get("added_tokens") or ()]
+    return all(spec.get(k) == v for k, v in _STEPS.items()) and all(re.search(f"[^{_LETTERS}{_TAIL}]", t) for t in own)
 
 
 def _matches(word: str) -> int:
@@ -83,47 +111,126 @@ class _Growing:
 
 
 class WordIds(dict):
-    """Token ids of words between blanks: word -> number, and all their ids in one array.
+    """Token ids of words between blanks: word -> number, and their ids in one array.
 
     The tokenizer drops white space and no match of its pattern crosses it, so a text's ids
     are those of its words in turn. New words get their numbers first and are encoded together.
+    A word of Latin letters with capitals or marks behind them is put together from its
+    lower-case letters and its marks, which are words too: a text has far fewer of those.
     """
 
     def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Split
+        from tokenizers.pre_tokenizers import Sequence as Steps
 
         self._tokenizer = Tokenizer.from_file(file)
         suffix = getattr(self._tokenizer.model, "end_of_word_suffix", None)
-        self._ends = None
+        self._ends = self._letters = None
         if suffix:
             vocabulary = self._tokenizer.get_vocab()
             self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self._ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            if _cuts_words(file):
+                # the same model; on lower-case letters the steps before it only cut at blanks
+                self._letters = Tokenizer(self._tokenizer.model)
+                self._letters.pre_tokenizer = Steps([Split(" ", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
         self._forget()
 
     def _forget(self) -> None:
         self.clear()
         self._new: list[str] = []
-        self._flat, self._starts, self._chars = _Growing(np.uint32), _Growing(np.int64), 0
-        self._starts.extend(np.zeros(1, np.int64))
+        self._flat, self._starts, self._counts = _Growing(np.uint32), _Growing(np.int64), _Growing(np.int64)
+        self._chars = 0
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         self._new.append(word)
         return n
 
+    def _codes(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
     def _learn(self) -> None:
-        """Encode the new words, many as one text, and deal its ids out.
+        """Give the new words their ids, and the words that they are put together from."""
+        first = len(self) - len(self._new)
+        others: list[int] = []  # words for the whole tokenizer
+        letters: list[int] = []
+        whole, cores, tails = [], [], []
+        names: list[str] = []
+        while self._new:
+            new, self._new = self._new, []
+            numbers = np.arange(first + len(names), first + len(names) + len(new))
+            names += new
+            if self._letters is None:
+                others += numbers.tolist()
+                continue
+            words = pa.array(new, pa.string())
+            bare = pc.utf8_rtrim(words, characters=_TAIL)
+            low = pc.utf8_lower(bare)
+            plain = pc.match_substring_regex(words, _SIMPLE).to_numpy(zero_copy_only=False)
+            same = pc.equal(low, words).to_numpy(zero_copy_only=False)
+            others += numbers[~plain].tolist()
+            letters += numbers[plain & same].tolist()
+            at = np.flatnonzero(plain & ~same)
+            if len(at):
+                parts = low.take(pa.array(at)).to_pylist()
+                whole.append(numbers[at])
+                cores.append(self._codes(parts))
+                tails.append(self._codes([new[k][len(core) :] for k, core in zip(at.tolist(), parts)]))
+        self._chars += sum(map(len, names))
+        unset = np.zeros(len(names), np.int64)
+        self._starts.extend(unset)
+        self._counts.extend(unset)
+        others += self._encode_letters(first, names, letters)
+        self._encode(first, names, others)
+        if whole:
+            whole, pair = np.concatenate(whole), np.stack([np.concatenate(cores), np.concatenate(tails)], 1)
+            ids, upto = self._gather(pair.ravel())
+            self._store(whole, ids, np.diff(upto[::2]))
+
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Keep the ids of some words, given one after the other."""
+        self._starts.view()[numbers] = len(self._flat.view()) + np.cumsum(counts) - counts
+        self._counts.view()[numbers] = counts
+        self._flat.extend(ids)
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words in turn, number of ids up to each word)."""
+        counts = self._counts.view()[codes]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        return self._flat.view()[np.arange(upto[-1]) + np.repeat(self._starts.view()[codes] - upto[:-1], counts)], upto
+
+    def _encode_letters(self, first: int, names: list[str], numbers: list[int]) -> list[int]:
+        """Encode words of lower-case letters, many as one text; those that do not add up are returned.
+
+        A word ends at a token with the end-of-word suffix.
+        """
+        if not numbers:
+            return []
+        groups = [numbers[at : at + WORDS_TOGETHER] for at in range(0, len(numbers), WORDS_TOGETHER)]
+        texts = [" ".join([names[n - first] for n in group]) for group in groups]
+        left: list[int] = []
+        for group, found in zip(groups, self._letters.encode_batch_fast(texts, add_special_tokens=False)):
+            flat = np.array(found.ids, np.uint32)
+            stops = np.flatnonzero(self._ends[flat]) + 1
+            if len(stops) != len(group) or stops[-1] != len(flat):
+                left += group
+                continue
+            self._store(np.array(group), flat, np.diff(stops, prepend=0))
+        return left
+
+    def _encode(self, first: int, names: list[str], numbers: list[int]) -> None:
+        """Encode words by the whole tokenizer, many as one text, and deal its ids out.
 
         Letters alone are one match of the pattern, letters with one mark behind them are two, and a
         match ends at a token with the end-of-word suffix. Other words, and texts where the
         suffixes do not add up, are told apart by the places of their tokens, which takes longer.
         """
-        new, self._new = self._new, []
+        numbers = np.array(numbers, np.int64)
+        new = [names[n - first] for n in numbers.tolist()]
         matches = np.array([_matches(w) if self._ends is not None else 0 for w in new], np.int64)
-        counts = np.zeros(len(new), np.int64)
-        ids: list[np.ndarray | None] = [None] * len(new)
         plain, odd = np.flatnonzero(matches), np.flatnonzero(matches == 0).tolist()
         groups = [plain[at : at + WORDS_TOGETHER] for at in range(0, len(plain), WORDS_TOGETHER)]
         texts = [" ".join([new[k] for k in group]) for group in groups]
@@ -134,66 +241,55 @@ class WordIds(dict):
             if len(ends) != upto[-1] or ends[-1] != len(flat):
                 odd += group.tolist()
                 continue
-            stops = ends[upto - 1]
-            counts[group] = np.diff(stops, prepend=0)
-            for k, part in zip(group.tolist(), np.split(flat, stops[:-1])):
-                ids[k] = part
+            self._store(numbers[group], flat, np.diff(ends[upto - 1], prepend=0))
         for at in range(0, len(odd), WORDS_TOGETHER):
             group = odd[at : at + WORDS_TOGETHER]
             found = self._tokenizer.encode(" ".join([new[k] for k in group]), add_special_tokens=False)
             edges = np.cumsum([len(new[k]) + 1 for k in group])
             owner = np.searchsorted(edges, np.array([o[0] for o in found.offsets], np.int64), "right")
-            own = np.bincount(owner, minlength=len(group))
-            counts[group] = own
-            for k, part in zip(group, np.split(np.array(found.ids, np.uint32), np.cumsum(own)[:-1])):
-                ids[k] = part
-        self._chars += sum(map(len, new))
-        self._flat.extend(np.concatenate(ids))
-        self._starts.extend(self._starts.view()[-1] + np.cumsum(counts))
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the words in turn, number of ids up to each word)."""
+            self._store(numbers[group], np.array(found.ids, np.uint32), np.bincount(owner, minlength=len(group)))
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts in turn, number of ids up to each text)."""
         if len(self) > CACHED_WORDS or self._chars > CACHED_CHARS:
             self._forget()
-        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        known = self._codes(words.dictionary.to_pylist())
         if self._new:
             self._learn()
-        known = self._starts.view()
-        starts = known[codes]
-        lengths = known[codes + 1] - starts
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        return self._flat.view()[np.arange(upto[-1]) + np.repeat(starts - upto[:-1], lengths)], upto
+        ids, upto = self._gather(known[words.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        return ids, upto[ends]
 
     def _long(self, text: str) -> np.ndarray:
         out, at = [], 0
         while at < len(text):
             blank = _BLANK.search(text, at + LONG_TEXT)
             stop = blank.start() if blank else len(text)
-            out.append(self._words(_split(text[at:stop]))[0])
+            out.append(self._words(pa.array([text[at:stop]]))[0])
             at = stop
         return np.concatenate(out)
 
-    def ids(self, texts: Iterable[str], end_id: int) -> Iterator[np.ndarray]:
+    def ids(self, texts: Iterable[str] | pa.Array, end_id: int) -> Iterator[np.ndarray]:
         """The ids of each text and ``end_id``."""
         end = np.array([end_id], np.uint32)
-        words, ends, chars = [], [0], 0
-
-        def known():
-            ids, upto = self._words(words)
-            for first, last in pairwise(ends):
-                yield np.concatenate([ids[upto[first] : upto[last]], end])
-
-        for text in texts:
-            if chars + len(text) > GROUP_CHARS:
-                yield from known()
-                words, ends, chars = [], [0], 0
-            if len(text) > GROUP_CHARS:
-                yield np.concatenate([self._long(text), end])
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        sizes = pc.utf8_length(texts).to_numpy().tolist()
+        at = 0
+        while at < len(sizes):
+            stop, chars = at + 1, sizes[at]
+            if chars > GROUP_CHARS:
+                yield np.concatenate([self._long(texts[at].as_py()), end])
+                at = stop
                 continue
-            words += _split(text)
-            ends.append(len(words))
-            chars += len(text)
-        yield from known()
+            while stop < len(sizes) and chars + sizes[stop] <= GROUP_CHARS:
+                chars += sizes[stop]
+                stop += 1
+            ids, upto = self._words(texts[at:stop])
+            for first, last in pairwise(upto.tolist()):
+                yield np.concatenate([ids[first:last], end])
+            at = stop
 
 
 # One memory per Python worker, which serves many tasks.
@@ -308,8 +404,7 @@ def _packed(file: str, end_id: int, tiers: tuple[int, ...]):
         words, packer, kind = _word_ids(file), Packer(tiers, part << 32), None
         for batch in batches:
             kind = batch.column(0).type
-            texts = (text.as_py() or "" for text in batch.column(1))
-            for doc, ids in zip(batch.column(0).to_pylist(), words.ids(texts, end_id)):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.ids(batch.column(1), end_id)):
                 packer.add(doc, ids)
                 while len(packer.done) >= ROWS_OUT:
                     yield _rows(packer, kind, part)

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.normalizers import NFC
 
 from mediacat.llm import digests, packing, structure, trie
 from mediacat.llm.queries import QUERIES
@@ -219,6 +220,59 @@ def test_long_texts(monkeypatch):
     assert [ids.tolist() for ids in got] == [ids_of(tokenizer, t) for t in texts]
 
 
+class Counted:
+    """A tokenizer that counts the words it is given."""
+
+    def __init__(self, tokenizer, seen):
+        self._tokenizer, self._seen = tokenizer, seen
+
+    def encode(self, text, **options):
+        self._seen += text.split()
+        return self._tokenizer.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        for text in texts:
+            self._seen += text.split()
+        return self._tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_capitals_and_marks_are_no_words_of_their_own():
+    """A word is encoded once, however it is written and whatever marks follow it."""
+    rng, seen = random.Random(4), []
+    bare = ["".join(rng.choices("aeioubcdéüñœ", k=6)) for _ in range(40)]
+    marks = ["", ".", ",", "!!", "$$$", ".%%%"]
+    written = [write(w) + m for w in bare for m in marks for write in (str.lower, str.upper, str.capitalize)]
+    rng.shuffle(written)
+    words = packing.WordIds(WORDS)
+    for name, held in list(vars(words).items()):
+        if isinstance(held, Tokenizer):
+            setattr(words, name, Counted(held, seen))
+    got = [ids.tolist() for ids in words.ids([" ".join(written)], 1)]
+    assert got == [ids_of(Tokenizer.from_file(WORDS), " ".join(written))]
+    assert sorted(seen) == sorted(set(bare) | set(marks[1:]))
+
+
+def test_every_letter_before_every_mark():
+    tokenizer = Tokenizer.from_file(WORDS)
+    letters = [chr(c) for c in (*range(0x41, 0x250), 0x391, 0x3A3, 0x3C2, 0x410, 0x1E9E, 0x301)]
+    texts = [f"{c} a{c} {c}B{m} {c}{m} {m}{c} {c}{m}{c} {m}{m}{c}'s" for c in letters for m in ".$)'<|\u00b4"]
+    got = packing.WordIds(WORDS).ids(texts, 1)
+    assert [ids.tolist() for ids in got] == [ids_of(tokenizer, t) for t in texts]
+
+
+def test_other_steps_before_the_model(tmp_path):
+    """A tokenizer that keeps capitals, and one with a word of letters as a token of its own."""
+    text = "Word word. WORD! Ärger ärger, end endless"
+    for name in ("cased", "own"):
+        tokenizer, file = Tokenizer.from_file(WORDS), str(tmp_path / name)
+        if name == "cased":
+            tokenizer.normalizer = NFC()
+        else:
+            tokenizer.add_special_tokens(["end"])
+        tokenizer.save(file)
+        assert [ids.tolist() for ids in packing.WordIds(file).ids([text], 1)] == [ids_of(tokenizer, text)]
+
+
 def test_windows_take_whole_documents_first():
     packer = packing.Packer(packing.TIERS, 0)
     for doc, n in enumerate([2048 + 1000, 24, 600, 400, 24, 200]):
